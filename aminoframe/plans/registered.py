@@ -1,2 +1,77 @@
-QUERIES = {}
-ORACLE_SQL = {}
+"""The registered queries and their SQL for DuckDB: every descriptor over ``documents``, and the I/O and layout forms."""
+
+from __future__ import annotations
+
+from functools import partial
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions.dialect import DuckDb
+from ..operators import REGISTRY, Descriptor
+from ..streaming.stream import compute_stream_once
+from .engine import compute, long_features, long_kmers, make
+
+#: A driver table counts as sequences: its text, cleaned.
+_SEQ = "regexp_replace(upper(replace(coalesce({text}, ''), 'ß', 'SS')), '[^ACDEFGHIKLMNPQRSTVWY]', '', 'g')"
+
+
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dealt out by id: the sample files have one row group, and lengths differ a thousandfold."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    return docs.repartition(max(8, int(spark.conf.get("spark.sql.shuffle.partitions"))), "doc_id")
+
+
+def _rounded(df: DataFrame) -> DataFrame:
+    return df.select("id", *(F.round(c, 6).alias(c) for c in df.columns if c != "id"))
+
+
+def _one(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(compute(_documents(spark, sf_dir), make([name])[0], "doc_id", "text"))
+
+
+def duckdb_sql(one: Descriptor, table: str = "documents", id_sql: str = "doc_id", text: str = "text") -> str:
+    d = DuckDb()
+    listed = one.features(d)
+    sql = f"WITH p0 AS (SELECT {id_sql}::VARCHAR AS id, seq, length(seq)::INT AS n FROM (SELECT *, {_SEQ.format(text=text)} AS seq FROM {table}))"
+    stages = d.stages()
+    for i, stage in enumerate(stages, 1):
+        sql += f",\np{i} AS (SELECT *, " + ", ".join(f"{expr} AS {name}" for name, expr in stage) + f" FROM p{i - 1})"
+    return sql + "\nSELECT id, " + ", ".join(f'round(({expr})::DOUBLE, 6) AS "{one.name}_{name}"' for name, expr in listed) + f" FROM p{len(stages)}"
+
+
+def _short(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sequences shorter than every window."""
+    part = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_type")
+    return _rounded(compute(part, make(["sliding_window"])[0], "p_partkey", "p_type"))
+
+
+def _kmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return long_kmers(_documents(spark, sf_dir), 3, "doc_id", "text")
+
+
+def _long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return long_features(_one("aac", spark, sf_dir))
+
+
+def _merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(compute(_documents(spark, sf_dir), make(["grouped", "aac"]), "doc_id", "text"))
+
+
+def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(compute_stream_once(spark, f"{sf_dir}/documents.parquet", make(["grouped"])[0], "doc_id", "text"))
+
+
+QUERIES = {name: partial(_one, name) for name in sorted(REGISTRY)} | {"short_sequences": _short, "long_kmers_3": _kmers, "long_layout": _long, "merged": _merged, "stream_grouped": _stream}
+
+_AAC, _GROUPED = duckdb_sql(make(["aac"])[0]), duckdb_sql(make(["grouped"])[0])
+ORACLE_SQL = {name: duckdb_sql(make([name])[0]) for name in sorted(REGISTRY)} | {
+    "short_sequences": duckdb_sql(make(["sliding_window"])[0], "part", "p_partkey", "p_type"),
+    "long_kmers_3": f"""
+        SELECT id, kmer, count(*)::DOUBLE AS n
+        FROM (SELECT id, seq[i:i + 2] AS kmer FROM (SELECT doc_id::VARCHAR AS id, seq, unnest(range(1, length(seq) - 1)) AS i FROM (SELECT *, {_SEQ.format(text="text")} AS seq FROM documents)))
+        GROUP BY id, kmer""",
+    "long_layout": f"UNPIVOT ({_AAC}) ON COLUMNS(* EXCLUDE (id)) INTO NAME feature VALUE value",
+    "merged": f"SELECT g.* EXCLUDE (grouped_length), grouped_length AS length, a.* EXCLUDE (id, aac_length, aac_valid_residue_count) FROM ({_GROUPED}) g JOIN ({_AAC}) a USING (id)",
+    "stream_grouped": _GROUPED,
+}
