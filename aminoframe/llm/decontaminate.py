@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .words import ALNUM_MASK, Words, words_of
 
-SHARD_BYTES = 3 << 20
+SHARD_BYTES = 7 << 17
 BLOCK_BYTES = 8 << 20
 _MATCHES = "array<struct<start:int,length:int,item_id:string,item_start:int>>"
 _MATCH_TYPE = pa.list_(pa.struct([("start", pa.int32()), ("length", pa.int32()), ("item_id", pa.string()), ("item_start", pa.int32())]))

@@ -71,7 +71,7 @@ def _count(model: str, batch_bytes: int, cache_entries: int):
     return run
 
 
-def token_counts(docs: DataFrame, model: str, limit: int = 4096, batch_bytes: int = 4 << 20, cache_entries: int = 2_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def token_counts(docs: DataFrame, model: str, limit: int = 4096, batch_bytes: int = 7 << 17, cache_entries: int = 2_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, n_bytes, n_tokens, over_limit (more than ``limit`` tokens).
 
     ``model`` is the path of a SentencePiece vocabulary.  Whole texts count, without begin and end tokens; null counts

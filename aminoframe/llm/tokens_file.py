@@ -35,7 +35,7 @@ from .words import text_chunks
 
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
 FRAME_IDS = 1 << 16
-CHUNK_BYTES = 3 << 20
+CHUNK_BYTES = 7 << 17
 _DOC = np.dtype([("doc_id", "<i8"), ("null", "u1"), ("frame", "<u4"), ("first", "<u4"), ("count", "<u8")])
 
 

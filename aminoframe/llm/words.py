@@ -89,7 +89,7 @@ def text_chunks(column: pa.Array, chunk_bytes: int) -> Iterator[tuple[int, np.nd
         lo = hi
 
 
-def words_of(column: pa.Array, mask: np.ndarray, fold: bool = False, chunk_bytes: int = 3 << 20) -> Iterator[Words]:
+def words_of(column: pa.Array, mask: np.ndarray, fold: bool = False, chunk_bytes: int = 7 << 17) -> Iterator[Words]:
     """Words of a text column, chunk by chunk; ``mask`` marks word bytes, ``fold`` lower-cases A-Z."""
     for lo, data, offsets in text_chunks(column, chunk_bytes):
         if fold:
