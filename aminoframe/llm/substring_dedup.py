@@ -131,6 +131,8 @@ def matches(docs: DataFrame, window: int = 50, phrase: int = 16, id_col: str = "
     listed = written(listed, "differing")
     windows = written(keyed.join(listed, ["id", "text_key"]).select("id", "text_key", "text", "blocks").mapInArrow(_emit_windows(window, phrase), "id long, text_key long, start int, anchor long, value long"), "windows")
     first = windows.groupBy("anchor", "value").agg(F.min(F.struct("id", "start")).alias("ref"), F.max("id").alias("last")).where("last > ref.id")
+    #: Read from a table, the join has an exchange of its own on both sides, and adaptive execution can split a hot window.
+    first = written(first.select("anchor", "value", "ref"), "first")
     single = windows.join(first, ["anchor", "value"]).where("id > ref.id").select("id", "text_key", "start", F.lit(window).alias("length"), F.col("ref.id").alias("ref_id"), F.col("ref.start").alias("ref_start"))
     return whole.unionByName(single)
 
