@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 
 from .words import PLAIN_MASK, mix, words_of
 
-#: Labelled documents used for training, at most.
-TRAIN_DOCS = 3_000
+#: Labelled documents used for training, at most, and the lines that one of them may have.
+TRAIN_DOCS, TRAIN_LINES = 3_000, 1_000
 SEED = 11
 
 
@@ -243,16 +243,20 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(lines.lo, len(blobs)), pa.array(blobs, pa.binary()), pa.array(weights, pa.binary())], names=["label", "x", "weight"])
 
 
-def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Model | None:
+def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, train_lines: int = TRAIN_LINES, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Model | None:
     """A model from at most ``train_docs`` labelled documents outside the held-out fold, chosen by a hash of their id.
 
-    Null labels, and labelled ids that no document has, are left out; of several labels of one id the largest counts.
-    None if there is nothing to learn from.
+    Null labels, labelled ids that no document has and documents of more than ``train_lines`` lines are left out of
+    training (not of scoring), so what reaches the driver is bounded.  Of several labels of one id the largest counts,
+    of several texts the smallest.  None if there is nothing to learn from.
     """
     usable = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(F.col(id_col)))
     usable = usable.groupBy(F.col(id_col).cast("long").alias("__id")).agg(F.max(label_col).cast("int").alias("label"))
     chosen = usable.orderBy(F.xxhash64(F.lit(SEED), F.col("__id")), "__id").limit(train_docs)
-    found = docs.join(F.broadcast(chosen), docs[id_col] == chosen["__id"]).select("label", F.col(text_col).alias("text")).mapInArrow(_features, "label int, x binary, weight binary").collect()
+    texts = docs.select(F.col(id_col).cast("long").alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(chosen), "__id")
+    #: Lines are counted after the grouping, so only in texts that have a label.
+    texts = texts.groupBy("__id", "label").agg(F.min("text").alias("text")).where(F.size(F.split("text", "\n", -1)) <= train_lines)
+    found = texts.select("label", "text").mapInArrow(_features, "label int, x binary, weight binary").collect()
     if not found:
         return None
     found.sort(key=lambda r: (r.label, bytes(r.x)))

@@ -229,6 +229,18 @@ def test_quality_on_the_held_out_fold(spark):
     assert ordered(quality.quality_scores(docs, quality.fit(docs, flipped)).collect()) == ordered(got)
 
 
+def test_quality_training_is_bounded(spark):
+    rows = _labelled(60)
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, quality int")
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    repeated = spark.createDataFrame([r[:2] for r in rows + rows] + [(rows[0][0], rows[0][1] + " more")], "doc_id long, text string").repartition(3)
+    model, again = quality.fit(docs, labels), quality.fit(repeated, labels)
+    assert np.array_equal(model.weights, again.weights) and np.array_equal(model.move, again.move)
+    free = spark.createDataFrame([r[:2] for r in rows if r[1].count("\n") < 3], "doc_id long, text string")
+    assert np.array_equal(quality.fit(docs, labels, train_lines=3).weights, quality.fit(free, labels).weights)
+    assert quality.fit(docs, labels, train_lines=0) is None
+
+
 def test_forward_backward_is_exact():
     r = np.random.default_rng(0)
     first, score, move = np.array([0, 1, 4, 6]), r.normal(size=6), np.exp(r.normal(size=(2, 2)))
