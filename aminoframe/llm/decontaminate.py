@@ -161,14 +161,15 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, block
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     if len(blocks) == 1:
         return _search(texts, blocks[0], window)
-    rows = texts.withColumn("text_key", F.xxhash64("doc_id", "text"))
-    parts = [_search(rows.select("text_key", "text").withColumnRenamed("text_key", "doc_id"), b, window) for b in blocks]
+    #: A digest of id and text: 64 bits would name two documents of a large corpus alike.
+    rows = texts.withColumn("text_key", F.sha2(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.col("text")), 256))
+    parts = [_search(rows.select(F.col("text_key").alias("doc_id"), "text"), b, window) for b in blocks]
     spans = None
     for part in parts:
         some = part.where(F.size("matches") > 0).select(F.col("doc_id").alias("text_key"), F.explode("matches").alias("m"))
         spans = some if spans is None else spans.unionAll(some)
     spans = spans.distinct().groupBy("text_key").agg(F.sort_array(F.collect_list("m")).alias("matches"))
-    counted = rows.select("doc_id", "text_key", "text").mapInArrow(_count_words, "doc_id long, text_key long, n_words long")
+    counted = rows.select("doc_id", "text_key", "text").mapInArrow(_count_words, "doc_id long, text_key string, n_words long")
     return counted.join(spans, "text_key", "left").select("doc_id", "n_words", F.coalesce("matches", F.array().cast(_MATCHES)).alias("matches"))
 
 
@@ -181,7 +182,7 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _search(texts: DataFrame, items: DataFrame, window: int) -> DataFrame:
     rows = sorted((r.item_id or "", r.text) for r in items.where("text is not null").collect())  # at most a block
-    return texts.mapInArrow(_find(make_block(rows, window) if rows else None, window), f"doc_id long, n_words long, matches {_MATCHES}")
+    return texts.mapInArrow(_find(make_block(rows, window) if rows else None, window), f"doc_id {texts.schema['doc_id'].dataType.simpleString()}, n_words long, matches {_MATCHES}")
 
 
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
