@@ -102,13 +102,15 @@ def lines_of(column: pa.Array) -> Iterator[Lines]:
             x[:, i + 4] = _share(_STOP_END[last], lo, hi) / words
             x[:, i + 5] = _share((w.end - w.start) == 1, lo, hi) / words
             x[:, i + 6] = _share((head >= 65) & (head < 91), lo, hi) / words
-            owner = mix(np.repeat(np.arange(docs, dtype=np.uint64), np.diff(w.first)) + np.uint64(1))
+            home = np.repeat(np.arange(docs), np.diff(w.first))
+            owner = mix(home.astype(np.uint64) + np.uint64(1))
             p, down = w.rolling()
             k = 5
             again = np.zeros(len(w.hash), dtype=bool)
             if len(w.hash) > k:
                 grams = (p[k:] - p[:-k]) * down[: len(w.hash) - k + 1]
-                again[: len(grams)] = _seen_before(mix(grams) ^ owner[: len(grams)])
+                inside = np.arange(len(grams)) + k <= w.first[home[: len(grams)] + 1]  # none reaches into the next text
+                again[: len(grams)] = _seen_before(mix(grams) ^ owner[: len(grams)]) & inside
             x[:, i + 7] = _share(again, lo, hi) / words
             x[:, i + 8] = _share(_seen_before(w.hash ^ owner), lo, hi) / words
             whole = mix((p[hi] - p[lo]) * down[np.minimum(lo, len(down) - 1)]) ^ mix(doc.astype(np.uint64) + np.uint64(1))

@@ -229,6 +229,14 @@ def test_quality_on_the_held_out_fold(spark):
     assert ordered(quality.quality_scores(docs, quality.fit(docs, flipped)).collect()) == ordered(got)
 
 
+def test_line_features_are_of_the_text_alone():
+    texts = ["x x x x x x x", "x x x x", "", "a b c d e a b c", "d e a b c d e", "x"]
+    together = [(l.x, l.first) for l in quality.lines_of(pa.array(texts))][0]
+    for i, t in enumerate(texts):
+        (alone,) = quality.lines_of(pa.array([t]))
+        assert np.array_equal(alone.x, together[0][together[1][i] : together[1][i + 1]])
+
+
 def test_quality_training_is_bounded(spark):
     rows = _labelled(60)
     labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, quality int")
