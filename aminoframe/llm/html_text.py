@@ -28,45 +28,94 @@ _BAD_NAME = re.compile(
 )
 _BAD_TAG = {"nav", "footer", "aside", "form", "button", "dialog", "menu", "label", "fieldset"}
 _GOOD_TAG = {"article", "main"}
+_TALK = re.compile(r"(?:^|[\s_-])(?:comments?|replies|respond|disqus)(?:$|[\s_-])", re.I)
+_ROOM = {"table", "td", "th", "ul", "ol", "dl", "select", "div", "section", "article", "main", "aside", "nav"}
+#: Elements that a start tag ends, and those that it can't reach beyond.
+_IMPLIED = {t: ({"p"}, _ROOM | {"li", "dd", "button"}) for t in "p div ul ol dl table h1 h2 h3 h4 h5 h6 section article aside main nav header footer form pre blockquote".split()}
+_IMPLIED |= {"li": ({"li"}, {"ul", "ol"}), "td": ({"td", "th"}, {"table", "tr"}), "th": ({"td", "th"}, {"table", "tr"}), "tr": ({"tr"}, {"table"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "option": ({"option"}, {"select"})}
 _VOID = {"br", "hr", "img", "input", "meta", "link", "wbr", "area", "base", "col", "embed", "source", "track", "param"}
 _INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "br", "cite", "code", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "data", "bdo"}
 PLAIN, LINK, BOILERPLATE = "plain", "link", "boilerplate"
 
 
 def tokens(page: str) -> Iterator[tuple[str, str, str]]:
-    """(kind, name or text, where): kind is "tag" or "text"; where is PLAIN, LINK or BOILERPLATE."""
-    bad: list[str] = []  # open elements from the outermost boilerplate element inwards
-    good, links, end = 0, 0, 0
+    """(kind, name or text, where): kind is "tag" or "text"; where is PLAIN, LINK or BOILERPLATE.
+
+    An element with a boilerplate name is cut unless it has the page's h1 or, where the name is only part of a class or id,
+    most of the page's words outside boilerplate tags.
+    """
+    kept: set[int] = set()
+    while True:
+        found, named, total = _marked(page, kept)
+        whole = {at for at, (words, title, sure) in named.items() if title or not sure and 2 * words > total}
+        if whole <= kept:
+            return iter(found)
+        kept |= whole
+
+
+def _marked(page: str, kept: set[int]) -> tuple[list[tuple[str, str, str]], dict[int, list], int]:
+    """Tokens; by place, words, h1 and whole name of the elements cut for their names; all words outside boilerplate tags."""
+    found: list[tuple[str, str, str]] = []
+    stack: list[tuple[str, str, int]] = []  # open elements: name, "" or kind of boilerplate, place
+    named: dict[int, list] = {}
+    good, links, end, total = 0, 0, 0, 0
 
     def where() -> str:
-        return BOILERPLATE if bad else LINK if links else PLAIN
+        return BOILERPLATE if any(b for _, b, _ in stack) else LINK if links else PLAIN
+
+    def text(value: str) -> None:
+        nonlocal total
+        if not links and not any(b == "tag" for _, b, _ in stack):
+            n = len(value.split())
+            total += n
+            for _, b, at in stack:
+                if b:
+                    named[at][0] += n
+        found.append(("text", value, where()))
 
     for m in _TOKEN.finditer(page):
         if m.start() > end:
-            yield "text", page[end : m.start()], where()
+            text(page[end : m.start()])
         end = m.end()
         name = (m[2] or "").lower()
         if not name:
-            yield "tag", (m[1] or "!").lower(), where()
+            found.append(("tag", (m[1] or "!").lower(), where()))
             continue
-        closing = m[0][1] == "/"
-        if closing:
-            if name in bad:
-                while bad.pop() != name:
-                    pass
+        if m[0][1] == "/":
+            at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
+            if at is not None:
+                del stack[at:]  # with all that its end implies
             good -= name in _GOOD_TAG and good > 0
             links -= name == "a" and links > 0
         else:
+            if name in _IMPLIED:
+                ends, bounds = _IMPLIED[name]
+                for i in range(len(stack) - 1, -1, -1):
+                    if stack[i][0] in ends:
+                        del stack[i:]
+                        break
+                    if stack[i][0] in bounds:
+                        break
             if name in _GOOD_TAG:
-                good, bad = good + 1, []
+                good += 1
+                if not any(b == "talk" or n in ("aside", "nav", "footer") for n, b, _ in stack):
+                    stack = [(n, "", at) for n, _, at in stack]
             hints = " ".join(x for t in _HINT.findall(m[3]) for x in t) if "=" in m[3] else ""
-            starts = name in _BAD_TAG or name == "header" and not good or bool(hints and name not in ("html", "body", "article", "main") and _BAD_NAME.search(hints))
-            if (bad or starts) and name not in _VOID and not m[3].endswith("/"):
-                bad.append(name)
+            bad = "tag" if name in _BAD_TAG or name == "header" and not good and m.start() not in kept and not hints else ""
+            if not bad and m.start() not in kept and (name == "header" and not good or hints and name not in ("html", "body", "article", "main") and _BAD_NAME.search(hints)):
+                bad = "talk" if _TALK.search(hints) else "name"
+                named[m.start()] = [0, False, any(_BAD_NAME.fullmatch(t) for t in hints.split())]
+            if name == "h1" and not any(b == "tag" for _, b, _ in stack):
+                for _, b, at in stack:
+                    if b == "name":
+                        named[at][1] = True
+            if name not in _VOID and not m[3].endswith("/"):
+                stack.append((name, bad, m.start()))
             links += name == "a"
-        yield "tag", name, where()
+        found.append(("tag", name, where()))
     if end < len(page):
-        yield "text", page[end:].partition("<")[0] if page.rfind("<", end) >= 0 and ">" not in page[end:] else page[end:], where()
+        text(page[end:].partition("<")[0] if page.rfind("<", end) >= 0 and ">" not in page[end:] else page[end:])
+    return found, named, total
 
 
 class Weights:

@@ -366,6 +366,17 @@ def test_html():
     assert html_text.main_text("a < b <p>and more words") != ""
 
 
+def test_html_names_are_evidence():
+    body = "".join(f"<p>Sentence number {i} tells what the council did about the bridge.</p>" for i in range(8))
+    for name in ("layout has-sidebar", "no-sidebar"):
+        assert html_text.main_text(f"<div class='{name}'><h1>Title</h1>{body}</div>").count("\n") == 8
+    for head in ("header", "div"):
+        assert html_text.main_text(f"<article><{head} class=entry-header><h1>Title</h1></{head}>{body}</article>").startswith("Title\n")
+    got = html_text.main_text(f"<div><ul><li class=ad>Buy this now</ul></div><div>{body}</div>")
+    assert got.count("Sentence") == 8 and "Buy" not in got
+    assert "agree" not in html_text.main_text(f"<article>{body}</article><div id=comments><article class=comment><p>I do not agree.</p></article></div>")
+
+
 def test_html_table(spark):
     pages = spark.createDataFrame([(1, "u", PAGE, "x"), (2, None, None, "y"), (None, "v", "", "z"), (1, "u", PAGE, "x"), (3, "w", "<p>" + "long words " * 50_000, "q")], "page_id long, url string, html string, text string")
     got = html_text.extract_text(pages).collect()
