@@ -1,12 +1,13 @@
 """Benchmark decontamination with suffix arrays of the training texts.
 
-The training documents are indexed in shards of bounded size: a shard's suffix array holds its word suffixes in order.
+The training texts are indexed in shards of bounded size: a shard's suffix array holds all its word suffixes in order.
 Every suffix of every test item is looked up in every shard by binary search, which gives all places where its first
-words occur verbatim.  Places on one diagonal (same distance between document word and item word) join into the longest
-match with its location.  Suffixes of a shard that begin with no word pair of any test item could only match less than
-two words and are left out of its array before sorting.
+words occur verbatim; from there the longest match is followed word by word, with its location.
 
-Test items are a stated query set: they go to the shards in blocks of bounded size.
+Words are told apart by their bytes, never by a hash.  Test items lie in block files in the shared folder, cut so that
+neither many items nor a long one makes a block large.  A shard's array is built once, and a task searches the blocks
+one after another, so nothing of the benchmark passes through the driver.  A search is a pass over the texts, with no
+shuffle.
 """
 
 from __future__ import annotations
@@ -14,175 +15,286 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import pyarrow.fs
+import pyarrow.parquet
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .words import ALNUM_MASK, Words, words_of
+from .scratch import shared_dir
+from .words import ALNUM_MASK, CHUNK_BYTES, Words, words_of
 
-SHARD_BYTES = 7 << 17
 BLOCK_BYTES = 8 << 20
+#: Words of a test item that lie in one row of a block file, besides the overlap.
+ITEM_WORDS = 1 << 16
 _MATCHES = "array<struct<start:int,length:int,item_id:string,item_start:int>>"
 _MATCH_TYPE = pa.list_(pa.struct([("start", pa.int32()), ("length", pa.int32()), ("item_id", pa.string()), ("item_start", pa.int32())]))
 
 
-@dataclass
-class Block:
-    """A block of test items: their vocabulary and the keys of their suffixes.
+def suffix_array(numbers: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The starts of all suffixes in order; ``numbers`` are positive, texts lie between neighbouring ``first``.
 
-    A key is the suffix's first ``window`` words as big-endian 32-bit word numbers; numbers start at 1, 0 ends a text.
+    A suffix ends with its text.  Ranks by the first 1, 2, 4, ... words are refined where they are still shared.
     """
+    n = len(numbers)
+    order = np.argsort(numbers, kind="stable")
+    stop = np.repeat(first[1:], np.diff(first))
+    rank = np.empty(n, dtype=np.int64)
+    key, width = numbers[order], 1
+    places, array = np.arange(n), order.copy()
+    while len(places):
+        head = np.r_[True, key[1:] != key[:-1]]
+        group = np.maximum.accumulate(np.where(head, np.arange(len(places)), 0))
+        rank[array[places]] = places[group] + 1
+        shared = ~head | ~np.r_[head[1:], True]
+        if width > 1:
+            shared &= (key & 0xFFFFFFFF) > 0  # suffixes that have ended alike stay as they are
+        places = places[shared]
+        at = array[places]
+        following = at + width
+        inside = following < stop[at]
+        second = np.where(inside, rank[np.minimum(following, n - 1)], 0)
+        key = rank[at] << 32 | second
+        order = np.argsort(key, kind="stable")
+        array[places], key = at[order], key[order]
+        width *= 2
+    return array
+
+
+@dataclass
+class Block:
+    """Test items as numbers of a vocabulary, and their windows: ``window`` words, or the whole of a shorter item."""
 
     names: list[str]
-    vocabulary: np.ndarray  # sorted word hashes
-    spelling: list[bytes]  # of each vocabulary entry
-    keys: np.ndarray  # of each window
-    length: np.ndarray  # words of each window
-    item: np.ndarray
-    offset: np.ndarray
-    leads: np.ndarray  # sorted (first word, second word or 0) of the windows
-
-
-def _suffix_keys(numbers: np.ndarray, at: np.ndarray, stop: np.ndarray, window: int) -> np.ndarray:
-    """The first ``window`` numbers of each suffix, padded with 0 beyond its document, as comparable bytes."""
-    rows = at[:, None] + np.arange(window)
-    inside = rows < stop[:, None]
-    picked = np.where(inside, numbers[np.minimum(rows, len(numbers) - 1)], 0).astype(">u4")
-    return np.ascontiguousarray(picked).view(f"S{4 * window}").ravel()
-
-
-def make_block(items: list[tuple[str, str | None]], window: int) -> Block | None:
-    """None if no item has a word."""
-    words: list[Words] = list(words_of(pa.array([t for _, t in items], pa.large_string()), ALNUM_MASK, fold=True, chunk_bytes=1 << 40))
-    if not words or not len(words[0].hash):
+    vocabulary: pa.Array
+    numbers: np.ndarray
+    at: np.ndarray  # first word of each window in numbers
+    length: np.ndarray
+    content: np.ndarray  # windows of the same words have the same number
+    leader: np.ndarray  # one window of each content
+    of_content: list[dict[int, list[int]]]  # by content: the rows that have it, and at which windows
+    head: np.ndarray  # each row's first window
+    offset: np.ndarray  # words of the item before the row
+
+
+def make_block(rows: list[tuple[str, int, bool, bytes]], window: int) -> Block | None:
+    """From (item, words before, whether these are all its words, words joined by a space)."""
+    (w,) = words_of(pa.array([t for *_, t in rows], pa.large_binary()).cast(pa.large_string()), ALNUM_MASK, fold=True, chunk_bytes=1 << 62)
+    count = np.diff(w.first)
+    n_windows = np.where(count >= window, count - window + 1, [int(all_ and n > 0) for (_, _, all_, _), n in zip(rows, count.tolist(), strict=True)])
+    if not n_windows.sum():
         return None
-    w = words[0]
-    vocabulary, firsts = np.unique(w.hash, return_index=True)
-    spelling = [w.data[w.start[i] : w.end[i]].tobytes() for i in firsts]
-    numbers = np.searchsorted(vocabulary, w.hash) + 1
-    item = np.repeat(np.arange(len(items)), np.diff(w.first))
-    stop = w.first[item + 1]
-    at = np.arange(len(numbers))
-    start = w.first[item]
-    whole = (at + window <= stop) | ((stop - start < window) & (at == start))
-    at, item, stop = at[whole], item[whole], stop[whole]
-    length = np.minimum(stop - at, window)
-    second = np.where(length > 1, numbers[np.minimum(at + 1, len(numbers) - 1)], 0)
-    leads = np.unique((numbers[at].astype(np.int64) << 32) | second)
-    return Block([n for n, _ in items], vocabulary, spelling, _suffix_keys(numbers, at, np.minimum(stop, at + length), window), length, item, at - w.first[item], leads)
-
-
-def _shard_hits(w: Words, block: Block, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """(first word, number of the test window) of every occurrence in a shard."""
-    none = np.zeros(0, np.int64), np.zeros(0, np.int64)
-    if not len(w.hash):
-        return none
-    place = np.searchsorted(block.vocabulary, w.hash)
-    place[place == len(block.vocabulary)] = 0
-    numbers = np.where(block.vocabulary[place] == w.hash, place + 1, 0)
-    following = np.r_[numbers[1:], 0].astype(np.int64)
-    following[w.first[1:-1][w.first[1:-1] > 0] - 1] = 0
-    lead = numbers.astype(np.int64) << 32
-    at = np.flatnonzero((numbers > 0) & (np.isin(lead | following, block.leads) | np.isin(lead, block.leads)))
-    if not len(at):
-        return none
-    stop = w.first[np.searchsorted(w.first, at, side="right")]
-    keys = _suffix_keys(numbers, at, stop, window)
-    order = np.argsort(keys, kind="stable")
-    array, at = keys[order], at[order]
-    low, high = np.searchsorted(array, block.keys, side="left"), np.searchsorted(array, block.keys, side="right")
-    short = np.flatnonzero(block.length < window)
-    if len(short):  # suffixes that begin with a shorter item go on with any word
-        upper = np.frombuffer(block.keys[short].tobytes(), dtype=np.uint8).reshape(len(short), 4 * window).copy()
-        upper[np.arange(4 * window)[None, :] >= 4 * block.length[short][:, None]] = 255
-        high[short] = np.searchsorted(array, np.ascontiguousarray(upper).view(f"S{4 * window}").ravel(), side="right")
-    count = high - low
-    which = np.repeat(np.arange(len(count)), count)
-    return at[np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count) + low[which]], which
-
-
-def _verified(w: Words, block: Block, first: np.ndarray, which: np.ndarray) -> np.ndarray:
-    """Whether each hit's bytes are the item's, not only their hashes."""
-    raw, good = w.data, np.ones(len(first), dtype=bool)
-    known: dict[int, bool] = {}
-    for n, (a, q) in enumerate(zip(first.tolist(), which.tolist(), strict=True)):
-        for i in range(a, a + int(block.length[q])):
-            if i not in known:
-                number = int(np.searchsorted(block.vocabulary, w.hash[i]))
-                known[i] = raw[w.start[i] : w.end[i]].tobytes() == block.spelling[number]
-            good[n] &= known[i]
-    return good
-
-
-def _find(block: Block | None, window: int):
+    row = np.repeat(np.arange(len(rows)), n_windows)
+    head = np.cumsum(n_windows) - n_windows
+    at = w.first[row] + np.arange(len(row)) - head[row]
+    length = np.minimum(count[row], window)
+    picked = np.where(np.arange(window) < length[:, None], w.number[np.minimum(at[:, None] + np.arange(window), len(w.number) - 1)], -1).astype(np.int32)
+    _, leader, content = np.unique(np.ascontiguousarray(picked).view(f"V{4 * window}").ravel(), return_index=True, return_inverse=True)
+    of_content: list[dict[int, list[int]]] = [{} for _ in leader]
+    for i, (c, r) in enumerate(zip(content.tolist(), row.tolist(), strict=True)):
+        of_content[c].setdefault(r, []).append(i)
+    return Block([name for name, *_ in rows], w.spelling, w.number, at, length, content, leader, of_content, np.r_[head, len(row)], np.array([o for _, o, *_ in rows]))
+
+
+class Shard:
+    """The words of some texts and their suffix array."""
+
+    def __init__(self, w: Words) -> None:
+        self.spelling, self.numbers = w.spelling, w.number.astype(np.int64) + 1
+        self.stop = np.repeat(w.first[1:], np.diff(w.first))
+        self.array = suffix_array(self.numbers, w.first)
+
+    def _compare(self, queries: np.ndarray, length: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """-1, 0 or 1: how the suffix at ``at`` stands to each query, as far as the query goes."""
+        sign = np.zeros(len(at), dtype=np.int8)
+        for i in range(queries.shape[1]):
+            open_ = np.flatnonzero((sign == 0) & (length > i))
+            if not len(open_):
+                break
+            place = at[open_] + i
+            mine = np.where(place < self.stop[at[open_]], self.numbers[np.minimum(place, len(self.numbers) - 1)], 0)
+            sign[open_] = np.sign(mine - queries[open_, i])
+        return sign
+
+    def search(self, block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(number of a window's content, low, high): the part of the array that begins with the window, if there is one."""
+        known = pc.index_in(block.vocabulary, value_set=self.spelling).fill_null(-1).to_numpy().astype(np.int64) + 1
+        window = int(block.length.max())
+        numbers = known[block.numbers]
+        missing = np.r_[0, np.cumsum(numbers == 0)]
+        begin, length = block.at[block.leader], block.length[block.leader]
+        which = np.flatnonzero(missing[begin + length] == missing[begin])  # with a word that the shard lacks there is none
+        begin, length = begin[which], length[which]
+        queries = numbers[np.minimum(begin[:, None] + np.arange(window), len(numbers) - 1)]
+        bounds = []
+        for past in (0, 1):  # the first suffix that isn't below the query, the first that is above it
+            low, high = np.zeros(len(which), np.int64), np.full(len(which), len(self.array), np.int64)
+            while (busy := np.flatnonzero(low < high)).size:
+                middle = (low[busy] + high[busy]) >> 1
+                below = self._compare(queries[busy], length[busy], self.array[middle]) < past
+                low[busy] = np.where(below, middle + 1, low[busy])
+                high[busy] = np.where(below, high[busy], middle)
+            bounds.append(low)
+        found = bounds[0] < bounds[1]
+        return which[found], bounds[0][found], bounds[1][found]
+
+    def places(self, block: Block) -> tuple[np.ndarray, np.ndarray]:
+        """(first word, content) of all occurrences of the block's windows, in order of words."""
+        content, low, high = self.search(block)
+        count = high - low
+        which = np.repeat(np.arange(len(count)), count)
+        at = self.array[low[which] + np.arange(len(which)) - (np.cumsum(count) - count)[which]]
+        order = np.argsort(at, kind="stable")
+        return at[order], content[which[order]]
+
+
+@lru_cache(maxsize=4)
+def _block(path: str, window: int) -> Block | None:
+    store, root = pyarrow.fs.FileSystem.from_uri(path)
+    with store.open_input_file(root) as source:
+        rows = pyarrow.parquet.read_table(source).to_pylist()
+    return make_block(sorted((r["item_id"], r["before"], r["whole"], r["words"]) for r in rows), window) if rows else None
+
+
+@lru_cache(maxsize=4)
+def _files(folder: str) -> list[str]:
+    store, root = pyarrow.fs.FileSystem.from_uri(folder)
+    scheme = folder[: len(folder) - len(folder.split("://", 1)[-1])]
+    prefix = scheme + folder.split("://", 1)[-1][: -len(root)] if scheme else ""
+    found = store.get_file_info(pyarrow.fs.FileSelector(root))
+    return sorted(prefix + f.path for f in found if f.path.endswith(".parquet"))
+
+
+def _runs(block: Block, places: list[tuple[int, int]]) -> Iterator[tuple[int, int, int, int]]:
+    """(start, length, row of the block, word of the row) of one text's matches, from its (place, content) in order.
+
+    A match goes on while the next place has the item's next window; a new one takes the longest that the item has.
+    """
+    at_place = dict(places)
+    going: dict[int, tuple[int, int]] = {}  # row: window that would go on, at which place
+    for place, content in places:
+        for row, windows in block.of_content[content].items():
+            was = going.get(row)
+            if was and was[1] == place and was[0] < block.head[row + 1] and block.content[was[0]] == content:
+                going[row] = was[0] + 1, place + 1
+                continue
+            best, best_size = windows[0], 0
+            for q in windows:
+                most = int(block.head[row + 1]) - q
+                if most <= best_size:
+                    break
+                size = 1
+                while size < most and at_place.get(place + size) == block.content[q + size]:
+                    size += 1
+                if size > best_size:
+                    best, best_size = q, size
+            going[row] = best + 1, place + 1
+            yield place, best_size - 1 + int(block.length[best]), row, int(block.at[best] - block.at[block.head[row]])
+
+
+def _joined(found: list[dict]) -> list[dict]:
+    """Matches of one text by place; parts of one longer match (same item, same distance) become one."""
+    out: list[dict] = []
+    for m in sorted(found, key=lambda m: (m["item_id"], m["item_start"] - m["start"], m["start"])):
+        last = out[-1] if out else None
+        if last and last["item_id"] == m["item_id"] and last["item_start"] - last["start"] == m["item_start"] - m["start"] and m["start"] <= last["start"] + last["length"]:
+            last["length"] = max(last["length"], m["start"] + m["length"] - last["start"])
+        else:
+            out.append(dict(m))
+    return sorted(out, key=lambda m: (m["start"], -m["length"], m["item_id"], m["item_start"]))
+
+
+def _hits(w: Words, blocks: list[Block], window: int) -> Iterator[tuple[Block, np.ndarray, np.ndarray]]:
+    """(block, first words, contents) of the places in a shard; those that the piece before has seen are left out."""
+    if not len(w.number):
+        return
+    shard = Shard(w)
+    for block in blocks:
+        at, content = shard.places(block)
+        if w.again:
+            fresh = at + block.length[block.leader[content]] > w.again
+            at, content = at[fresh], content[fresh]
+        if len(at):
+            yield block, at, content
+
+
+def _blocks(folder: str, window: int) -> Iterator[Block]:
+    for path in _files(folder):
+        block = _block(path, window)
+        if block is not None:
+            yield block
+
+
+def _find(folder: str, window: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n_words = np.zeros(batch.num_rows, np.int64)
+            found: list[list[dict]] = [[] for _ in range(batch.num_rows)]
+            for w in words_of(batch.column(1), ALNUM_MASK, fold=True, overlap=window - 1):
+                n_words[w.rows()] += np.diff(w.first) - w.again
+                for block, at, content in _hits(w, _blocks(folder, window), window):
+                    doc = np.searchsorted(w.first, at, side="right") - 1
+                    cuts = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1], True])
+                    for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+                        d = int(doc[lo])
+                        places: dict[int, list] = {}
+                        for a, c in zip((at[lo:hi] - w.first[d]).tolist(), content[lo:hi].tolist(), strict=True):
+                            places.setdefault(int(block.length[block.leader[c]]), []).append((a, c))
+                        for same in places.values():
+                            for start, length, row, item_start in _runs(block, same):
+                                found[w.lo + d].append({"start": start + w.base, "length": length, "item_id": block.names[row], "item_start": item_start + int(block.offset[row])})
+            matches = [_joined(f) if len(f) > 1 else f for f in found]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words), pa.array(matches, _MATCH_TYPE)], names=["doc_id", "n_words", "matches"])
+
+    return run
+
+
+def _cut_items(window: int):
+    """Items as rows of at most ITEM_WORDS words and the window's overlap."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for w in words_of(batch.column(1), ALNUM_MASK, fold=True, chunk_bytes=SHARD_BYTES):
-                rows = len(w.first) - 1
-                found: list[list] = [[] for _ in range(rows)]
-                if block is not None:
-                    first, which = _shard_hits(w, block, window)
-                    good = _verified(w, block, first, which)
-                    first, which = first[good], which[good]
-                    doc = np.searchsorted(w.first, first, side="right") - 1
-                    order = np.lexsort((first, first - block.offset[which], block.item[which], doc))
-                    for d, a, q in zip(doc[order].tolist(), (first - w.first[doc])[order].tolist(), which[order].tolist(), strict=True):
-                        item, at, n = block.names[block.item[q]], int(block.offset[q]), int(block.length[q])
-                        last = found[d][-1] if found[d] else None
-                        if last and last["item_id"] == item and a - at == last["start"] - last["item_start"] and a <= last["start"] + last["length"]:
-                            last["length"] = max(last["length"], a + n - last["start"])
-                        else:
-                            found[d].append({"start": a, "length": n, "item_id": item, "item_start": at})
-                columns = [batch.column(0).slice(w.lo, rows), batch.column(1).slice(w.lo, rows), pa.array(np.diff(w.first), pa.int64()), pa.array(found, _MATCH_TYPE)]
-                yield pa.RecordBatch.from_arrays([columns[0], *columns[2:]], names=["doc_id", "n_words", "matches"])
+            names = batch.column(0).to_pylist()
+            out: list[tuple[str, int, bool, bytes]] = []
+            for w in words_of(batch.column(1), ALNUM_MASK, fold=True, overlap=window - 1):
+                for d in range(len(w.first) - 1):
+                    lo, hi = int(w.first[d]), int(w.first[d + 1])
+                    for a in range(lo, max(lo + 1, hi - window + 1), ITEM_WORDS):
+                        b = min(hi, a + ITEM_WORDS + window - 1)
+                        if a < b:
+                            text = b" ".join(w.data[s:e].tobytes() for s, e in zip(w.start[a:b].tolist(), w.end[a:b].tolist(), strict=True))
+                            out.append((names[w.lo + d], w.base + a - lo, (a, b) == (lo, hi) and not w.base and not w.more, text))
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True) if out else [[]] * 4, (pa.string(), pa.int64(), pa.bool_(), pa.binary()), strict=True)], names=["item_id", "before", "whole", "words"])
 
     return run
 
 
-def _blocks(benchmark: DataFrame, window: int, item_col: str, text_col: str, block_bytes: int) -> list[DataFrame]:
-    """The test items in blocks of about ``block_bytes``: one as long as they are small."""
-    items = benchmark.select(F.col(item_col).cast("string").alias("item_id"), F.col(text_col).alias("text"))
+def write_blocks(benchmark: DataFrame, window: int, block_bytes: int = BLOCK_BYTES, item_col: str = "item_id", text_col: str = "text") -> str:
+    """Writes the test items to block files of about ``block_bytes`` in the shared folder, which is returned."""
+    items = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("item_id"), F.col(text_col).alias("text")).where("text is not null").distinct()
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(1, -(-int(size) // block_bytes))
-    return [items] if n == 1 else [items.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == i) for i in range(n)]
+    rows = items.mapInArrow(_cut_items(window), "item_id string, before long, whole boolean, words binary")
+    folder = shared_dir(benchmark.sparkSession, "items") + "/blocks"
+    rows.repartition(max(1, -(-int(size) // block_bytes)), "item_id", "before", "words").write.parquet(folder)
+    return folder
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_bytes: int = BLOCK_BYTES, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """One row per input row: doc_id, n_words, matches (start, length, item_id, item_start), longest matches first by place.
+    """One row per input row: doc_id, n_words, matches (start, length, item_id, item_start), by place, longest first.
 
-    A-Z are lower-cased; words are ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+``.  A match is a maximal run of words that a
-    document shares with an item, of at least ``window`` words, or the whole of a shorter item.  Null and empty texts,
-    on either side, have no words and match nothing; a null item_id is named by an empty string.  Rows that repeat an
-    id are searched one by one.
+    A-Z are lower-cased; words are ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+``.  A match is a run of words that a document
+    shares with an item, followed as far as it goes, of at least ``window`` words, or the whole of a shorter item.  The
+    matches cover every occurrence of every window.  Null and empty texts, on either side, have no words and match
+    nothing; a null item_id is named by an empty string.  Rows that repeat an id are searched one by one, repeated items
+    once.  Other columns are ignored.  Texts longer than a shard are searched in overlapping pieces.
     """
-    blocks = _blocks(benchmark, window, item_col, item_text_col, block_bytes)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    if len(blocks) == 1:
-        return _search(texts, blocks[0], window)
-    #: A digest of id and text: 64 bits would name two documents of a large corpus alike.
-    rows = texts.withColumn("text_key", F.sha2(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.col("text")), 256))
-    parts = [_search(rows.select(F.col("text_key").alias("doc_id"), "text"), b, window) for b in blocks]
-    spans = None
-    for part in parts:
-        some = part.where(F.size("matches") > 0).select(F.col("doc_id").alias("text_key"), F.explode("matches").alias("m"))
-        spans = some if spans is None else spans.unionAll(some)
-    spans = spans.distinct().groupBy("text_key").agg(F.sort_array(F.collect_list("m")).alias("matches"))
-    counted = rows.select("doc_id", "text_key", "text").mapInArrow(_count_words, "doc_id long, text_key string, n_words long")
-    return counted.join(spans, "text_key", "left").select("doc_id", "n_words", F.coalesce("matches", F.array().cast(_MATCHES)).alias("matches"))
-
-
-def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for w in words_of(batch.column(2), ALNUM_MASK, fold=True, chunk_bytes=SHARD_BYTES):
-            n = len(w.first) - 1
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(w.lo, n), batch.column(1).slice(w.lo, n), pa.array(np.diff(w.first), pa.int64())], names=["doc_id", "text_key", "n_words"])
-
-
-def _search(texts: DataFrame, items: DataFrame, window: int) -> DataFrame:
-    rows = sorted((r.item_id or "", r.text) for r in items.where("text is not null").collect())  # at most a block
-    return texts.mapInArrow(_find(make_block(rows, window) if rows else None, window), f"doc_id {texts.schema['doc_id'].dataType.simpleString()}, n_words long, matches {_MATCHES}")
+    folder = write_blocks(benchmark, window, block_bytes, item_col, item_text_col)
+    return texts.mapInArrow(_find(folder, window), f"doc_id long, n_words long, matches {_MATCHES}")
 
 
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,7 +306,7 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 n_hit.append(0), n_items.append(0), sha.append(empty)
                 continue
             hit, end = 0, 0
-            for m in sorted(found, key=lambda m: m["start"]):
+            for m in found:
                 hit += max(0, m["start"] + m["length"] - max(end, m["start"]))
                 end = max(end, m["start"] + m["length"])
             items = sorted({m["item_id"] for m in found})
@@ -205,24 +317,19 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The rows of ``docs`` (columns unchanged) in which no window of any benchmark item occurs.
 
-    A null doc_id is a document like any other.  One pass over the texts if the items fit one block.
+    A null doc_id or text is a document like any other, which stays.  One pass over the texts.
     """
-    blocks = _blocks(benchmark, window, "item_id", "text", block_bytes)
-    for block in blocks:
-        rows = sorted((r.item_id or "", r.text) for r in block.where("text is not null").collect())
-        docs = docs.mapInArrow(_clean(make_block(rows, window) if rows else None, window, docs.columns.index("text")), docs.schema)
-    return docs
+    folder = write_blocks(benchmark, window, block_bytes)
+    return docs.mapInArrow(_clean(folder, window, docs.columns.index("text")), docs.schema)
 
 
-def _clean(block: Block | None, window: int, column: int):
+def _clean(folder: str, window: int, column: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = np.ones(batch.num_rows, dtype=bool)
-            if block is not None:
-                for w in words_of(batch.column(column), ALNUM_MASK, fold=True, chunk_bytes=SHARD_BYTES):
-                    first, which = _shard_hits(w, block, window)
-                    first = first[_verified(w, block, first, which)]
-                    keep[w.lo + np.searchsorted(w.first, first, side="right") - 1] = False
+            for w in words_of(batch.column(column), ALNUM_MASK, fold=True, overlap=window - 1):
+                for _, at, _ in _hits(w, _blocks(folder, window), window):
+                    keep[w.lo + np.searchsorted(w.first, at, side="right") - 1] = False
             yield batch.filter(pa.array(keep))
 
     return run

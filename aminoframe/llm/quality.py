@@ -2,7 +2,8 @@
 
 Every line of a text is labelled good or bad.  A line's score is linear in its own features and in those of its two
 neighbours; a transition matrix ties neighbouring labels.  Training takes each line of a labelled document as labelled
-like the document.  A document's quality is the mean of the lines' forward-backward marginals, weighted by line length,
+like the document, so it sees no change of label inside one: the matrix learns how strongly lines stick together, from
+the pull of its own penalty against neighbours that always agree.  A document's quality is the mean of the lines' forward-backward marginals, weighted by line length,
 then set against the labels by a logistic curve, so that 0.5 parts them.
 
 Features are of the text alone: shares of kinds of characters, word shapes, lengths and repetition inside the text.
@@ -15,13 +16,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .words import PLAIN_MASK, mix, words_of
+from .words import PLAIN_MASK, Words, grams, mix, words_of
 
-#: Labelled documents used for training, at most, and the lines that one of them may have.
-TRAIN_DOCS, TRAIN_LINES = 3_000, 1_000
+#: Labelled documents used for training, at most, the lines that one of them may have, and the lines of all.
+TRAIN_DOCS, TRAIN_LINES, ALL_LINES = 3_000, 1_000, 200_000
 SEED = 11
 
 
@@ -60,10 +61,11 @@ class Lines:
     x: np.ndarray
 
 
-def _share(flags: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    total = np.zeros(len(flags) + 1, dtype=np.int32)
+def _sum(flags: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """How many flags are set (or the sum of numbers) in each range."""
+    total = np.zeros(len(flags) + 1, dtype=np.uint64 if flags.dtype == np.uint64 else np.int64)
     np.cumsum(flags, out=total[1:])
-    return (total[end] - total[start]).astype(np.float32)
+    return total[end] - total[start]
 
 
 def _seen_before(keys: np.ndarray) -> np.ndarray:
@@ -73,49 +75,106 @@ def _seen_before(keys: np.ndarray) -> np.ndarray:
     return seen
 
 
+class _Seen:
+    """Keys of the pieces so far of one long text, in sorted runs of which each is at least twice the next."""
+
+    def __init__(self) -> None:
+        self.runs: list[np.ndarray] = []
+
+    def before(self, keys: np.ndarray) -> np.ndarray:
+        """Whether each key stands earlier in this array or in one before; then takes them in."""
+        seen = _seen_before(keys)
+        for run in self.runs:
+            if len(run):
+                seen |= run[np.minimum(np.searchsorted(run, keys), len(run) - 1)] == keys
+        self.runs.append(np.unique(keys))
+        while len(self.runs) > 1 and len(self.runs[-2]) < 2 * len(self.runs[-1]):
+            self.runs[-2:] = [np.union1d(*self.runs[-2:])]
+        return seen
+
+
+#: Words of a run that may repeat one before it in its text.
+_RUN = 5
+
+
+def _line_sums(w: Words, words_seen, runs_seen, into_line: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(lines of each document, a row of sums for each line, a key of each line's words) of a chunk or piece.
+
+    Sums add up over the pieces of a line; ``into_line`` words of the first line are in pieces before this one.
+    """
+    skip = int(w.end[w.again - 1]) if w.again else 0
+    offsets = w.offsets.copy()
+    offsets[0] = skip
+    breaks = np.flatnonzero(w.data == 10)
+    breaks = breaks[breaks >= skip]
+    start = np.sort(np.r_[offsets[:-1], breaks + 1], kind="stable")
+    end = np.sort(np.r_[breaks, offsets[1:]], kind="stable")
+    docs = len(offsets) - 1
+    per_doc = np.bincount(np.searchsorted(offsets, breaks, side="right") - 1, minlength=docs) + 1
+    sums = np.zeros((len(start), len(_KINDS) + 8), dtype=np.float64)
+    for i, table in enumerate(_KINDS.values()):
+        sums[:, i] = _sum(table[w.data], start, end)
+    lo, hi = np.searchsorted(w.start, start), np.searchsorted(w.start, end)
+    i = len(_KINDS)
+    sums[:, i], sums[:, i + 1] = end - start, hi - lo
+    keys = np.zeros(len(start), dtype=np.uint64)
+    if len(w.start):
+        h = w.hash
+        last, head = w.data[w.end - 1], w.data[w.start]
+        home = np.repeat(np.arange(docs), np.diff(w.first))
+        owner = mix(home.astype(np.uint64) + np.uint64(1))
+        again = np.zeros(len(h), dtype=bool)
+        if len(h) >= _RUN:
+            runs = grams(h, _RUN)
+            whole = np.flatnonzero(np.arange(len(runs)) >= w.first[home[_RUN - 1 :]])  # none reaches back into another text
+            again[whole + _RUN - 1] = runs_seen(runs[whole] ^ owner[whole])
+        seen = np.zeros(len(h), dtype=bool)
+        seen[w.again :] = words_seen((h ^ owner)[w.again :])
+        for n, flags in enumerate((_ENDS_ODD[last], _STOP_END[last], (w.end - w.start) == 1, (head >= 65) & (head < 91), again, seen)):
+            sums[:, i + 2 + n] = _sum(flags, lo, hi)
+        place = np.arange(len(h)) - np.repeat(lo, np.diff(np.r_[lo, len(h)]))[: len(h)] if not w.again else np.arange(len(h)) - lo[np.maximum(np.searchsorted(lo, np.arange(len(h)), side="right") - 1, 0)]
+        place[lo[0] : hi[0]] += into_line
+        keys = _sum(mix(h + place.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)), lo, hi)
+    return per_doc, sums, keys
+
+
+def _lines(lo: int, per_doc: np.ndarray, sums: np.ndarray, keys: np.ndarray) -> Lines:
+    i = len(_KINDS)
+    length, count = sums[:, i], sums[:, i + 1]
+    size, words = np.maximum(length, 1), np.maximum(count, 1)
+    x = np.zeros((len(sums), N_FEATURES), dtype=np.float32)
+    x[:, :i] = sums[:, :i] / size[:, None]
+    x[:, i] = np.log1p(length) / 5
+    x[:, i + 1] = np.log1p(count) / 4
+    x[:, i + 2] = np.minimum(length / words, 40) / 10
+    x[:, i + 3 : i + 9] = sums[:, i + 2 :] / words[:, None]
+    doc = np.repeat(np.arange(len(per_doc), dtype=np.uint64), per_doc)
+    x[:, i + 9] = _seen_before(mix(keys) ^ mix(doc + np.uint64(1))) & (count > 0)
+    return Lines(lo, np.r_[0, np.cumsum(per_doc)], np.maximum(length, 1).astype(np.float32), x)
+
+
 def lines_of(column: pa.Array) -> Iterator[Lines]:
-    """A text without a newline, even an empty or null one, is one line."""
-    for w in words_of(column, PLAIN_MASK):
-        offsets = w.offsets
-        breaks = np.flatnonzero(w.data == 10)
-        start = np.sort(np.r_[offsets[:-1], breaks + 1], kind="stable")
-        end = np.sort(np.r_[breaks, offsets[1:]], kind="stable")
-        docs = len(offsets) - 1
-        per_doc = np.bincount(np.searchsorted(offsets, breaks, side="right") - 1, minlength=docs) + 1
-        first = np.r_[0, np.cumsum(per_doc)]
-        doc = np.repeat(np.arange(docs), per_doc)
-        length = (end - start).astype(np.float32)
-        size = np.maximum(length, 1)
-        x = np.zeros((len(start), N_FEATURES), dtype=np.float32)
-        for i, table in enumerate(_KINDS.values()):
-            x[:, i] = _share(table[w.data], start, end) / size
-        lo, hi = np.searchsorted(w.start, start), np.searchsorted(w.start, end)
-        count = (hi - lo).astype(np.float32)
-        words = np.maximum(count, 1)
-        i = len(_KINDS)
-        x[:, i] = np.log1p(length) / 5
-        x[:, i + 1] = np.log1p(count) / 4
-        x[:, i + 2] = np.minimum(length / words, 40) / 10
-        if len(w.start):
-            last, head = w.data[w.end - 1], w.data[w.start]
-            x[:, i + 3] = _share(_ENDS_ODD[last], lo, hi) / words
-            x[:, i + 4] = _share(_STOP_END[last], lo, hi) / words
-            x[:, i + 5] = _share((w.end - w.start) == 1, lo, hi) / words
-            x[:, i + 6] = _share((head >= 65) & (head < 91), lo, hi) / words
-            home = np.repeat(np.arange(docs), np.diff(w.first))
-            owner = mix(home.astype(np.uint64) + np.uint64(1))
-            p, down = w.rolling()
-            k = 5
-            again = np.zeros(len(w.hash), dtype=bool)
-            if len(w.hash) > k:
-                grams = (p[k:] - p[:-k]) * down[: len(w.hash) - k + 1]
-                inside = np.arange(len(grams)) + k <= w.first[home[: len(grams)] + 1]  # none reaches into the next text
-                again[: len(grams)] = _seen_before(mix(grams) ^ owner[: len(grams)]) & inside
-            x[:, i + 7] = _share(again, lo, hi) / words
-            x[:, i + 8] = _share(_seen_before(w.hash ^ owner), lo, hi) / words
-            whole = mix((p[hi] - p[lo]) * down[np.minimum(lo, len(down) - 1)]) ^ mix(doc.astype(np.uint64) + np.uint64(1))
-            x[:, i + 9] = _seen_before(whole) & (count > 0)
-        yield Lines(w.lo, first, np.maximum(length, 1), x)
+    """A text without a newline, even an empty or null one, is one line.
+
+    A long text is read in pieces, of which only the lines' sums are held: about 200 bytes a line.
+    """
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    words_seen, runs_seen = _Seen(), _Seen()
+    for w in words_of(column, PLAIN_MASK, overlap=_RUN - 1):
+        if not (w.more or w.base):
+            yield _lines(w.lo, *_line_sums(w, _seen_before, _seen_before, 0))
+            continue
+        into = int(held[-1][0][-1, len(_KINDS) + 1]) if held else 0
+        _, sums, keys = _line_sums(w, words_seen.before, runs_seen.before, into)
+        if held:  # the line that the piece before has begun
+            sums[0] += held[-1][0][-1]
+            keys[:1] += held[-1][1][-1:]
+            held[-1] = held[-1][0][:-1], held[-1][1][:-1]
+        held.append((sums, keys))
+        if not w.more:
+            sums, keys = (np.concatenate(x) for x in zip(*held, strict=True))
+            yield _lines(w.lo, np.array([len(sums)]), sums, keys)
+            held, words_seen, runs_seen = [], _Seen(), _Seen()
 
 
 def _with_neighbours(x: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -245,11 +304,12 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(lines.lo, len(blobs)), pa.array(blobs, pa.binary()), pa.array(weights, pa.binary())], names=["label", "x", "weight"])
 
 
-def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, train_lines: int = TRAIN_LINES, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Model | None:
+def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, train_lines: int = TRAIN_LINES, all_lines: int = ALL_LINES, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Model | None:
     """A model from at most ``train_docs`` labelled documents outside the held-out fold, chosen by a hash of their id.
 
     Null labels, labelled ids that no document has and documents of more than ``train_lines`` lines are left out of
-    training (not of scoring), so what reaches the driver is bounded.  Of several labels of one id the largest counts,
+    training (not of scoring); so are those at which the lines taken so far, in that order, exceed ``all_lines``.  What
+    reaches the driver is bounded by that number, 84 bytes a line.  Of several labels of one id the largest counts,
     of several texts the smallest.  None if there is nothing to learn from.
     """
     usable = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(F.col(id_col)))
@@ -257,7 +317,11 @@ def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, train_
     chosen = usable.orderBy(F.xxhash64(F.lit(SEED), F.col("__id")), "__id").limit(train_docs)
     texts = docs.select(F.col(id_col).cast("long").alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(chosen), "__id")
     #: Lines are counted after the grouping, so only in texts that have a label.
-    texts = texts.groupBy("__id", "label").agg(F.min("text").alias("text")).where(F.size(F.split("text", "\n", -1)) <= train_lines)
+    texts = texts.groupBy("__id", "label").agg(F.min("text").alias("text"))
+    n_lines = F.octet_length("text") - F.octet_length(F.replace(F.col("text"), F.lit("\n"), F.lit(""))) + 1
+    texts = texts.withColumn("n_lines", n_lines).where(F.col("n_lines") <= train_lines)
+    #: One task, over at most train_docs rows.
+    texts = texts.withColumn("so_far", F.sum("n_lines").over(Window.orderBy(F.xxhash64(F.lit(SEED), F.col("__id")), "__id"))).where(F.col("so_far") <= all_lines)
     found = texts.select("label", "text").mapInArrow(_features, "label int, x binary, weight binary").collect()
     if not found:
         return None

@@ -10,49 +10,45 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .units import Units, any_in, unit_hashes
-from .words import text_chunks
+from .units import Units, pieces, safe_gaps
+from .words import CHUNK_BYTES
+
+
+def _before_spaces(data: np.ndarray) -> np.ndarray:
+    return safe_gaps(data, 32)
+
 
 class Counter:
     """Token counts of one vocabulary.
 
-    No piece has a space mark after another character, so no merge reaches over the end of a word: a text of words
-    between single spaces counts as its words do, each distinct word encoded once and its count kept.  Texts with other
-    spaces, or with the mark itself, are encoded whole.
+    No piece has a space mark after another character, so no merge reaches over the end of a word: at a single space
+    between two characters that are surely neither spaces nor the mark a text may be parted, and the parts' counts add
+    up.  Each distinct part (mostly a word) of a batch is encoded once, by its bytes; odd spacing stays inside a part.
     """
 
     def __init__(self, model: str, entries: int) -> None:
         self.encoder = sentencepiece.SentencePieceProcessor(model_file=model)
-        pieces = [self.encoder.id_to_piece(i) for i in range(self.encoder.vocab_size())]
-        if any("▁" in p.lstrip("▁") for p in pieces) or self.encoder.encode("a  ", out_type=str)[-1][-1] != "▁":
+        pieces_ = [self.encoder.id_to_piece(i) for i in range(self.encoder.vocab_size())]
+        if any("▁" in p.lstrip("▁") for p in pieces_) or self.encoder.encode("a  ", out_type=str)[-1][-1] != "▁":
             raise ValueError("texts can't be split at spaces with this vocabulary")
         self.units = Units(entries)
 
-    def lengths(self, texts: list[str]) -> list[int]:
-        return list(map(len, self.encoder.encode(texts, num_threads=1)))
-
-    def count(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """Counts of the texts between neighbouring offsets; new words are encoded in one call."""
-        n, raw = len(data), data.tobytes()
-        space = data == 32
-        begins = np.zeros(n + 1, dtype=bool)
-        begins[offsets] = True
-        before = np.r_[True, space[:-1]] if n else space
-        marks = np.zeros(n, dtype=bool)
-        if n > 2:
-            marks[:-2] = (data[:-2] == 0xE2) & (data[1:-1] == 0x96) & (data[2:] == 0x81)
-        whole = any_in((space & (before | begins[:-1] | begins[1:])) | marks, offsets)
-        start = np.flatnonzero(~space & (before | begins[:-1]))
-        end = np.flatnonzero(~space & (np.r_[space[1:], True] | begins[1:]) if n else space) + 1
-        owner = np.searchsorted(offsets, start, side="right") - 1
-        fine = ~whole[owner]
-        start, end, owner = start[fine], end[fine], owner[fine]
-        counts, _ = self.units.values(unit_hashes(data, start, end), lambda at: [(k,) for k in self.lengths([raw[a:b].decode() for a, b in zip(start[at].tolist(), end[at].tolist(), strict=True)])])
-        out = np.diff(np.r_[0, np.cumsum(counts, dtype=np.int64)][np.searchsorted(owner, np.arange(len(offsets)))])
-        rest = np.flatnonzero(whole)
-        if len(rest):
-            out[rest] = self.lengths([raw[offsets[d] : offsets[d + 1]].decode() for d in rest])
-        return out
+    def lengths(self, units: list[bytes]) -> list[int]:
+        """A unit that begins inside a text has its space before it, which the encoder adds by itself."""
+        return list(map(len, self.encoder.encode([u[1:].decode() if u[:1] == b"\xff" else u.decode() for u in units], num_threads=1)))
+
+    def count(self, data: np.ndarray, offsets: np.ndarray, goes_on: bool = False) -> np.ndarray:
+        """Counts of the texts between neighbouring offsets; ``goes_on``: the first is parted text, from its space on."""
+        cuts = safe_gaps(data, 32, offsets)
+        begins = offsets[:-1][np.diff(offsets) > 0]
+        start = np.union1d(cuts, begins)
+        if len(cuts) or goes_on:  # the space before an inner part becomes a byte that no text has
+            data = data.copy()
+            data[cuts] = 255
+            data[:1] = 255 if goes_on else data[:1]
+        values, number, owners = self.units.values(data, start, offsets, self.lengths)
+        total = np.r_[0, np.cumsum(np.array(values, dtype=np.int64)[number])] if len(number) else np.zeros(1, np.int64)
+        return np.diff(total[owners])
 
 
 _COUNTERS: dict[str, Counter] = {}
@@ -64,19 +60,25 @@ def _count(model: str, batch_bytes: int, cache_entries: int):
             _COUNTERS[model] = Counter(model, cache_entries)
         counter = _COUNTERS[model]
         for batch in batches:
-            for lo, data, offsets in text_chunks(batch.column(1), batch_bytes):
-                n = counter.count(data, offsets)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, len(n)), pa.array(np.diff(offsets)), pa.array(n)], names=["doc_id", "n_bytes", "n_tokens"])
+            n_bytes, n_tokens = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
+            goes_on = False
+            for lo, data, offsets, more in pieces(batch.column(1), batch_bytes, _before_spaces):
+                rows = slice(lo, lo + len(offsets) - 1)
+                n_bytes[rows] += np.diff(offsets)
+                n_tokens[rows] += counter.count(data, offsets, goes_on)
+                goes_on = more
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_bytes), pa.array(n_tokens)], names=["doc_id", "n_bytes", "n_tokens"])
 
     return run
 
 
-def token_counts(docs: DataFrame, model: str, limit: int = 4096, batch_bytes: int = 7 << 17, cache_entries: int = 2_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def token_counts(docs: DataFrame, model: str, limit: int = 4096, batch_bytes: int = CHUNK_BYTES, cache_entries: int = 300_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, n_bytes, n_tokens, over_limit (more than ``limit`` tokens).
 
     ``model`` is the path of a SentencePiece vocabulary.  Whole texts count, without begin and end tokens; null counts
-    as empty, with 0 tokens.  Encoder calls take batches of about ``batch_bytes``; texts are split at spaces, where no
-    merge can reach over.  Each worker keeps the counts of at most ``cache_entries`` words, plus those of one batch.
+    as empty, with 0 tokens.  Encoder calls take batches of about ``batch_bytes``; longer texts are parted at safe
+    spaces (``Counter``), and only a part without any is encoded in one piece, whatever its length.  Each worker keeps
+    the counts of at most ``cache_entries`` parts, plus those of one batch.  Other columns are ignored.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return texts.mapInArrow(_count(model, batch_bytes, cache_entries), "doc_id long, n_bytes long, n_tokens long").withColumn("over_limit", F.col("n_tokens") > limit)

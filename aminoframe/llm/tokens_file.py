@@ -2,8 +2,8 @@
 
 Layout of a file (integers little-endian, as in zstandard's seekable format):
 
-* data frames: each an independent zstandard frame over the ids of whole documents, 4 bytes an id; a longer document has
-  a frame of its own;
+* data frames: each an independent zstandard frame over the ids of whole documents, 4 bytes an id; a longer document goes
+  on in the frames after it;
 * one more frame over the document table: for each document its id, null flag, frame, first id in the frame and count;
 * a skippable frame (magic 0x184D2A5E) with the seek table: compressed size, decompressed size and checksum of each
   frame, the document table's included; then the number of frames, a descriptor byte and the magic 0x8F92EAB1.
@@ -15,10 +15,12 @@ decompresses only the frames of the documents asked for.
 from __future__ import annotations
 
 import io
+import os
 import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -30,31 +32,32 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from .scratch import shared_dir, written
-from .units import Units, any_in, unit_hashes
-from .words import text_chunks
+from .units import Units, pieces, safe_gaps
+from .words import CHUNK_BYTES
 
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
 FRAME_IDS = 1 << 16
-CHUNK_BYTES = 7 << 17
 _DOC = np.dtype([("doc_id", "<i8"), ("null", "u1"), ("frame", "<u4"), ("first", "<u4"), ("count", "<u8")])
 
 
 class Writer:
-    """Writes one file to a binary stream; documents are added in order."""
+    """Writes one file to a binary stream; documents are begun in order and their ids come in one or more pieces."""
 
     def __init__(self, out, frame_ids: int = FRAME_IDS, level: int = 1) -> None:
         self.out, self.frame_ids, self.level = out, frame_ids, level
         self.frames: list[tuple[int, int, int]] = []
-        self.docs: list[tuple[int, int, int, int, int]] = []
+        self.docs: list[list[int]] = []
         self.held: list[bytes] = []
         self.n_held = self.n_ids = 0
 
-    def add(self, doc_id: int | None, ids: bytes) -> None:
-        """``ids``: 4 bytes an id."""
+    def add(self, doc_id: int | None, ids: bytes, goes_on: bool = False) -> None:
+        """``ids``: 4 bytes an id; ``goes_on``: more of the document that was begun last."""
         n = len(ids) // 4
         if self.n_held and self.n_held + n > self.frame_ids:
             self._flush()
-        self.docs.append((doc_id or 0, doc_id is None, len(self.frames), self.n_held, n))
+        if not goes_on:
+            self.docs.append([doc_id or 0, doc_id is None, len(self.frames), self.n_held, 0])
+        self.docs[-1][4] += n
         self.held.append(ids)
         self.n_held += n
         self.n_ids += n
@@ -71,7 +74,7 @@ class Writer:
 
     def close(self) -> None:
         self._flush()
-        self._frame(np.array(self.docs, dtype=_DOC).tobytes())
+        self._frame(np.array([tuple(d) for d in self.docs], dtype=_DOC).tobytes())
         table = b"".join(struct.pack("<III", *f) for f in self.frames) + struct.pack("<IBI", len(self.frames), 0x80, SEEKABLE)
         self.out.write(struct.pack("<II", SKIPPABLE, len(table)) + table)
 
@@ -103,81 +106,65 @@ class Reader:
             raise ValueError(f"frame {i} is damaged")
         return raw
 
+    def parts(self, row: int) -> Iterator[np.ndarray]:
+        """The ids of the ``row``-th document of the file, a frame at a time."""
+        d = self.docs[row]
+        frame, first, left = int(d["frame"]), int(d["first"]), int(d["count"])
+        while left:
+            if self.held[0] != frame:
+                self.held = (frame, self.frame(frame))
+            part = np.frombuffer(self.held[1], dtype="<u4", offset=4 * first)[:left]
+            yield part
+            frame, first, left = frame + 1, 0, left - len(part)
+
     def ids(self, row: int) -> np.ndarray:
         """The ids of the ``row``-th document of the file."""
-        d = self.docs[row]
-        if self.held[0] != d["frame"]:
-            self.held = (int(d["frame"]), self.frame(int(d["frame"])))
-        return np.frombuffer(self.held[1], dtype="<u4", count=int(d["count"]), offset=4 * int(d["first"]))
+        return np.concatenate([np.zeros(0, "<u4"), *self.parts(row)])
 
     def find(self, doc_id: int) -> list[np.ndarray]:
         """The ids of each row with this doc_id."""
         return [self.ids(i) for i in np.flatnonzero((self.docs["doc_id"] == doc_id) & (self.docs["null"] == 0))]
 
 
-#: What a byte is to the vocabulary's pretoken pattern: 0 space, 1 newline, 2 letter, 3 digit, 4 other, 9 unsure.
-_CLASS = np.full(256, 9, dtype=np.uint8)
-_CLASS[33:127] = 4
-_CLASS[32], _CLASS[10] = 0, 1
-_CLASS[48:58] = 3
-_CLASS[65:91] = _CLASS[97:123] = _CLASS[128:192] = _CLASS[0xC3:0xCA] = 2
-_CLASS[ord("'")] = 9
-#: The library's byte-level alphabet.
-_VISIBLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
-_ALPHABET = {b: b for b in _VISIBLE} | {b: 256 + n for n, b in enumerate(sorted({*range(256)} - {*_VISIBLE}))}
-_SPACED = np.uint64(0x5851F42D4C957F2D)
+def _joints(data: np.ndarray, offsets: np.ndarray | None = None) -> np.ndarray:
+    """Places before which a text may be parted: single spaces, and single newlines on both sides."""
+    lines = safe_gaps(data, 10, offsets)
+    return np.sort(np.concatenate([safe_gaps(data, 32, offsets), lines, lines + 1]))
 
 
 class Encoder:
     """ids of a byte-level vocabulary of the tokenizers library, special tokens as it handles them by default.
 
-    A pretoken's ids don't depend on its neighbours.  In texts of letters up to U+024F, digits, ASCII signs without
-    apostrophes, single spaces and single newlines the pretokens are the runs of one class with the space before them:
-    each distinct one is encoded once, and its ids are kept.  All other texts are encoded whole.
+    The vocabulary's pattern always parts a text before a single space, and before and after a single newline, between
+    characters that are no white space; no merge reaches over that, and no special token holds one.  Each distinct part
+    of a batch is encoded once by the library; odd spacing and signs stay inside a part.
     """
 
-    def __init__(self, path: str, entries: int = 2_000_000) -> None:
+    def __init__(self, path: str, entries: int = 300_000) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks share the cores
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.model._resize_cache(0)
-        if not all(t.content.startswith("<|") for t in self.tokenizer.get_added_tokens_decoder().values()):
-            raise ValueError("a special token's name doesn't begin with <|, which is how texts with one are told")
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        if any(t.lstrip or t.rstrip or t.single_word or not {" ", "\n"}.isdisjoint(t.content) for t in added):
+            raise ValueError("a special token reaches over white space, so texts can't be parted there")
         self.units = Units(entries)
 
-    def whole(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
-
-    def _pretoken(self, raw: bytes) -> list[int]:
-        mapped = raw.decode().replace(" ", "Ġ") if raw.isascii() and raw != b"\n" else raw.decode("latin-1").translate(_ALPHABET)
-        return [t.id for t in self.tokenizer.model.tokenize(mapped)]
+    def _compute(self, units: list[bytes]) -> list[np.ndarray]:
+        found = self.tokenizer.encode_batch_fast([u.decode() for u in units], add_special_tokens=False)
+        return [np.array(e.ids, dtype="<u4") for e in found]
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of the texts between neighbouring offsets, one text after another, and each text's number of ids."""
-        n = len(data)
-        kind = _CLASS[data]
-        begins = np.zeros(n + 1, dtype=bool)
-        begins[offsets] = True
-        before = np.r_[np.uint8(1), kind[:-1]] if n else kind
-        following = np.r_[data[1:], np.uint8(0)] if n else data
-        gap, at_end = kind < 2, begins[1:]
-        odd = (kind == 9) | (gap & ~begins[:-1] & (before < 2)) | (gap & at_end) | ((data == 0xC3) & ((following == 0x97) | (following == 0xB7))) | ((data == 60) & (following == 124))
-        whole = any_in(odd, offsets)
-        opens = (kind > 0) & (begins[:-1] | (kind != before) | (kind == 1))
-        closes = (kind > 0) & (at_end | (np.r_[kind[1:], np.uint8(0)] != kind) if n else at_end) | (kind == 1)
-        start, end = np.flatnonzero(opens), np.flatnonzero(closes) + 1
-        owner = np.searchsorted(offsets, start, side="right") - 1
-        fine = ~whole[owner]
-        start, end, owner = start[fine], end[fine], owner[fine]
-        spaced = ~begins[start] & (before[start] == 0)
-        hashes = unit_hashes(data, start, end)
-        hashes[spaced] ^= _SPACED
-        raw = data.tobytes()
-        ids, count = self.units.values(hashes, lambda at: [self._pretoken(raw[a:b]) for a, b in zip((start[at] - spaced[at]).tolist(), end[at].tolist(), strict=True)])
+        start = np.union1d(_joints(data, offsets), offsets[:-1][np.diff(offsets) > 0])
+        values, number, owners = self.units.values(data, start, offsets, self._compute)
+        if not len(number):
+            return np.zeros(0, "<u4"), np.zeros(len(offsets) - 1, np.int64)
+        size = np.fromiter(map(len, values), np.int64, len(values))
+        flat, begin = np.concatenate(values), np.cumsum(size) - size
+        count = size[number]
         total = np.r_[0, np.cumsum(count)]
-        cuts = total[np.searchsorted(owner, np.arange(len(offsets)))]
-        if not whole.any():
-            return ids, np.diff(cuts)
-        parts = [self.whole(raw[offsets[d] : offsets[d + 1]].decode()) if whole[d] else ids[cuts[d] : cuts[d + 1]] for d in range(len(offsets) - 1)]
-        return np.concatenate(parts), np.fromiter(map(len, parts), np.int64, len(parts))
+        ids = flat[np.repeat(begin[number] - total[:-1], count) + np.arange(total[-1])]
+        return ids, np.diff(total[owners])
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -191,8 +178,8 @@ def _write(folder: str, tokenizer: str, end_id: int):
         store, root = pyarrow.fs.FileSystem.from_uri(folder)
         writer, stream, path, first = None, None, None, None
         for batch in batches:
-            names = batch.column(0).to_pylist()
-            for lo, data, offsets in text_chunks(batch.column(1), CHUNK_BYTES):
+            names, goes_on = batch.column(0).to_pylist(), False
+            for lo, data, offsets, more in pieces(batch.column(1), CHUNK_BYTES, _joints):
                 ids, count = encoder.encode(data, offsets)
                 cuts = np.r_[0, np.cumsum(count)].tolist()
                 for d, doc_id in enumerate(names[lo : lo + len(count)]):
@@ -202,7 +189,8 @@ def _write(folder: str, tokenizer: str, end_id: int):
                         store.create_dir(root, recursive=True)
                         stream = store.open_output_stream(f"{root}/{path}", compression=None)
                         writer = Writer(stream)
-                    writer.add(doc_id, ids[cuts[d] : cuts[d + 1]].astype("<u4").tobytes() + end)
+                    writer.add(doc_id, ids[cuts[d] : cuts[d + 1]].tobytes() + (b"" if more else end), goes_on)
+                goes_on = more
         if writer is not None:
             writer.close()
             stream.close()
@@ -234,7 +222,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 reader, start = Reader(source), row["before"]
                 for lo in range(0, len(reader.docs), 4096):
                     part = reader.docs[lo : lo + 4096]
-                    crc = [zlib.crc32(reader.ids(i).tobytes()) for i in range(lo, lo + len(part))]
+                    crc = [reduce(lambda c, ids: zlib.crc32(ids.tobytes(), c), reader.parts(i), 0) for i in range(lo, lo + len(part))]
                     count = part["count"].astype(np.int64)
                     starts = start + np.cumsum(count) - count
                     start += int(count.sum())

@@ -1,63 +1,77 @@
-"""Values of text units (words, pretokens) by hash, kept as sorted arrays of a few bytes a unit."""
+"""Cells of texts: parts that a vocabulary encodes independently of what stands around them, and their values."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 
-from .words import _BYTES, mix
+from .words import _encoded, last_cut, row_runs, text_bytes
 
+#: Bytes of one-byte characters that are neither white space nor control.
+_SEEN = np.zeros(256, dtype=bool)
+_SEEN[33:127] = True
+#: First bytes of two- and three-byte characters among which there is no white space (U+00C0-07FF, U+4000-DFFF).
+_LEAD_2 = np.zeros(256, dtype=bool)
+_LEAD_2[0xC3:0xE0] = True
+_LEAD_3 = np.zeros(256, dtype=bool)
+_LEAD_3[0xE4:0xEE] = True
 
-def unit_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the byte ranges ``start .. end``."""
-    up, down = _BYTES.need(len(data))
-    p = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=p[1:])
-    return mix((p[end] - p[start]) * down[start] + (end - start).astype(np.uint64))
+
+def safe_gaps(data: np.ndarray, gap: int, offsets: np.ndarray | None = None) -> np.ndarray:
+    """Places of single ``gap`` bytes between two characters of one text which are surely no white space."""
+    inner = data == gap
+    inner[:1] = inner[-1:] = False
+    if offsets is not None:
+        edges = offsets[(offsets > 0) & (offsets < len(data))]
+        inner[edges] = inner[edges - 1] = False
+    at = np.flatnonzero(inner)
+    before, after = data[at - 1], data[at + 1]
+    left = _SEEN[before]
+    wide = np.flatnonzero(~left & (before >= 128))
+    if len(wide):
+        i = at[wide]
+        left[wide] = _LEAD_2[data[np.maximum(i - 2, 0)]] & (i >= 2) | _LEAD_3[data[np.maximum(i - 3, 0)]] & (data[np.maximum(i - 2, 0)] >= 128) & (i >= 3)
+    return at[left & (_SEEN[after] | _LEAD_2[after] | _LEAD_3[after])]
+
+
+def pieces(column: pa.Array, chunk_bytes: int, cuts: Callable[[np.ndarray], np.ndarray]) -> Iterator[tuple[int, np.ndarray, np.ndarray, bool]]:
+    """(first row, bytes, document offsets, whether the row goes on in the next piece) of about ``chunk_bytes``.
+
+    Texts of more bytes are parted before the places that ``cuts`` names; one without such places comes whole.
+    """
+    data, offsets = text_bytes(column)
+    for lo, hi in row_runs(offsets, chunk_bytes):
+        part = data[offsets[lo] : offsets[hi]]
+        if len(part) <= chunk_bytes or hi > lo + 1:
+            yield lo, part, offsets[lo : hi + 1] - offsets[lo], False
+            continue
+        at = 0
+        while at < len(part):
+            stop = last_cut(part, at, chunk_bytes, cuts)
+            yield lo, part[at:stop], np.array([0, stop - at]), stop < len(part)
+            at = stop
 
 
 class Units:
-    """The values (arrays of 32-bit numbers) of at most ``entries`` units, and of the current call's."""
+    """The values of at most ``entries`` units, by their bytes, and of the current call's."""
 
     def __init__(self, entries: int) -> None:
         self.entries = entries
-        self._clear()
-
-    def _clear(self) -> None:
-        self.keys, self.at = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        self.count = np.zeros(0, np.int32)
-        self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
-
-    def values(self, hashes: np.ndarray, compute: Callable[[np.ndarray], list]) -> tuple[np.ndarray, np.ndarray]:
-        """(all values one after another, how many each unit has); ``compute`` gets the places of units without one."""
-        if len(self.keys) > self.entries:
-            self._clear()
-        distinct, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-        slot = np.searchsorted(self.keys, distinct)
-        known = np.zeros(len(distinct), dtype=bool)
-        inside = slot < len(self.keys)
-        known[inside] = self.keys[slot[inside]] == distinct[inside]
-        new = np.flatnonzero(~known)
-        if len(new):
-            found = compute(first[new])
-            count = np.fromiter(map(len, found), np.int32, len(found))
-            more = np.fromiter((x for f in found for x in f), np.uint32, int(count.sum()))
-            if self.used + len(more) > len(self.flat):
-                self.flat = np.r_[self.flat[: self.used], more, np.zeros(len(self.flat) + len(more), np.uint32)]
-            else:
-                self.flat[self.used : self.used + len(more)] = more
-            at = self.used + np.cumsum(count) - count
-            self.used += len(more)
-            self.keys, self.at, self.count = (np.insert(a, slot[new], b) for a, b in ((self.keys, distinct[new]), (self.at, at), (self.count, count)))
-            slot = np.searchsorted(self.keys, distinct)
-        at, count = self.at[slot][inverse], self.count[slot][inverse].astype(np.int64)
-        before = np.cumsum(count) - count
-        total = int(before[-1] + count[-1]) if len(count) else 0
-        return self.flat[np.repeat(at - before, count) + np.arange(total)], count
-
-
-def any_in(flags: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """For each range between neighbouring offsets whether a flag in it is set."""
-    total = np.r_[0, np.cumsum(flags)]
-    return total[offsets[1:]] > total[offsets[:-1]]
+        self.known: dict[bytes, object] = {}
+
+    def values(self, data: np.ndarray, start: np.ndarray, offsets: np.ndarray, compute: Callable[[list[bytes]], list]) -> tuple[list, np.ndarray, np.ndarray]:
+        """(value of each distinct unit, which of them stands at each place, units before each text).
+
+        Units begin at ``start`` (ascending, empty texts have none) and reach to the next one; ``compute`` is called
+        once with those that have no value yet.
+        """
+        number, spelling = _encoded(data, np.diff(np.r_[start, len(data)]))
+        distinct = spelling.to_pylist()
+        if len(self.known) > self.entries:
+            self.known = {}
+        new = [u for u in distinct if u not in self.known]
+        if new:
+            self.known.update(zip(new, compute(new), strict=True))
+        return [self.known[u] for u in distinct], number, np.searchsorted(start, offsets)

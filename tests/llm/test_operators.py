@@ -13,6 +13,7 @@ from brute import contamination, fingerprint, lines, near, sha, substring, texts
 from pyspark.sql import functions as F
 
 from aminoframe.llm import components, decontaminate, exact_dedup, html_text, line_dedup, mixing, quality, simhash_dedup, substring_dedup, token_counts, tokens_file
+from aminoframe.llm.units import pieces
 
 SCHEMA = "doc_id long, text string, id string, spans int, source string, n_words int"
 
@@ -110,17 +111,23 @@ def _odd():
     return ODD + ["".join(r.choice(" ab\n's1.é\t—“ª<|▁") for _ in range(r.randint(0, 12))) for _ in range(4000)]
 
 
-def test_encoders_match_the_libraries_on_odd_texts():
-    data = pa.array(_odd(), pa.large_string())
+@pytest.mark.parametrize("size", [15, 2000, 1 << 20])
+def test_encoders_match_the_libraries_on_odd_texts(size):
+    """Also when texts are parted wherever they may be."""
+    odd = _odd()
+    data = pa.array(odd, pa.large_string())
     counter, encoder = token_counts.Counter(tokenizers_path.path("piece_bpe_32k.model"), 50), tokens_file.Encoder(tokenizers_path.path("byte_bpe_50k.json"), 50)
-    counts, ids = [], []
-    for _, raw, offsets in token_counts.text_chunks(data, 2000):
-        counts += counter.count(raw, offsets).tolist()
+    counts, ids, goes_on = np.zeros(len(odd), int), [[] for _ in odd], False
+    for lo, raw, offsets, more in pieces(data, size, token_counts._before_spaces):
+        counts[lo : lo + len(offsets) - 1] += counter.count(raw, offsets, goes_on)
+        goes_on = more
+    for lo, raw, offsets, _ in pieces(data, size, tokens_file._joints):
         flat, n = encoder.encode(raw, offsets)
         cuts = np.r_[0, np.cumsum(n)]
-        ids += [flat[a:b].tolist() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-    assert counts == counter.lengths(_odd())
-    assert ids == [e.ids for e in encoder.tokenizer.encode_batch(_odd(), add_special_tokens=False)]
+        for d in range(len(n)):
+            ids[lo + d] += flat[cuts[d] : cuts[d + 1]].tolist()
+    assert counts.tolist() == [len(x) for x in counter.encoder.encode(odd)]
+    assert ids == [e.ids for e in encoder.tokenizer.encode_batch(odd, add_special_tokens=False)]
 
 
 def _benchmark(spark, rows):
