@@ -11,8 +11,9 @@ consecutive windows with one anchor form a block, so equal windows always have t
 3. Factors of a window's length or more are the duplicate spans.  At a factor's end, the windows that reach over it are
    looked at in turn, so a copy that goes on in another document is found with the words before the boundary.
 
-Hashes only propose; factors are found by comparing bytes.  Rows with one id and text take part once.  Hot blocks are
-aggregated before the shuffle; the joins read tables, so adaptive execution can split a hot key.
+Hashes only propose; factors are found by comparing bytes.  Rows with one id and text take part once, and the texts are
+shuffled once, to buckets.  Hot blocks are aggregated before the shuffle; the joins read tables, so adaptive execution
+can split a hot key.
 """
 
 from __future__ import annotations
@@ -112,10 +113,10 @@ def _id(doc_id: str) -> Column:
     return F.coalesce(F.col(doc_id).cast("long"), F.lit(_LAST))
 
 
-def matches(keyed: DataFrame, scratch: Scratch, window: int, phrase: int = 16) -> DataFrame:
-    """Each window's (or block's) reference: (id, text_key, start, length, ref_id, ref_key, ref_start).
+def matches(keyed: DataFrame, scratch: Scratch, window: int, phrase: int = 16) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
+    """Each block's and each window's reference, two tables (id, text_key, start, length, ref_id, ref_key, ref_start).
 
-    ``keyed`` has id, text_key and text.  The words of a document's rows are exactly those of its windows that also
+    They read the scratch tables that are returned with them.  ``keyed`` has id, text_key and text.  The words of a document's rows are exactly those of its windows that also
     start in a document with a smaller id, as far as hashes tell.
     """
     blocks = scratch.write(keyed.mapInArrow(_emit_blocks(window, phrase), "id long, text_key long, start int, windows int, anchor long, block long"), "blocks")
@@ -135,7 +136,7 @@ def matches(keyed: DataFrame, scratch: Scratch, window: int, phrase: int = 16) -
     first = windows.groupBy("anchor", "value").agg(F.min(F.struct("id", "text_key", "start")).alias("ref"), F.max("id").alias("last")).where("last > ref.id")
     first = scratch.write(first.select("anchor", "value", "ref"), "first")
     single = windows.join(first, ["anchor", "value"]).where("id > ref.id").select("id", "text_key", "start", F.lit(window).alias("length"), F.col("ref.id").alias("ref_id"), F.col("ref.text_key").alias("ref_key"), F.col("ref.start").alias("ref_start"))
-    return whole.unionByName(single)
+    return whole, single, [whole, differing, listed, windows, first]
 
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -277,8 +278,8 @@ def _rewrite(window: int):
                 kept.append(b"".join(p.tobytes() for p in parts)[:-1].decode())
                 factors.append([dict(zip(("start", "length", "ref_id", "ref_start"), f, strict=True)) for f in found])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string()), pa.array(factors, _FACTORS)],
-                names=["doc_id", "n_words", "n_removed", "kept_text", "factors"],
+                [batch.column(0), batch.column(4), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string()), pa.array(factors, _FACTORS)],
+                names=["doc_id", "copies", "n_words", "n_removed", "kept_text", "factors"],
             )
 
     return run
@@ -293,25 +294,31 @@ def substring_dedup(docs: DataFrame, window: int = 50, id_col: str = "doc_id", t
     Words are ``[^\\x20\\x09-\\x0D]+``; null and empty texts have none.  A word goes if a window of ``window``
     consecutive words that covers it also starts in a document with a smaller id; texts under ``window`` words stay
     whole.  A null id counts as the largest; rows with one id are one document that never matches itself.  Rows that
-    repeat an id and text are treated alike, at the cost of one pass each; other columns, whatever their names, are
+    repeat an id and text are parsed once and come out as often as they went in; other columns, whatever their names, are
     ignored.  Neighbouring factors overlap by less than a window where copies of different documents meet.
     """
-    spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "substrings")
-    keyed = docs.select(_id(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("text_key"), F.col(text_col).alias("text"))
-    found = matches(keyed, scratch, window)
-    lists = found.groupBy("id", "text_key").agg(F.collect_set(F.struct("start", "length", "ref_id", "ref_key", "ref_start")).alias("spans"))
+    scratch = Scratch(docs.sparkSession, "substrings")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), _id(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("text_key"), F.col(text_col).alias("text"))
+    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    #: The texts are shuffled once; everything that goes to a document afterwards joins its bucket.
+    texts = rows.repartition(partitions, "id", "text_key").groupBy("id", "text_key", "doc_id", "text").agg(F.count("*").alias("copies"))
+    texts = scratch.bucketed(texts, ["id", "text_key"], "texts")
+    whole, single, tables = matches(texts.select("id", "text_key", "text"), scratch, window)
+    lists = whole.unionByName(single).groupBy("id", "text_key").agg(F.collect_set(F.struct("start", "length", "ref_id", "ref_key", "ref_start")).alias("spans"))
     spans = scratch.write(lists.mapInArrow(_merge, f"id long, text_key long, spans {_SPANS}"), "spans")
+    scratch.drop(*tables)
     wants = spans.select("id", "text_key", F.explode("spans").alias("s"))
     wants = wants.select("id", "text_key", "s.ref_id", "s.ref_key", F.explode(F.sequence(F.floor(F.col("s.ref_start") / CELL).cast("int"), F.floor((F.col("s.ref_start") + F.col("s.reach") - 1) / CELL).cast("int"))).alias("cell")).distinct()
     wants = scratch.write(wants, "wants")
     needed = scratch.write(wants.groupBy(F.col("ref_id").alias("id"), F.col("ref_key").alias("text_key")).agg(F.collect_set("cell").alias("cells")), "needed")
-    cells = keyed.join(needed, ["id", "text_key"]).select("id", "text_key", "text", "cells").mapInArrow(_cells, "ref_id long, ref_key long, cell int, words binary")
-    cells = scratch.write(cells.dropDuplicates(["ref_id", "ref_key", "cell"]), "cells")
+    cells = texts.join(needed, ["id", "text_key"]).select("id", "text_key", "text", "cells").mapInArrow(_cells, "ref_id long, ref_key long, cell int, words binary")
+    cells = scratch.write(cells, "cells")
     fetched = wants.join(cells, ["ref_id", "ref_key", "cell"]).groupBy("id", "text_key").agg(F.collect_list(F.struct("ref_id", "ref_key", "cell", "words")).alias("cells"))
     facts = scratch.write(spans.join(fetched, ["id", "text_key"]), "facts")
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), _id(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("text_key"))
-    joined = rows.join(facts, ["id", "text_key"], "left").select("doc_id", "text", "spans", "cells")
-    return joined.mapInArrow(_rewrite(window), "doc_id long, n_words long, n_removed long, kept_text string, factors array<struct<start:int,length:int,ref_id:long,ref_start:int>>")
+    scratch.drop(spans, wants, needed, cells)
+    joined = texts.join(facts, ["id", "text_key"], "left").select("doc_id", "text", "spans", "cells", "copies")
+    found = joined.mapInArrow(_rewrite(window), "doc_id long, copies long, n_words long, n_removed long, kept_text string, factors array<struct<start:int,length:int,ref_id:long,ref_start:int>>")
+    return found.select("doc_id", "n_words", "n_removed", "kept_text", "factors", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy")).drop("copy")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
