@@ -40,13 +40,11 @@ class Counter:
     def count(self, data: np.ndarray, offsets: np.ndarray, goes_on: bool = False) -> np.ndarray:
         """Counts of the texts between neighbouring offsets; ``goes_on``: the first is parted text, from its space on."""
         cuts = safe_gaps(data, 32, offsets)
-        begins = offsets[:-1][np.diff(offsets) > 0]
-        start = np.union1d(cuts, begins)
         if len(cuts) or goes_on:  # the space before an inner part becomes a byte that no text has
             data = data.copy()
             data[cuts] = 255
             data[:1] = 255 if goes_on else data[:1]
-        values, number, owners = self.units.values(data, start, offsets, self.lengths)
+        values, number, owners = self.units.values(data, cuts, offsets, self.lengths)
         total = np.r_[0, np.cumsum(np.array(values, dtype=np.int64)[number])] if len(number) else np.zeros(1, np.int64)
         return np.diff(total[owners])
 

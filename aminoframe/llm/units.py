@@ -55,23 +55,35 @@ def pieces(column: pa.Array, chunk_bytes: int, cuts: Callable[[np.ndarray], np.n
 
 
 class Units:
-    """The values of at most ``entries`` units, by their bytes, and of the current call's."""
+    """The values of units by their bytes: the newest ``entries``, about as many that were used before, and the current call's."""
 
     def __init__(self, entries: int) -> None:
         self.entries = entries
         self.known: dict[bytes, object] = {}
+        self.before: dict[bytes, object] = {}
 
-    def values(self, data: np.ndarray, start: np.ndarray, offsets: np.ndarray, compute: Callable[[list[bytes]], list]) -> tuple[list, np.ndarray, np.ndarray]:
+    def values(self, data: np.ndarray, starts: np.ndarray, offsets: np.ndarray, compute: Callable[[list[bytes]], list]) -> tuple[list, np.ndarray, np.ndarray]:
         """(value of each distinct unit, which of them stands at each place, units before each text).
 
-        Units begin at ``start`` (ascending, empty texts have none) and reach to the next one; ``compute`` is called
-        once with those that have no value yet.
+        Units begin at ``starts`` and where texts do, and reach to the next one; ``compute`` is called once with those
+        that have no value yet.
         """
+        begins = np.zeros(len(data) + 1, dtype=bool)
+        begins[starts] = begins[offsets] = True
+        start = np.flatnonzero(begins[:-1])
         number, spelling = _encoded(data, np.diff(np.r_[start, len(data)]))
         distinct = spelling.to_pylist()
         if len(self.known) > self.entries:
-            self.known = {}
-        new = [u for u in distinct if u not in self.known]
+            self.known, self.before = {}, self.known
+        known, before = self.known, self.before
+        new = []
+        for u in distinct:
+            if u not in known:
+                value = before.get(u)
+                if value is None:
+                    new.append(u)
+                else:
+                    known[u] = value
         if new:
-            self.known.update(zip(new, compute(new), strict=True))
-        return [self.known[u] for u in distinct], number, np.searchsorted(start, offsets)
+            known.update(zip(new, compute(new), strict=True))
+        return [known[u] for u in distinct], number, np.searchsorted(start, offsets)
