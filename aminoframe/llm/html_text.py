@@ -1,8 +1,10 @@
 """Main text of web pages by a maximum-scoring subsequence.
 
-A page is a sequence of words and tags.  Words score positive and tags negative, with weights learnt from labelled
-pages: the log-odds of standing in the main text, for words by where they stand (plain or in a link), for tags by name.  One linear scan finds the contiguous run of tokens with the largest sum.  The run's blocks are the text,
-without blocks that stand inside menus, adverts, forms, comments and the like.
+A page is a sequence of blocks of words and of tags.  Tags score negative; a block's words score by what speaks for
+them being main text: the names of the elements they stand in, class and id names, and how many of them are links.  All
+weights are learnt from labelled pages (``labelled_pages``): words nothing speaks against score positive.  One linear
+scan finds the contiguous run with the largest sum.  Boilerplate takes part in the scan with its negative scores, and
+the blocks inside the run that score negative themselves (an advert within an article) are left out.
 """
 
 from __future__ import annotations
@@ -12,215 +14,341 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
+from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .labelled_pages import labelled_pages
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|select|svg|iframe|title)\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>|</?([a-zA-Z][\w:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S | re.I)
-_HINT = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-_BAD_NAME = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|advertising|sponsor(?:ed)?|promo(?:tion)?|banner|cookies?|consent|gdpr|notice|alert|popup|modal|newsletter|subscribe|signup|login|sidebar|side|menu|nav(?:bar|igation)?|breadcrumbs?|footer|header|masthead|comments?|replies|respond|disqus|share|sharing|social|related|recommended|widget|pagination|pager|toolbar|copyright|legal|search|form)(?:$|[\s_-])",
-    re.I,
-)
-_BAD_TAG = {"nav", "footer", "aside", "form", "button", "dialog", "menu", "label", "fieldset"}
-_GOOD_TAG = {"article", "main"}
-_TALK = re.compile(r"(?:^|[\s_-])(?:comments?|replies|respond|disqus)(?:$|[\s_-])", re.I)
+_ATTRIBUTE = re.compile(r"([^\s=/>\"']+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
+_QUOTED = re.compile(r"=\s*([\"'])")
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+#: Elements whose content is no markup, and those whose content is no text.
+_RAW = {"script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes"}
+_NO_TEXT = {"noscript", "template", "select", "svg", "math", "object", "canvas", "audio", "video"}
+_VOID = {"br", "hr", "img", "input", "meta", "link", "wbr", "area", "base", "col", "embed", "source", "track", "param"}
+_INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "br", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
 _ROOM = {"table", "td", "th", "ul", "ol", "dl", "select", "div", "section", "article", "main", "aside", "nav"}
 #: Elements that a start tag ends, and those that it can't reach beyond.
 _IMPLIED = {t: ({"p"}, _ROOM | {"li", "dd", "button"}) for t in "p div ul ol dl table h1 h2 h3 h4 h5 h6 section article aside main nav header footer form pre blockquote".split()}
 _IMPLIED |= {"li": ({"li"}, {"ul", "ol"}), "td": ({"td", "th"}, {"table", "tr"}), "th": ({"td", "th"}, {"table", "tr"}), "tr": ({"tr"}, {"table"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "option": ({"option"}, {"select"})}
-_VOID = {"br", "hr", "img", "input", "meta", "link", "wbr", "area", "base", "col", "embed", "source", "track", "param"}
-_INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "br", "cite", "code", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "data", "bdo"}
-PLAIN, LINK, BOILERPLATE = "plain", "link", "boilerplate"
+#: Elements whose name says nothing about their words.
+_SILENT = {"div", "html", "body", "head", "table", "tbody", "thead", "tr", "ul", "ol", "dl"}
+#: Elements of this depth have no elements of their own; deeper ones count as their parent, as in browsers.
+DEPTH = 500
+
+
+class _Finder:
+    """Where a string stands next; each is looked for only once over the whole page."""
 
+    def __init__(self, page: str) -> None:
+        self.page, self.last = page, {}
 
-def tokens(page: str) -> Iterator[tuple[str, str, str]]:
-    """(kind, name or text, where): kind is "tag" or "text"; where is PLAIN, LINK or BOILERPLATE.
+    def after(self, what: str, at: int) -> int:
+        known = self.last.get(what, -2)
+        if known == -1 or known >= at:
+            return known
+        self.last[what] = self.page.find(what, at)
+        return self.last[what]
 
-    An element with a boilerplate name is cut unless it has the page's h1 or, where the name is only part of a class or id,
-    most of the page's words outside boilerplate tags.
+    def end_tag(self, name: str, at: int) -> int:
+        known = self.last.get(("/", name), -2)
+        if known == -1 or known >= at:
+            return known
+        found = re.compile(f"</{name}(?=[\\s/>])", re.I).search(self.page, at)
+        self.last["/", name] = found.start() if found else -1
+        return self.last["/", name]
+
+
+def markup(page: str) -> Iterator[tuple[str, str, str]]:
+    """(kind, value, attributes) in order: "text" (with its references), "start" or "end" of an element by name.
+
+    Comments, declarations and the content of scripts, styles and the like are left out.  Time is linear in the page.
     """
-    kept: set[int] = set()
-    while True:
-        found, named, total = _marked(page, kept)
-        whole = {at for at, (words, title, sure) in named.items() if title or not sure and 2 * words > total}
-        if whole <= kept:
-            return iter(found)
-        kept |= whole
-
-
-def _marked(page: str, kept: set[int]) -> tuple[list[tuple[str, str, str]], dict[int, list], int]:
-    """Tokens; by place, words, h1 and whole name of the elements cut for their names; all words outside boilerplate tags."""
-    found: list[tuple[str, str, str]] = []
-    stack: list[tuple[str, str, int]] = []  # open elements: name, "" or kind of boilerplate, place
-    named: dict[int, list] = {}
-    good, links, end, total = 0, 0, 0, 0
-
-    def where() -> str:
-        return BOILERPLATE if any(b for _, b, _ in stack) else LINK if links else PLAIN
-
-    def text(value: str) -> None:
-        nonlocal total
-        if not links and not any(b == "tag" for _, b, _ in stack):
-            n = len(value.split())
-            total += n
-            for _, b, at in stack:
-                if b:
-                    named[at][0] += n
-        found.append(("text", value, where()))
-
-    for m in _TOKEN.finditer(page):
-        if m.start() > end:
-            text(page[end : m.start()])
-        end = m.end()
-        name = (m[2] or "").lower()
-        if not name:
-            found.append(("tag", (m[1] or "!").lower(), where()))
+    find, at, n = _Finder(page), 0, len(page)
+    while at < n:
+        less = find.after("<", at)
+        if less < 0:
+            yield "text", page[at:], ""
+            return
+        if less > at:
+            yield "text", page[at:less], ""
+        following = page[less + 1 : less + 2]
+        if following in ("!", "?"):
+            comment = page.startswith("<!--", less)
+            close = find.after("-->" if comment else ">", less + 2)
+            at = n if close < 0 else close + (3 if comment else 1)
+            continue
+        name = _NAME.match(page, less + 1 + (following == "/"))
+        end = find.after(">", less) if name else -1
+        if end < 0:
+            if name:  # an element that the end of the page cuts off
+                return
+            yield "text", "<", ""
+            at = less + 1
             continue
-        if m[0][1] == "/":
-            at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
-            if at is not None:
-                del stack[at:]  # with all that its end implies
-            good -= name in _GOOD_TAG and good > 0
-            links -= name == "a" and links > 0
+        seek = name.end()
+        while (quote := _QUOTED.search(page, seek, end)) is not None:
+            close = find.after(quote[1], quote.end())
+            if close < 0:
+                break
+            seek = close + 1
+            end = find.after(">", seek)
+            if end < 0:
+                return
+        tag, at = name[0].lower(), end + 1
+        if following == "/":
+            yield "end", tag, ""
+            continue
+        attributes = page[name.end() : end]
+        if tag in _RAW:
+            close = find.end_tag(tag, at)
+            if close < 0 and tag in ("script", "style"):
+                return
+            if close >= 0:
+                at = find.after(">", close) + 1 or n
+            continue
+        yield "start", tag, attributes
+
+
+def evidence(tag: str, attributes: str, inside: Counter) -> list[str]:
+    """What an element says about the words in it: its name, and its class, id and role names whole and in parts."""
+    found = []
+    if tag in ("article", "main", "header", "footer"):
+        apart = inside["aside"] or inside["nav"] or inside["form"]
+        found.append(f"{tag} apart" if apart else f"inner {tag}" if tag[-2:] == "er" and (inside["article"] or inside["main"]) else tag)
+    elif tag not in _SILENT and tag not in _INLINE:
+        found.append(tag)
+    if "=" in attributes and tag not in ("html", "body"):
+        for m in _ATTRIBUTE.finditer(attributes):
+            if m[1].lower() in ("class", "id", "role"):
+                for name in (m[2] or m[3] or m[4] or "").lower().split()[:20]:
+                    found += ["=" + name, *("~" + x for x in re.split(r"[-_:]+", name) if x)]
+    return found
+
+
+@dataclass
+class Block:
+    """Words between two tags that part blocks; ``said`` is the evidence of all open elements."""
+
+    text: str
+    words: int
+    linked: int
+    said: Counter
+    path: tuple[int, ...]
+
+
+@dataclass
+class _Open:
+    tag: str
+    said: Counter
+    number: int
+    path: tuple[int, ...] = field(default=())
+
+
+def blocks(page: str) -> Iterator[Block | str]:
+    """Blocks and the names of the tags between them, in page order."""
+    stack = [_Open("", Counter(), 0, (0,))]
+    inside: Counter = Counter()
+    held: list[tuple[str, bool, Counter]] = []
+    number = 0
+
+    def close() -> Block | None:
+        text = " ".join(entities.unescape("".join(t for t, _, _ in held)).split())
+        if not text:
+            held.clear()
+            return None
+        sizes = [len(t.split()) for t, _, _ in held]
+        said = held[max(range(len(held)), key=lambda i: sizes[i])][2]
+        block = Block(text, len(text.split()), sum(s for s, (_, link, _) in zip(sizes, held, strict=True) if link), said, stack[-1].path)
+        held.clear()
+        return block
+
+    def pop(to: int) -> None:
+        for x in stack[to:]:
+            inside[x.tag] -= 1
+        del stack[to:]
+
+    for kind, tag, attributes in markup(page):
+        if kind == "text":
+            if not inside["no text"]:
+                held.append((tag, inside["a"] > 0, stack[-1].said))
+            continue
+        parts = tag not in _INLINE
+        if parts:
+            block = close()
+            if block:
+                yield block
+        elif tag == "br" and kind == "start":
+            held.append((" ", False, stack[-1].said))
+        if kind == "end":
+            if inside[tag] > 0:
+                at = next(i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == tag)
+                if any(x.tag not in _INLINE for x in stack[at + 1 :]) and not parts:
+                    at = len(stack)  # an inline element doesn't end the blocks inside it
+                inside["no text"] -= sum(x.tag in _NO_TEXT for x in stack[at:])
+                pop(at)
         else:
-            if name in _IMPLIED:
-                ends, bounds = _IMPLIED[name]
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] in ends:
-                        del stack[i:]
-                        break
-                    if stack[i][0] in bounds:
-                        break
-            if name in _GOOD_TAG:
-                good += 1
-                if not any(b == "talk" or n in ("aside", "nav", "footer") for n, b, _ in stack):
-                    stack = [(n, "", at) for n, _, at in stack]
-            hints = " ".join(x for t in _HINT.findall(m[3]) for x in t) if "=" in m[3] else ""
-            bad = "tag" if name in _BAD_TAG or name == "header" and not good and m.start() not in kept and not hints else ""
-            if not bad and m.start() not in kept and (name == "header" and not good or hints and name not in ("html", "body", "article", "main") and _BAD_NAME.search(hints)):
-                bad = "talk" if _TALK.search(hints) else "name"
-                named[m.start()] = [0, False, any(_BAD_NAME.fullmatch(t) for t in hints.split())]
-            if name == "h1" and not any(b == "tag" for _, b, _ in stack):
-                for _, b, at in stack:
-                    if b == "name":
-                        named[at][1] = True
-            if name not in _VOID and not m[3].endswith("/"):
-                stack.append((name, bad, m.start()))
-            links += name == "a"
-        found.append(("tag", name, where()))
-    if end < len(page):
-        text(page[end:].partition("<")[0] if page.rfind("<", end) >= 0 and ">" not in page[end:] else page[end:])
-    return found, named, total
+            if tag in _IMPLIED:
+                ends, bounds = _IMPLIED[tag]
+                if any(inside[x] > 0 for x in ends):
+                    for i in range(len(stack) - 1, 0, -1):
+                        if stack[i].tag in ends:
+                            inside["no text"] -= sum(x.tag in _NO_TEXT for x in stack[i:])
+                            pop(i)
+                            break
+                        if stack[i].tag in bounds:
+                            break
+            if tag not in _VOID and not (attributes.endswith("/") and tag in _NO_TEXT) and len(stack) < DEPTH:
+                number += 1
+                said = evidence(tag, attributes, inside)
+                top = stack[-1]
+                stack.append(_Open(tag, top.said + Counter(said) if said else top.said, number, (*top.path, number) if tag in ("article", "main") else top.path))
+                inside[tag] += 1
+                inside["no text"] += tag in _NO_TEXT
+        if parts:
+            yield tag
+    block = close()
+    if block:
+        yield block
 
 
 class Weights:
-    """Log-odds of tokens, learnt from labelled pages."""
-
-    def __init__(self, pages: list[tuple[str, list[str]]]) -> None:
-        words: dict[bool, Counter] = {True: Counter(), False: Counter()}  # in the main text or not, by where
-        tags: dict[bool, Counter] = {True: Counter(), False: Counter()}
-        for page, blocks in pages:
-            wanted = set(blocks)
-            for kind, value, where in tokens(page):
-                if kind == "text":
-                    text = " ".join(entities.unescape(value).split())
-                    words[text in wanted][where] += len(text.split())
+    """Log-odds of being main text, learnt from labelled pages by logistic regression; and what tags cost."""
+
+    #: A piece of evidence needs so many blocks to be learnt; what speaks for a block counts up to MOST in all, so that
+    #: no number of promising wrappers outweighs an advert's name.
+    LEAST, MOST = 3, 3.0
+    #: The odds of words of which nothing is known; not learnt, so text that nothing speaks against is always positive.
+    PLAIN = 0.5
+
+    def __init__(self, pages: list[tuple[str, list[str]]], steps: int = 400) -> None:
+        found: dict[tuple[frozenset, float], list[int]] = {}  # blocks of the same evidence: how many, how many main
+        tags = {True: Counter(), False: Counter()}
+        for page, wanted in pages:
+            left, last = Counter(wanted), False
+            for x in blocks(page):
+                if isinstance(x, str):
+                    tags[last][x] += 1
                 else:
-                    tags[where == PLAIN][value] += 1
-        total = {side: sum(words[side].values()) + 3 for side in words}
-        odds = {w: math.log((words[True][w] + 1) / total[True]) - math.log((words[False][w] + 1) / total[False]) for w in (PLAIN, LINK)}
-        #: Words outside boilerplate are positive evidence; a link's are weaker than plain ones.
-        self.words = {PLAIN: max(odds[PLAIN], 0.1), LINK: min(odds[PLAIN] / 4, max(odds[LINK], 0.02))}
-        sums = {side: sum(tags[side].values()) for side in tags}
-        self.default = -1.0
-        self.tags = {t: -min(4.0, max(0.2, 1.0 + math.log((tags[False][t] + 1) / (sums[False] + 1)) - math.log((tags[True][t] + 1) / (sums[True] + 1)))) for t in {*tags[True], *tags[False]}}
+                    last = left[x.text] > 0
+                    left[x.text] -= last
+                    n = found.setdefault((frozenset(x.said), round(x.linked / x.words, 1)), [0, 0])
+                    n[0] += 1
+                    n[1] += last
+        seen: Counter = Counter()
+        for (said, _), (n, _) in found.items():
+            seen.update(dict.fromkeys(said, n))
+        names = {k: i + 2 for i, k in enumerate(sorted(k for k, n in seen.items() if n >= self.LEAST))}
+        x = np.zeros((len(found), len(names) + 2), dtype=np.float32)
+        x[:, 0] = 1
+        for i, (said, linked) in enumerate(found):
+            x[i, 1] = linked
+            x[i, [names[k] for k in said if k in names]] = 1
+        n, y = (np.array(c, dtype=np.float32) / sum(n for n, _ in found.values()) for c in zip(*found.values(), strict=True))
+        w = np.zeros(x.shape[1], dtype=np.float32)
+        w[0] = self.PLAIN
+        m = v = np.zeros_like(w)
+        for t in range(1, steps + 1):
+            speaks_for, against = np.maximum(w, 0), np.minimum(w, 0)
+            speaks_for[:2], against[:2] = 0, w[:2]
+            good = x @ speaks_for
+            off = n / (1 + np.exp(-(np.minimum(good, self.MOST) + x @ against))) - y
+            g = np.where(w > 0, x.T @ (off * (good < self.MOST)), x.T @ off)
+            g[0], g[1] = 0, x[:, 1] @ off
+            g += 1e-4 * np.r_[0, w[1:]]
+            m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+            w = w - 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+        self.bias, self.link = float(w[0]), float(w[1])
+        self.said = {k: float(w[i]) for k, i in names.items()}
+        total = {side: sum(c.values()) + 1 for side, c in tags.items()}
+        odds = {t: math.log((tags[True][t] + 1) / total[True]) - math.log((tags[False][t] + 1) / total[False]) for t in {*tags[True], *tags[False]}}
+        #: Tags count against a region, those that mostly stand outside main texts more so.
+        self.tags = {t: -0.1 * min(3.0, max(0.5, 1.0 - o)) for t, o in odds.items()}
+
+    def odds(self, block: Block) -> float:
+        said = [self.said.get(k, 0.0) for k in block.said]
+        good = min(self.MOST, sum(x for x in said if x > 0))
+        return self.bias + self.link * block.linked / block.words + good + sum(x for x in said if x < 0)
+
+    def score(self, block: Block) -> float:
+        """Of the whole block: at most 1 a word for main text, at most 0.5 against it."""
+        return block.words * max(-0.5, min(1.0, self.odds(block) / 2))
 
     def tag(self, name: str) -> float:
-        return self.tags.get(name, self.default)
-
-
-@lru_cache(maxsize=1)
-def weights() -> Weights:
-    return Weights(labelled_pages())
+        return self.tags.get(name, -0.1)
 
 
-def main_text(page: str, w: Weights | None = None) -> str:
-    """Blocks of the best run, one to a line; "" if no run scores above 0."""
-    w = w or weights()
-    found = list(tokens(page))
-    words = [len(value.split()) if kind == "text" else 0 for kind, value, _ in found]
-    best, best_range, run, begin = 0.0, (0, 0), 0.0, 0
-    for i, (kind, value, where) in enumerate(found):
-        if where == BOILERPLATE:  # never part of the text, so it neither joins a run nor parts one
-            continue
-        run += w.words[where] * words[i] if kind == "text" else w.tag(value) * (0.25 if value in _INLINE else 1.0)
+def best_run(scores: list[float]) -> tuple[int, int]:
+    """The contiguous run of the largest sum, the first of them, as (begin, end); empty if none is above 0."""
+    best, found, run, begin = 0.0, (0, 0), 0.0, 0
+    for i, score in enumerate(scores):
+        run += score
         if run <= 0:
             run, begin = 0.0, i + 1
         elif run > best:
-            best, best_range = run, (begin, i + 1)
-    blocks, held = [], []
+            best, found = run, (begin, i + 1)
+    return found
+
+
+_LEARNT: list[Weights] = []
 
-    def close() -> None:
-        text = " ".join(entities.unescape("".join(held)).split())
-        if text:
-            blocks.append(text)
-        held.clear()
 
-    lo, hi = _whole_blocks(found, *best_range)
-    for kind, value, where in found[lo:hi]:
-        if kind == "tag":
-            if value == "br":
-                held.append(" ")
-            elif value not in _INLINE and value != "!":
-                close()
-        elif where != BOILERPLATE:
-            held.append(value)
-    close()
-    return "\n".join(blocks)
-
-
-def _whole_blocks(found: list, lo: int, hi: int) -> tuple[int, int]:
-    """The run, widened to the ends of the blocks it begins and ends in, and to headings just before it."""
-    if lo >= hi:
-        return lo, hi
-
-    def breaks(token) -> bool:
-        return token[0] == "tag" and token[1] not in _INLINE and token[1] != "!"
-
-    while hi < len(found) and not breaks(found[hi]):
-        hi += 1
-    while lo and not breaks(found[lo - 1]):
-        lo -= 1
-    at, levels = lo, {"h1", "h2"}
-    while at and found[at - 1][2] != BOILERPLATE and (found[at - 1][0] == "text" or found[at - 1][1] not in ("body", "head", "html", "nav", "footer")):
-        at -= 1
-        if found[at][0] == "tag" and found[at][1] in levels:
-            lo = at
-    return lo, hi
-
-
-def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for lo in range(0, batch.num_rows, 1000):
-            part = batch.slice(lo, 1000)
-            text = [main_text(p or "") for p in part.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(text, pa.string()), pa.array(map(len, text), pa.int64())], names=["page_id", "url", "text", "n_chars"])
+def weights() -> Weights:
+    if not _LEARNT:
+        _LEARNT.append(Weights(labelled_pages()))
+    return _LEARNT[0]
+
+
+def main_text(page: str, w: Weights | None = None) -> str:
+    """Blocks of the best run, one to a line; "" if no run scores above 0.
+
+    If the run lies in an article or main element, it is widened to all of it: the element's end is the text's, even
+    where an advert before the last paragraph costs more than that paragraph has.
+    """
+    w = w or weights()
+    found = list(blocks(page))
+    scores = [w.tag(x) if isinstance(x, str) else w.score(x) for x in found]
+    lo, hi = best_run(scores)
+    inner = [x.path for x in found[lo:hi] if not isinstance(x, str) and w.odds(x) >= 0]
+    if not inner:
+        return ""
+    depth = min(map(len, inner))
+    while len({p[:depth] for p in inner}) > 1:
+        depth -= 1
+    if depth > 1:
+        within = inner[0][:depth]
+        chosen = [x for x in found if not isinstance(x, str) and x.path[:depth] == within]
+    else:
+        chosen = [x for x in found[lo:hi] if not isinstance(x, str)]
+    return "\n".join(x.text for x in chosen if w.odds(x) >= 0)
+
+
+def _extract(w: Weights):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 1000):
+                part = batch.slice(lo, 1000)
+                text = [main_text(p or "", w) for p in part.column(2).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(text, pa.string()), pa.array(map(len, text), pa.int64())], names=["page_id", "url", "text", "n_chars"])
+
+    return run
 
 
 def extract_text(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", url_col: str = "url") -> DataFrame:
     """One row per input row: page_id, url, text, n_chars (code points).
 
-    Null html counts as empty and has the empty text, as have pages without words outside boilerplate.  Character
-    references are decoded, white space inside a block is one space, blocks stand in page order with one newline between.
-    Unclosed elements and a missing end of page are allowed.
+    Null html counts as empty and has the empty text, as have pages in which nothing scores above 0.  Character
+    references are decoded, white space inside a block is one space, blocks stand in page order with one newline
+    between.  An article inside comments or an aside is no main text.  Unclosed elements, tags that the page's end cuts
+    off and stray signs are allowed; time is linear in a page's length, and elements nested deeper than ``DEPTH`` count
+    as their parent.  Rows that repeat an id are pages of their own; other columns are ignored.
     """
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
-    return rows.mapInArrow(_extract, "page_id long, url string, text string, n_chars long")
+    return rows.mapInArrow(_extract(weights()), "page_id long, url string, text string, n_chars long")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
