@@ -15,7 +15,7 @@ from . import __version__
 from .config import default_config, load_config, validate_config
 from .errors import IdColumnError, SequenceError
 from .operators import REGISTRY
-from .provenance import now, write_provenance
+from .provenance import RunRecord
 
 
 class Usage(Exception):
@@ -74,7 +74,6 @@ def _validate(args: argparse.Namespace) -> int:
 
 
 def _compute(args: argparse.Namespace) -> None:
-    started = now()
     if args.config:
         if args.all or args.descriptor or args.family:
             raise Usage("--config stands alone, without --all, -d or -f")
@@ -87,9 +86,11 @@ def _compute(args: argparse.Namespace) -> None:
         if not given:
             raise Usage("name descriptors with --config, --all, -d or -f")
     parameters = {n: REGISTRY[n].defaults() | p for n, p in given.items()}
+    record = RunRecord("compute", {"descriptors": parameters, "seq_col": args.seq_col, "id_col": args.id_col})
     from py4j.protocol import Py4JJavaError
     from pyspark.errors import PySparkException
-    from pyspark.sql import SparkSession
+    from pyspark.sql import Observation, SparkSession
+    from pyspark.sql import functions as F
 
     from .plans.engine import compute, make
     from .sources.tables import read_sequences, write_table
@@ -98,15 +99,17 @@ def _compute(args: argparse.Namespace) -> None:
     try:
         rows = read_sequences(spark, args.input, args.seq_col, args.id_col)
         result = compute(rows, make(given, given))
-        write_table(result, args.output, single_file=not args.parts)
-        n_rows = rows.count()
+        counted, n = Observation(), F.count(F.lit(1)).alias("n_rows")
+        write_table(result.observe(counted, n), args.output, single_file=not args.parts)
+        n_rows = counted.get["n_rows"]
     except IdColumnError as e:
         raise Usage(str(e)) from e
     except (PySparkException, Py4JJavaError) as e:
         raise SequenceError(f"{args.input}: {str(e)[:300]}") from e
-    info = {"n_rows": n_rows, "n_cols": len(result.columns) - 1}
-    write_provenance(Path(args.output), tool="aminoframe", version=__version__, command="compute", created_at=started, parameters={"descriptors": parameters, "seq_col": args.seq_col, "id_col": args.id_col}, inputs=[Path(args.input)], packages=["pyspark", "pyarrow", "numpy"], output_info=info)
-    print(f"{info['n_rows']} records, {info['n_cols']} features: {args.output}")
+    record.took(args.input)
+    record.made(args.output, n_rows, len(result.columns) - 1)
+    record.keep()
+    print(f"{n_rows} records, {len(result.columns) - 1} features: {args.output}")
 
 
 def _parser() -> argparse.ArgumentParser:

@@ -7,6 +7,7 @@ or a count is computed once however many features use it.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterable
 
@@ -21,9 +22,18 @@ class Dialect:
     def __init__(self) -> None:
         self.levels: dict[str, int] = {"seq": 0, "n": 0}
         self.lets: dict[str, str] = {}
+        self.spelled: dict[str, str] = {}
+
+    @staticmethod
+    def key(*parts: object) -> str:
+        """A part of an intermediate's name that stands for a user's names and values, whatever signs they hold."""
+        return hashlib.sha256(repr(parts).encode()).hexdigest()[:16]
 
     def let(self, name: str, sql: str) -> str:
-        """Names an intermediate; the same name always stands for the same expression."""
+        """Names an intermediate, for all descriptors of a plan; one name can't stand for two expressions."""
+        taken = self.spelled.setdefault(name.lower(), name)
+        if taken != name or self.lets.get(name, sql) != sql or name in ("seq", "n"):
+            raise ValueError(f"an intermediate {taken!r} of another expression is there already; choose a name of its own for {name!r}")
         if name not in self.lets:
             used = [self.levels[w] for w in set(re.findall(r"[A-Za-z_]\w*", sql)) if w in self.levels]
             self.lets[name], self.levels[name] = sql, 1 + max(used, default=0)
@@ -121,11 +131,16 @@ class Dialect:
 
     def mask(self, group: str) -> str:
         """1 or 0 for every residue."""
-        return self.values("in_" + "".join(sorted(set(group))), {r: 1.0 for r in group})
+        return self.values("in_" + self.members(group), {r: 1.0 for r in group})
+
+    def members(self, group: str) -> str:
+        """A name for a group of residues: its letters, or a key if it has other signs."""
+        letters = "".join(sorted(set(group)))
+        return letters if letters.isalpha() and letters.isascii() and letters.isupper() else self.key(letters)
 
     def places(self, group: str) -> str:
         """1-based positions of the group's residues."""
-        name = "".join(sorted(set(group)))
+        name = self.members(group)
         body = self.mapi(self.mask(group), "CASE WHEN x > 0 THEN i + 1 END")
         return self.let(f"pos_{name}", self.filter(body, "x IS NOT NULL"))
 

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import inspect
+from collections.abc import Mapping
 from typing import ClassVar
 
 from ..functions.dialect import Dialect
+from .kinds import Kind, ParameterError
 
 REGISTRY: dict[str, type[Descriptor]] = {}
 
@@ -15,6 +17,8 @@ class Descriptor:
 
     name: ClassVar[str] = ""
     family: ClassVar[str] = ""
+    #: What ``register`` was told of the parameters; one that isn't named takes any value.
+    kinds: ClassVar[Mapping[str, Kind]] = {}
 
     def features(self, d: Dialect) -> list[tuple[str, str]]:
         raise NotImplementedError
@@ -33,12 +37,27 @@ class Descriptor:
     def defaults(cls) -> dict[str, object]:
         return {k: p.default for k, p in cls.parameters().items() if p.default is not p.empty}
 
-
-def register(name: str, family: str):
-    """Adds a descriptor class under a name; the last one registered counts."""
+    @classmethod
+    def problems(cls, given: Mapping[str, object]) -> list[tuple[str, str]]:
+        """(parameter, what is wrong with it) of all that is wrong; the parameter is "" where none is to blame."""
+        own = cls.parameters()
+        found = [(k, "unknown parameter") for k in given if k not in own]
+        found += [(k, complaint) for k, kind in cls.kinds.items() if k in given and (complaint := kind.complaint(given[k]))]
+        if not found:
+            try:
+                cls(**given).columns()
+            except ParameterError as e:
+                found.append((e.parameter, str(e)))
+            except Exception as e:  # a user's descriptor may raise anything
+                found.append(("", str(e)))
+        return found
+
+
+def register(name: str, family: str, **kinds: Kind):
+    """Adds a descriptor class under a name, with the kinds of its parameters; the last one registered counts."""
 
     def add(cls: type[Descriptor]) -> type[Descriptor]:
-        cls.name, cls.family = name, family
+        cls.name, cls.family, cls.kinds = name, family, kinds
         REGISTRY[name] = cls
         return cls
 

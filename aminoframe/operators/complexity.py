@@ -7,6 +7,7 @@ import math
 from ..functions.alphabet import GROUPS
 from ..functions.dialect import Counts, Dialect
 from .base import Descriptor, lengths, register
+from .kinds import NUMBER, WHOLE
 from .composition import gini
 
 _PLACE = 2147483648  # 2 ** 31: a word's number times this, plus its place
@@ -103,7 +104,7 @@ def in_runs(d: Dialect, lengths_: str, least: int) -> str:
     return d.ratio(d.total(d.map(d.filter(lengths_, f"x >= {least}"), d.number(1) + " * x")), "n")
 
 
-@register("entropy_complexity", family="complexity")
+@register("entropy_complexity", family="complexity", low_complexity_window=WHOLE, entropy_threshold=NUMBER)
 class EntropyComplexity(Descriptor):
     """Entropy, linguistic complexity and low-complexity windows."""
 

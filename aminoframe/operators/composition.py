@@ -8,13 +8,14 @@ from itertools import product
 from ..functions.alphabet import GROUPS, RESIDUES
 from ..functions.dialect import Counts, Dialect
 from .base import Descriptor, lengths, register
+from .kinds import FLAG, WHOLE, ParameterError
 
 
 def _unique(c: Counts) -> str:
     return " + ".join(f"CASE WHEN {x} > 0 THEN 1 ELSE 0 END" for x in c.of.values())
 
 
-@register("aac", family="composition")
+@register("aac", family="composition", include_counts=FLAG, include_frequencies=FLAG)
 class ResidueComposition(Descriptor):
     """Counts and fractions of the 20 residues."""
 
@@ -56,7 +57,7 @@ def _word_features(d: Dialect, k: int, counts: bool, frequencies: bool, total: s
     return out
 
 
-@register("dpc", family="composition")
+@register("dpc", family="composition", include_counts=FLAG, include_frequencies=FLAG)
 class DipeptideComposition(Descriptor):
     """Counts and fractions of the 400 residue pairs."""
 
@@ -67,13 +68,13 @@ class DipeptideComposition(Descriptor):
         return lengths() + _word_features(d, 2, self.include_counts, self.include_frequencies, "total_dipeptides", "unique_dipeptides")
 
 
-@register("kmer_full_alphabet", family="composition")
+@register("kmer_full_alphabet", family="composition", k=WHOLE, include_counts=FLAG, include_frequencies=FLAG)
 class WordComposition(Descriptor):
     """Counts and fractions of all words of k residues."""
 
     def __init__(self, *, k: int = 2, include_counts: bool = True, include_frequencies: bool = True) -> None:
         if k < 1:
-            raise ValueError("k must be 1 or more")
+            raise ParameterError("k", "k must be 1 or more")
         if k >= 4:
             warnings.warn(f"k={k} makes {20**k} words; long_kmers() gives the same counts as rows", UserWarning, stacklevel=2)
         self.k, self.include_counts, self.include_frequencies = k, include_counts, include_frequencies

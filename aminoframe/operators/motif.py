@@ -9,6 +9,7 @@ from ..functions.alphabet import ACCEPTORS, DONORS, GROUPS
 from ..functions.dialect import Counts, Dialect, segment
 from .base import Descriptor, lengths, register
 from .ctd import TRACKED
+from .kinds import FLAG, TEXT, WHOLE, ParameterError, maybe, named
 
 # The default patterns and groups.
 PATTERNS = {
@@ -71,7 +72,10 @@ _AT_LEAST = re.compile(r"\(\?:(\[[A-Z]+\]|[A-Z])\.\*\)\{(\d+),\}")
 
 def java_pattern(pattern: str) -> str:
     """A Python pattern as Java reads it: named groups and the end of text."""
-    re.compile(pattern)
+    try:
+        re.compile(pattern)
+    except re.error as e:
+        raise ParameterError("patterns", f"{pattern!r}: {e}") from e
     return re.sub(r"\(\?P=(\w+)\)", r"\\k<\1>", pattern.replace("(?P<", "(?<")).replace("\\Z", "\\z")
 
 
@@ -88,7 +92,7 @@ def _yes(sql: str) -> str:
     return f"CASE WHEN {sql} > 0 THEN 1 ELSE 0 END"
 
 
-@register("pattern", family="motif")
+@register("pattern", family="motif", patterns=maybe(named(TEXT)), include_terminal=FLAG, terminal_window=WHOLE)
 class Pattern(Descriptor):
     """Presence, number and density of patterns, in all and at both ends."""
 
@@ -100,14 +104,14 @@ class Pattern(Descriptor):
     def features(self, d: Dialect) -> list[tuple[str, str]]:
         out, w = lengths(), self.terminal_window
         for name, p in self.patterns.items():
-            count = d.let(f"pattern_{name}", _count(d, "seq", p))
+            count = d.let(f"pattern_{d.key(p)}", _count(d, "seq", p))
             out += [(f"{name}_present", _yes(count)), (f"{name}_count", count), (f"{name}_density", d.ratio(count, "n"))]
             if self.include_terminal:
                 out += [(f"{name}_{side}term_present_w{w}", _yes(_count(d, segment(d, side, w).text, p))) for side in "nc"]
         return out
 
 
-@register("user_regex", family="motif")
+@register("user_regex", family="motif", patterns=maybe(named(TEXT)), overlapping=FLAG, include_terminal=FLAG, terminal_window=WHOLE)
 class UserRegex(Descriptor):
     """Number, places and span of a user's patterns; with ``overlapping`` a match may start inside another.
 
@@ -123,18 +127,18 @@ class UserRegex(Descriptor):
     def features(self, d: Dialect) -> list[tuple[str, str]]:
         out, w = lengths(), self.terminal_window
         for name, python in self.patterns.items():
-            p = java_pattern(python)
+            p, tag = java_pattern(python), d.key(python, self.overlapping)
             if self.overlapping:
                 ahead = f"(?=(?:{p}))"
-                count = d.let(f"regex_{name}", f"size(regexp_extract_all(seq, {d.text(ahead)}, 0))")
-                first = d.let(f"regex_{name}_first", d.where(f"{count} > 0", f"regexp_instr(seq, {d.text(ahead)})"))
-                last = d.let(f"regex_{name}_last", d.where(f"{count} > 0", f"length(regexp_extract(seq, {d.text('^(.*)' + ahead)}, 1)) + 1"))
+                count = d.let(f"regex_{tag}", f"size(regexp_extract_all(seq, {d.text(ahead)}, 0))")
+                first = d.let(f"regex_{tag}_first", d.where(f"{count} > 0", f"regexp_instr(seq, {d.text(ahead)})"))
+                last = d.let(f"regex_{tag}_last", d.where(f"{count} > 0", f"length(regexp_extract(seq, {d.text('^(.*)' + ahead)}, 1)) + 1"))
             else:
-                found, parts = d.let(f"regex_{name}_found", d.matches("seq", p)), d.let(f"regex_{name}_parts", d.parts("seq", p))
-                count = d.let(f"regex_{name}", d.size(found))
-                first = d.let(f"regex_{name}_first", d.where(f"{count} > 0", f"length({d.get(parts, 0)}) + 1"))
+                found, parts = d.let(f"regex_{tag}_found", d.matches("seq", p)), d.let(f"regex_{tag}_parts", d.parts("seq", p))
+                count = d.let(f"regex_{tag}", d.size(found))
+                first = d.let(f"regex_{tag}_first", d.where(f"{count} > 0", f"length({d.get(parts, 0)}) + 1"))
                 tail = f"length({d.get(found, f'greatest({count} - 1, 0)')}) - length({d.get(parts, f'{d.size(parts)} - 1')})"
-                last = d.let(f"regex_{name}_last", d.where(f"{count} > 0", f"n - {tail} + 1"))
+                last = d.let(f"regex_{tag}_last", d.where(f"{count} > 0", f"n - {tail} + 1"))
             span = d.where(f"{count} > 1", f"{last} - {first}")
             out += [(f"{name}_present", _yes(count)), (f"{name}_count", count), (f"{name}_density", d.ratio(count, "n"))]
             out += [(f"{name}_first_pos", first), (f"{name}_last_pos", last), (f"{name}_first_pos_norm", d.ratio(first, "n")), (f"{name}_last_pos_norm", d.ratio(last, "n"))]

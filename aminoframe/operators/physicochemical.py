@@ -6,6 +6,7 @@ from ..functions.alphabet import ACCEPTORS, BOMAN, DONORS, FLEXIBILITY, GROUPS,
 from ..functions.charge import end_charge, held, residue_charge
 from ..functions.dialect import Counts, Dialect, segment
 from .base import Descriptor, lengths, register
+from .kinds import NUMBER, WHOLE, several
 from .complexity import Words, linguistic, longest_homopolymer, longest_run
 from .composition import _unique
 
@@ -16,7 +17,7 @@ def _weighted(d: Dialect, c: Counts, weights: dict[str, float]) -> str:
     return "(" + " + ".join(f"{c.of[a]} * {d.number(v)}" for a, v in weights.items()) + ")"
 
 
-@register("charge", family="physicochemical")
+@register("charge", family="physicochemical", ph_values=several(NUMBER), local_window=WHOLE, terminal_window=WHOLE)
 class Charge(Descriptor):
     """Charged fractions, and net charges in all, locally and at both ends at several pH."""
 
@@ -71,7 +72,7 @@ def _ends(d: Dialect, w: int, name: str, scale: dict[str, float]) -> tuple[str,
     return segment(d, "n", w).mean(name, scale), segment(d, "c", w).mean(name, scale)
 
 
-@register("hydrophobicity", family="physicochemical")
+@register("hydrophobicity", family="physicochemical", window_sizes=several(WHOLE), terminal_window=WHOLE)
 class Hydrophobicity(Descriptor):
     """Hydropathy and polarity, in all, at the ends and in windows; patches of either."""
 
@@ -101,7 +102,7 @@ class Hydrophobicity(Descriptor):
         return out
 
 
-@register("order_disorder", family="physicochemical")
+@register("order_disorder", family="physicochemical", window_sizes=several(WHOLE), terminal_window=WHOLE)
 class OrderDisorder(Descriptor):
     """Residues that promote order or disorder: fractions, runs, changes and patches."""
 
@@ -131,7 +132,7 @@ class OrderDisorder(Descriptor):
         return out
 
 
-@register("structural_propensity", family="physicochemical")
+@register("structural_propensity", family="physicochemical", window_sizes=several(WHOLE), threshold=NUMBER)
 class StructuralPropensity(Descriptor):
     """Helix, sheet and turn propensities, in all and in windows."""
 

@@ -7,6 +7,7 @@ from collections.abc import Mapping
 from ..functions.alphabet import GROUPS, HYDROPATHY, POLARITY, RESIDUES
 from ..functions.dialect import Dialect, segment
 from .base import Descriptor, lengths, register
+from .kinds import TEXT, WHOLE, maybe, named, several
 from .complexity import window_entropies
 from .ctd import TRACKED
 from .physicochemical import STATS
@@ -14,7 +15,7 @@ from .physicochemical import STATS
 PLACED = TRACKED | {"trp": "W", "tyr": "Y"}
 
 
-@register("normalized", family="positional")
+@register("normalized", family="positional", groups=maybe(named(TEXT)))
 class NormalizedPosition(Descriptor):
     """Where a group's residues stand, as shares of the length."""
 
@@ -32,7 +33,7 @@ class NormalizedPosition(Descriptor):
         return out
 
 
-@register("sliding_window", family="positional")
+@register("sliding_window", family="positional", window_sizes=several(WHOLE))
 class SlidingWindow(Descriptor):
     """Hydropathy, polarity, charge, aromatic and entropy profiles of windows."""
 
@@ -52,7 +53,7 @@ class SlidingWindow(Descriptor):
         return out
 
 
-@register("terminal", family="positional")
+@register("terminal", family="positional", window_sizes=several(WHOLE))
 class Terminal(Descriptor):
     """Composition and properties of the first and last residues."""
 

@@ -9,6 +9,7 @@ from ..functions.alphabet import CHARGE_PROXY, EISENBERG, FLEXIBILITY, GROUPS, H
 from ..functions.dialect import Counts, Dialect, segment
 from ..sources.scales import known_scales
 from .base import Descriptor, lengths, register
+from .kinds import FLAG, NUMBER, TEXT, WHOLE, ParameterError, maybe, named, several
 from .complexity import TRACKED, longest_homopolymer
 
 PROPERTIES = {"hydrophobicity": EISENBERG, "hydrophilicity": HYDROPHILICITY, "sidechain_mass": SIDECHAIN_MASS}
@@ -17,7 +18,7 @@ PROPERTIES = {"hydrophobicity": EISENBERG, "hydrophilicity": HYDROPHILICITY, "si
 def _whole(scales: Mapping[str, Mapping[str, float]]) -> dict[str, dict[str, float]]:
     for name, scale in scales.items():
         if missing := sorted(set(RESIDUES) - set(scale)):
-            raise ValueError(f"properties: {name} has no value for {', '.join(missing)}")
+            raise ParameterError("properties", f"properties: {name} has no value for {', '.join(missing)}")
     return {name: dict(scale) for name, scale in scales.items()}
 
 
@@ -38,7 +39,7 @@ class _Pseudo(Descriptor):
 
     def features(self, d: Dialect) -> list[tuple[str, str]]:
         c = Counts(d)
-        key = "_".join(self.properties) if self.properties == PROPERTIES else f"own{abs(hash(str(self.properties)))}"
+        key = d.key(*(sorted(s.items()) for s in self.properties.values()))
         arrays = [d.values(f"z_{key}_{i}", zscores(s)) for i, s in enumerate(self.properties.values())]
         theta = []
         for lag in range(1, self.lam + 1):
@@ -52,14 +53,14 @@ class _Pseudo(Descriptor):
         return [*out, ("feature_sum", some(f"(1 + {w} * ({' + '.join(theta) or '0'})) / {total}"))]
 
 
-@register("pseaac", family="pseudo")
+@register("pseaac", family="pseudo", lam=WHOLE, w=NUMBER, properties=maybe(named(named(NUMBER))))
 class PseudoComposition(_Pseudo):
     """Pseudo amino-acid composition."""
 
     term = "theta"
 
 
-@register("qso", family="pseudo")
+@register("qso", family="pseudo", lam=WHOLE, w=NUMBER, properties=maybe(named(named(NUMBER))))
 class SequenceOrderCoupling(_Pseudo):
     """Composition with sequence-order couplings; as pseaac, with another weight and names."""
 
@@ -103,7 +104,7 @@ class SequenceOrder(Descriptor):
 SCALES = {"hydrophobicity": HYDROPATHY, "polarity": POLARITY, "flexibility": FLEXIBILITY, "volume": VOLUME, "charge_proxy": CHARGE_PROXY}
 
 
-@register("autocorrelation", family="autocorrelation")
+@register("autocorrelation", family="autocorrelation", scales=maybe(named(named(NUMBER))), lags=several(WHOLE))
 class Autocorrelation(Descriptor):
     """Moreau-Broto, Moran and Geary autocorrelation of scales at several lags.
 
@@ -117,11 +118,12 @@ class Autocorrelation(Descriptor):
     def features(self, d: Dialect) -> list[tuple[str, str]]:
         out = lengths()
         for name, scale in self.scales.items():
-            v = d.values(f"auto_{name}", scale)
+            tag = d.key(sorted(scale.items()))
+            v = d.values(f"auto_{tag}", scale)
             if missing := [a for a in RESIDUES if a not in scale]:
-                gaps = d.values(f"auto_{name}_known", {a: 1.0 for a in scale})
+                gaps = d.values(f"auto_{tag}_known", {a: 1.0 for a in scale})
                 kept = d.mapi(v, f"CASE WHEN {d.get(gaps, 'i')} > 0 THEN x END")
-                v = d.let(f"auto_{name}_some", d.filter(kept, "x IS NOT NULL")) if missing else v
+                v = d.let(f"auto_{tag}_some", d.filter(kept, "x IS NOT NULL")) if missing else v
             s = dict(d.stats(v, ("mean", "std", "amplitude")))
             size, mean = f"{v}_size", f"{v}_mean"
             varied = f"{v}_high > {v}_low"
@@ -138,7 +140,7 @@ class Autocorrelation(Descriptor):
         return out
 
 
-@register("aaindex", family="aaindex")
+@register("aaindex", family="aaindex", codes=several(TEXT), include_terminal=FLAG, terminal_window=WHOLE)
 class AAIndex(Descriptor):
     """Statistics of published residue scales, in all and at both ends."""
 
@@ -146,17 +148,18 @@ class AAIndex(Descriptor):
         self.codes, self.include_terminal, self.terminal_window = tuple(codes), include_terminal, terminal_window
         for code in self.codes:
             if code not in known_scales():
-                raise ValueError(f"codes: unknown AAindex code {code!r}; list_indices() names those that are known")
+                raise ParameterError("codes", f"codes: unknown AAindex code {code!r}; list_indices() names those that are known")
 
     def features(self, d: Dialect) -> list[tuple[str, str]]:
         out, w = lengths(), self.terminal_window
         for code in self.codes:
             scale = known_scales()[code]
-            v = d.values(f"aaindex_{code}", scale)
+            tag = d.key(sorted(scale.items()))
+            v = d.values(f"aaindex_{tag}", scale)
             known = "".join(a for a in RESIDUES if a in scale)
             if len(known) < 20:
-                gaps = d.values(f"aaindex_{code}_known", {a: 1.0 for a in known})
-                v = d.let(f"aaindex_{code}_some", d.filter(d.mapi(v, f"CASE WHEN {d.get(gaps, 'i')} > 0 THEN x END"), "x IS NOT NULL"))
+                gaps = d.values(f"aaindex_{tag}_known", {a: 1.0 for a in known})
+                v = d.let(f"aaindex_{tag}_some", d.filter(d.mapi(v, f"CASE WHEN {d.get(gaps, 'i')} > 0 THEN x END"), "x IS NOT NULL"))
             s = dict(d.stats(v, ("mean", "std", "min", "max")))
             out += [(f"{code}_{k}", s[k]) for k in ("mean", "std", "min", "max")] + [(f"{code}_median", d.median(v))]
             if self.include_terminal:

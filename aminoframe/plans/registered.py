@@ -17,9 +17,10 @@ _SEQ = "regexp_replace(upper(replace(coalesce({text}, ''), 'ß', 'SS')), '[^ACDE
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Dealt out by id: the sample files have one row group, and lengths differ a thousandfold."""
+    """As the files are split; a table of fewer splits than cores (one small row group) is dealt out by id first."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return docs.repartition(max(8, int(spark.conf.get("spark.sql.shuffle.partitions"))), "doc_id")
+    cores = spark.sparkContext.defaultParallelism
+    return docs if docs.rdd.getNumPartitions() >= cores else docs.repartition(2 * cores, "doc_id")
 
 
 def _rounded(df: DataFrame) -> DataFrame:

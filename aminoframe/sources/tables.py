@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import shutil
+import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 import pyarrow as pa
@@ -37,36 +40,32 @@ def _parse(raw: bytes) -> Iterator[tuple[str, str]]:
 
 
 def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From (text up to the next header's >, file, where the split begins), in the order of the file.
+
+    Only a file's first text can stand before a header; all others have lost theirs.
+    """
+    split = None
     for batch in batches:
-        for content in batch.column(0):
-            rows = list(_parse(content.as_py()))
-            for lo in range(0, len(rows), 10_000):
-                part = rows[lo : lo + 10_000]
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in part], pa.string()) for i in (0, 1)], names=["id", "sequence"])
+        rows: list[tuple[str, str]] = []
+        for raw, file, begin in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            first = begin == 0 and split != (file, begin)
+            split = file, begin
+            rows += _parse(raw if first else b">" + raw)
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in (0, 1)], names=["id", "sequence"])
 
 
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
-    """(id, sequence) of a FASTA file, or of all files that a folder or pattern names, a task a file.
+    """(id, sequence) of a FASTA file, or of all files that a folder or pattern names, of any size.
 
-    The id is a header's first word, "" if it has none.  Bytes that aren't UTF-8 fail when rows are read.
+    Files are split over tasks before the lines that begin with >.  The id is a header's first word, "" if it has none;
+    what stands before a file's first header is left out.  Bytes that aren't UTF-8 fail when rows are read.
     """
     try:
-        files = spark.read.format("binaryFile").load(path).select("content")
+        text = spark.read.option("lineSep", "\n>").text(path)
     except PySparkException as e:
         raise InputError(f"{path}: {e.getCondition() or e}") from e
-    return files.mapInArrow(_records, _SCHEMA)
-
-
-def read_large_fasta(spark: SparkSession, path: str) -> DataFrame:
-    """The same for files of any size, split over tasks at ``>`` at the start of a line.
-
-    Headers must stand at the start of their line, and bytes that aren't UTF-8 are replaced.
-    """
-    text = spark.read.option("lineSep", "\n>").text(path).select(F.regexp_replace("value", "^>", "").alias("record"))
-    lines = F.split("record", "\r?\n")
-    name = F.coalesce(F.try_element_at(F.filter(F.split(F.trim(F.try_element_at(lines, F.lit(1))), r"\s+"), lambda w: w != ""), F.lit(1)), F.lit(""))
-    body = F.upper(F.array_join(F.transform(F.slice(lines, 2, F.size(lines)), lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), ""))
-    return text.where(F.trim("record") != "").select(name.alias("id"), body.alias("sequence"))
+    placed = text.select(F.col("value").cast("binary").alias("text"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("begin"))
+    return placed.mapInArrow(_records, _SCHEMA)
 
 
 def read_sequences(spark: SparkSession, path: str, seq_col: str = "sequence", id_col: str = "id", check_ids: bool = True) -> DataFrame:
@@ -110,8 +109,9 @@ def require_ids(rows: DataFrame) -> None:
 def write_table(df: DataFrame, path: str, single_file: bool = True) -> None:
     """CSV or Parquet by suffix.
 
-    With ``single_file`` the path is one local file, written from Arrow batches as they come from the tasks; otherwise
-    a folder of Spark's part files, for results of any size.
+    With ``single_file`` the path is one file on a file system that the tasks share with the caller: they write parts
+    beside it, which are then joined batch by batch.  Otherwise it is a folder of Spark's part files, for results of any
+    size.
     """
     suffix = _suffix(path)
     if suffix not in CSV + PARQUET:
@@ -126,12 +126,18 @@ def write_table(df: DataFrame, path: str, single_file: bool = True) -> None:
     Path(path).parent.mkdir(parents=True, exist_ok=True)
     schema = pa.schema([(f.name, pa.string() if f.dataType.typeName() == "string" else pa.float64()) for f in df.schema])
     make = pyarrow.csv.CSVWriter if suffix in CSV else pyarrow.parquet.ParquetWriter
-    with make(path, schema) as out:
-        held: list[tuple] = []
-        for row in df.toLocalIterator():
-            held.append(tuple(row))
-            if len(held) == 1000:
-                out.write_table(pa.table([pa.array(c, t) for c, t in zip(zip(*held, strict=True), schema.types, strict=True)], schema=schema))
-                held = []
-        if held:
-            out.write_table(pa.table([pa.array(c, t) for c, t in zip(zip(*held, strict=True), schema.types, strict=True)], schema=schema))
+    with tempfile_beside(path) as parts, make(path, schema) as out:
+        df.write.parquet(parts)
+        for file in sorted(Path(parts.removeprefix("file://")).glob("part-*.parquet")):
+            for batch in pyarrow.parquet.ParquetFile(file).iter_batches(1000):
+                out.write_batch(batch.cast(schema))
+
+
+@contextmanager
+def tempfile_beside(path: str) -> Iterator[str]:
+    """A folder of part files next to a local output, gone afterwards."""
+    folder = Path(path).absolute().with_name(f".{Path(path).name}-{uuid.uuid4().hex}")
+    try:
+        yield folder.as_uri()
+    finally:
+        shutil.rmtree(folder, ignore_errors=True)

@@ -15,7 +15,7 @@ from aminoframe.errors import IdColumnError, IdError, InputError
 from aminoframe.operators import REGISTRY, Descriptor, register
 from aminoframe.plans.engine import compute, make
 from aminoframe.sources.scales import list_indices, load_scales
-from aminoframe.sources.tables import read_fasta, read_large_fasta, read_sequences, write_table
+from aminoframe.sources.tables import read_fasta, read_sequences, write_table
 from aminoframe.streaming.stream import compute_stream_once
 
 FASTA = "junk\n\n>p1 some description\nacd\n EFG \n\n>p2\n>\nW\n  >p4 x\nYY\n"
@@ -30,7 +30,6 @@ def test_fasta(spark, tmp_path):
     path.write_text(FASTA)
     assert rows(read_fasta(spark, str(path))) == [("p1", "ACDEFG"), ("p2", ""), ("", "W"), ("p4", "YY")]
     path.write_text(">a x\r\nacd\r\nef\r\n>b\n>c y z\nW W\n")
-    assert rows(read_large_fasta(spark, str(path))) == [("a", "ACDEF"), ("b", ""), ("c", "W W")]
     with pytest.raises(InputError):
         read_fasta(spark, str(tmp_path / "none.fasta"))
 
@@ -147,3 +146,70 @@ def test_the_rest_works_without_the_text_subpackage():
 
     code = "import sys; sys.modules['aminoframe.llm'] = None; sys.modules['corpus_pipeline'] = None; import __spark_entry__ as e; assert 'aac' in e.queries() and not any(n.startswith('op') for n in e.queries())"
     subprocess.run([sys.executable, "-c", code], check=True, cwd=__import__("pathlib").Path(__file__).parents[1])
+
+
+def test_fasta_is_split_over_tasks(spark, tmp_path):
+    """Also with text before the first header, odd line ends and headers, in several files."""
+    want = []
+    for f in range(3):
+        lines = ["; no record", "ACD"][: f] + [""] * f
+        for i in range(2000):
+            lines += [f"{' ' * (i % 3 == 0)}>{'>' * (i % 7 == 0)}r{f}-{i} some words", "acd" * (i % 50), " WW "]
+            want.append((f"{'>' * (i % 7 == 0)}r{f}-{i}", "ACD" * (i % 50) + "WW"))
+        (tmp_path / f"{f}.fasta").write_text(["\n", "\r\n", "\n"][f].join(lines), newline="")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        found = read_fasta(spark, str(tmp_path / "*.fasta"))
+        assert found.rdd.getNumPartitions() > 5 and sorted(rows(found)) == sorted(want)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_users_may_choose_any_name(spark):
+    df = spark.createDataFrame([("a", "KKNASKRW")], "id string, sequence string")
+    made = REGISTRY["pattern"](patterns={"N-x-S": "N.S", "x y": "KK", "é'`": "W"}, include_terminal=False)
+    row = compute(df, made).first().asDict()
+    assert row["pattern_N-x-S_count"] == 1 and row["pattern_x y_present"] == 1 and row["pattern_é'`_density"] == 1 / 8
+    both = compute(df, [REGISTRY["pattern"](patterns={"x": "N.S", "X": "K"}), REGISTRY["user_regex"](patterns={"x": "W", "X": "KK"})])
+    assert both.first()[[c for c in both.columns].index("pattern_X_count")] == 3
+    scale = {a: float(i) for i, a in enumerate("ACDEFGHIKLMNPQRSTVWY")}
+    row = compute(df, REGISTRY["autocorrelation"](scales={"my-scale": scale, "my scale": scale}, lags=(1,))).first().asDict()
+    assert row["autocorrelation_mb_my-scale_lag1"] == row["autocorrelation_mb_my scale_lag1"] > 0
+    groups = {"a-b": "K R", "A-B": "W"}
+    row = compute(df, REGISTRY["distribution"](groups=groups)).first().asDict()
+    assert row["distribution_a-b_count"] == 4 and row["distribution_A-B_count"] == 1
+    row = compute(df, REGISTRY["ctd_classic"](properties=("my prop",), ctd_groups={"my prop": {"1": "K", "2": "N", "3": "W"}})).first().asDict()
+    assert row["ctd_classic_my prop_comp_1"] == 3 / 5
+
+
+def test_one_name_never_stands_for_two_expressions(spark):
+    @register("clash", family="mine")
+    class Clash(Descriptor):
+        def features(self, d):
+            return [("x", d.let("v_hydropathy", "length(seq)"))]
+
+    try:
+        df = spark.createDataFrame([("a", "KAK")], "id string, sequence string")
+        assert rows(compute(df, make(["clash"]))) == [("a", 3.0)]
+        with pytest.raises(ValueError, match="v_hydropathy"):
+            compute(df, make(["hydrophobicity", "clash"]))
+        assert [i.path for i in check_config({"descriptors": {"clash": {"y": 1}}})] == ["descriptors.clash.y"]
+    finally:
+        del REGISTRY["clash"]
+
+
+def test_errors_name_their_parameter():
+    for name, given in (("kmer_full_alphabet", {"k": 0}), ("user_regex", {"patterns": {"a": "("}}), ("pseaac", {"properties": {"p": {"A": 1.0}}}), ("ctd_classic", {"properties": ["none"]})):
+        assert [i.path for i in check_config({"descriptors": {name: given}})] == [f"descriptors.{name}.{next(iter(given))}"]
+
+
+def test_a_folders_digest_is_that_of_its_files(tmp_path):
+    import hashlib
+
+    from aminoframe.provenance import content_digest
+
+    (tmp_path / "x/b").mkdir(parents=True)
+    for name in ("b.txt", "b/a.txt", "a.txt"):
+        (tmp_path / "x" / name).write_text(name)
+    lines = "".join(f"{n}\t{hashlib.sha256(n.encode()).hexdigest()}\n" for n in ("a.txt", "b/a.txt", "b.txt"))
+    assert content_digest(str(tmp_path / "x")) == hashlib.sha256(lines.encode()).hexdigest() == content_digest((tmp_path / "x").as_uri())
