@@ -5,24 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import written
+from .scratch import Scratch, join_counted
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root) for every node of ``links`` that isn't its component's smallest; root is that smallest node.
 
-    Each round is a grouping and a join on the node; the tables of a round go to the shared folder.  The number of
-    rounds grows with the logarithm of a component's diameter.  Nothing but a row count and a checksum reaches the driver.
+    Each round is a grouping and a join on the node; the tables of a round go to the shared folder and replace those of
+    the round before.  A node of very many links (the root of a giant component) is joined apart, so its links never
+    meet in one task.  The number of rounds grows with the logarithm of a component's diameter.  Nothing but a row count
+    and a checksum reaches the driver.
     """
-    edges = written(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), "links")
+    scratch = Scratch(links.sparkSession, "components")
+    edges = scratch.write(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), "links")
     sign, before = lambda e: tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()), None
     now = sign(edges)
     while now != before:
         both = edges.select("u", "v").unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
-        edges = written(small.where("u <> v").distinct(), "links")
+        least = scratch.write(both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n"), "least")
+        large = scratch.write(join_counted(both, least, "u", "n").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
+        low = scratch.write(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "least")
+        small = join_counted(large, low, "u", "n").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
+        old, edges = edges, scratch.write(small.where("u <> v").distinct(), "links")
+        scratch.drop(old, least, large, low)
         before, now = now, sign(edges)
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))

@@ -1,15 +1,19 @@
 """SimHash near-duplicates by a byte-position inverted index with count filtering.
 
-A fingerprint has eight positional bytes.  Two fingerprints within ``k`` = 2 bits differ in at most two bytes, so they
-share at least six positional bytes: the guaranteed count.  Posting lists of single bytes would be read by every pair
-of documents, so a list is keyed by six positions and their bytes (28 lists for each distinct fingerprint): whoever
-meets in a list has reached the count.  A list holds fingerprints that differ in two bytes only, so it never has more
-than 65,536 members, whatever the input.  Pairs of a list are verified by their differing bits; a list yields links
-that span its groups instead of all its pairs, and the links are joined into components.
+A fingerprint has eight positional bytes.  Two fingerprints within two bits differ in at most two bytes, so they share at
+least six.  Posting lists of single bytes would hold 1/256 of all fingerprints each, so the index posts every four
+positions with their bytes (70 lists a fingerprint, 2**32 values each): a pair that shares six bytes meets in C(6, 4) = 15
+lists at least, one that shares five in 5.  The lists a pair shares are tallied, pairs that reach 15 are retained, and
+those are verified by their differing bits.
+
+A list of more than ``LONG_LIST`` members emits no pairs.  All its members are indexed once more by six positions: a pair
+within two bits that met in a long list meets there, in a list whose members differ in two bytes only.  Such a list
+yields links that span its groups instead of all its pairs, so nothing is lost and nothing grows with its square.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -20,10 +24,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .scratch import written
+from .scratch import Scratch, join_counted, written
 from .words import LOWER
 
 POSITIONS, SHARED = 8, 6
+#: Positions that a list is keyed by.  Fewer make longer lists, more make the tally a mere join; 2**32 keys keep lists of
+#: unrelated fingerprints to one or two members up to ten billion of them.
+POSTED = 4
+#: Members of a list that is paired in full; 16 are 120 pairs.
+LONG_LIST = 16
+_NONE = -(1 << 63)  # as the second of a pair it is the smaller one, which it never is
 _SPACE = bytes([9, 10, 11, 12, 13, 32])
 _TABLE = bytes(32 if b in _SPACE else int(LOWER[b]) for b in range(256))
 
@@ -60,15 +70,12 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_fingerprints, "doc_id long, fp long")
 
 
-def _posting_keys(fp) -> list:
-    """28 keys: which six positions, and their bytes."""
+def _posting_keys(fp, size: int) -> list:
+    """One key for every ``size`` positions: which they are, and a hash of their bytes (the bytes, for up to six)."""
     keys = []
-    for number, free in enumerate(combinations(range(POSITIONS), POSITIONS - SHARED)):
-        parts = [F.shiftleft(F.shiftrightunsigned(fp, 8 * p).bitwiseAND(F.lit(255).cast("long")), 8 * i) for i, p in enumerate(sorted({*range(POSITIONS)} - {*free}))]
-        key = F.lit(number << 48).cast("long")
-        for part in parts:
-            key = key.bitwiseOR(part)
-        keys.append(key)
+    for number, chosen in enumerate(combinations(range(POSITIONS), size)):
+        mask = sum(255 << (8 * p) for p in chosen)
+        keys.append(F.struct(F.lit(number).cast("byte").alias("at"), fp.bitwiseAND(F.lit(mask - (1 << 64) if mask >> 63 else mask).cast("long")).alias("bytes")))
     return keys
 
 
@@ -96,28 +103,55 @@ def _list_links(fps: np.ndarray, k: int) -> list[tuple[int, int]]:
     return links
 
 
+def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+    """Members of each posting list from batches (at, bytes, fp) in order of the first two; lists of one are left out."""
+    held: list[np.ndarray] = [np.zeros(0, np.int64)] * 3
+    for batch in batches:
+        held = [np.concatenate([h, batch.column(i).to_numpy().astype(np.int64)]) for i, h in enumerate(held)]
+        at, key, fp = held
+        if not len(at):
+            continue
+        heads = np.flatnonzero(np.r_[True, (at[1:] != at[:-1]) | (key[1:] != key[:-1])])
+        for lo, hi in zip(heads[:-1], heads[1:], strict=True):  # the last list may go on in the next batch
+            if hi - lo > 1:
+                yield fp[lo:hi]
+        held = [h[heads[-1] :] for h in held]
+    if len(held[0]) > 1:
+        yield held[2]
+
+
 def _link(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, fps = np.zeros(0, np.int64), np.zeros(0, np.int64)
-
-        def lists(cut: int) -> pa.RecordBatch:
-            bounds = np.flatnonzero(np.r_[True, keys[1:cut] != keys[: max(cut - 1, 0)], True]) if cut else np.zeros(1, np.int64)
-            many = np.flatnonzero(np.diff(bounds) > 1)
-            out = [link for g in many.tolist() for link in _list_links(fps[bounds[g] : bounds[g + 1]], k)]
-            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], names=["a", "b"])
-
-        for batch in batches:
-            keys = np.r_[keys, batch.column(0).to_numpy()]
-            fps = np.r_[fps, batch.column(1).to_numpy()]
-            if len(keys):
-                cut = int(np.searchsorted(keys, keys[-1]))  # the last list may go on in the next batch
-                yield lists(cut)
-                keys, fps = keys[cut:], fps[cut:]
-        yield lists(len(keys))
+        for members in _lists(batches):
+            out = _list_links(members, k)
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
     return run
 
 
+def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All pairs (a, b) of short lists; a row (a, null) for each member of a long one."""
+    a, b, held = [], [], 0
+
+    def out() -> pa.RecordBatch:
+        first, second = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (a, b))
+        return pa.RecordBatch.from_arrays([pa.array(first), pa.array(second, mask=second == _NONE)], names=["a", "b"])
+
+    for members in _lists(batches):
+        if len(members) > LONG_LIST:
+            a.append(members)
+            b.append(np.full(len(members), _NONE))
+        else:
+            i, j = np.triu_indices(len(members), 1)
+            a.append(np.minimum(members[i], members[j]))
+            b.append(np.maximum(members[i], members[j]))
+        held += len(a[-1])
+        if held > 1 << 16:
+            yield out()
+            a, b, held = [], [], 0
+    yield out()
+
+
 def near_links(distinct: DataFrame, k: int = 2) -> DataFrame:
     """Verified links (a, b) between distinct fingerprints (column fp), at most ``k`` differing bits each.
 
@@ -125,8 +159,17 @@ def near_links(distinct: DataFrame, k: int = 2) -> DataFrame:
     """
     if not 0 <= k <= POSITIONS - SHARED:
         raise ValueError("the posting lists guarantee six shared bytes for at most two differing bits")
-    posts = distinct.select(F.explode(F.array(*_posting_keys(F.col("fp")))).alias("key"), "fp")
-    return posts.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(_link(k), "a long, b long")
+    scratch = Scratch(distinct.sparkSession, "postings")
+
+    def posted(fps: DataFrame, size: int) -> DataFrame:
+        posts = fps.select(F.explode(F.array(*_posting_keys(F.col("fp"), size))).alias("key"), "fp").select("key.at", "key.bytes", "fp")
+        return posts.repartition("at", "bytes").sortWithinPartitions("at", "bytes", "fp")
+
+    met = scratch.write(posted(distinct.select("fp"), POSTED).mapInArrow(_pairs, "a long, b long"), "met")
+    tally = met.where("b is not null").groupBy("a", "b").agg(F.count("*").alias("lists")).where(F.col("lists") >= math.comb(SHARED, POSTED))
+    links = tally.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= k).select("a", "b")
+    crowded = scratch.write(met.where("b is null").select(F.col("a").alias("fp")).distinct(), "crowded")
+    return links.unionAll(posted(crowded, SHARED).mapInArrow(_link(k), "a long, b long"))
 
 
 def simhash_components(docs: DataFrame, k: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -136,13 +179,13 @@ def simhash_components(docs: DataFrame, k: int = 2, id_col: str = "doc_id", text
     shingle.  Rows with one id are nodes of their own; null ids never become a component's id unless all are null.
     """
     prints = written(fingerprints(docs, id_col, text_col), "fingerprints")
-    distinct = written(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
+    distinct = written(prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "distinct")
     roots = components(near_links(distinct.select("fp"), k))
-    joined = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    joined = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "first", "n", F.coalesce("root", "fp").alias("root"))
     joined = written(joined, "roots")
-    smallest = joined.groupBy("root").agg(F.min("first").alias("component_id"))
-    classes = joined.join(smallest, "root").select("fp", "component_id")
-    return prints.join(classes, "fp").select("doc_id", "fp", "component_id")
+    smallest = written(joined.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("members")), "smallest")
+    classes = written(join_counted(joined, smallest, "root", "members").select("fp", "component_id", "n"), "classes")
+    return join_counted(prints, classes, "fp", "n").select("doc_id", "fp", "component_id")
 
 
 def simhash_dedup(docs: DataFrame, k: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

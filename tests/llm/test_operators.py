@@ -89,6 +89,37 @@ def test_posting_lists_find_every_pair(spark):
     assert groups(links) == groups((a, b) for a in values for b in values if a < b and (a ^ b).bit_count() <= 2)
 
 
+def test_hot_lists_lose_no_pair(spark):
+    """Thousands of fingerprints that share four or six bytes: none of their lists is paired in full."""
+    r = random.Random(2)
+    values = {0x0102030400000000 | r.getrandbits(12) for _ in range(1500)} | {0x0102030405060000 | r.getrandbits(16) for _ in range(400)}
+    values |= {v ^ 1 << r.randrange(64) for v in list(values)[:200]}
+    distinct = spark.createDataFrame([(v - (1 << 64) if v >> 63 else v,) for v in values], "fp long")
+    found = components.components(simhash_dedup.near_links(distinct)).collect()
+    label = {v: v for v in values}
+
+    def root(v):
+        while label[v] != v:
+            v = label[v]
+        return v
+
+    for a in values:
+        for k in range(64):
+            for j in range(k, 64):
+                b = a ^ (1 << k) ^ ((1 << j) if j > k else 0)
+                if b in label and root(a) != root(b):
+                    label[max(root(a), root(b))] = min(root(a), root(b))
+    roots = {x.node % (1 << 64): x.root % (1 << 64) for x in found}
+
+    def groups(name):
+        out = {}
+        for v in values:
+            out.setdefault(name(v), set()).add(v)
+        return sorted(map(sorted, out.values()))
+
+    assert groups(lambda v: roots.get(v, v)) == groups(root)
+
+
 def test_components_of_a_long_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 501)], "a long, b long")
     assert {r.node: r.root for r in components.components(links).collect()} == {**{i: 0 for i in range(1, 201)}, 501: 500}
