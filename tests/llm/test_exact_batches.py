@@ -73,3 +73,10 @@ def test_hot_keys_join_like_others(spark):
     assert joined.count() == 3 * HOT_ROWS
     assert joined.where("n <> case when k = 0 then 20001 else 1 end").count() == 0
     remove(facts._scratch_path)
+
+
+def test_the_bitmap_of_hits_loses_none(spark):
+    rows = spark.range(20_000).select(exact_dedup.sha256(F.col("id").cast("string")).alias("digest"), "id")
+    hits = rows.where("id % 100 = 7").select("digest")
+    found = {r.id for r in exact_dedup._marked_by(hits, rows).collect()}
+    assert {i for i in range(7, 20_000, 100)} <= found and len(found) < 260
