@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .units import Units, pieces, safe_gaps
-from .words import CHUNK_BYTES
+
+BATCH_BYTES = 4 << 20
 
 
 def _before_spaces(data: np.ndarray) -> np.ndarray:
@@ -33,9 +34,10 @@ class Counter:
             raise ValueError("texts can't be split at spaces with this vocabulary")
         self.units = Units(entries)
 
-    def lengths(self, units: list[bytes]) -> list[int]:
-        """A unit that begins inside a text has its space before it, which the encoder adds by itself."""
-        return list(map(len, self.encoder.encode([u[1:].decode() if u[:1] == b"\xff" else u.decode() for u in units], num_threads=1)))
+    def lengths(self, units: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """One value a unit.  One that begins inside a text has its space before it, which the encoder adds by itself."""
+        found = self.encoder.encode([u[1:].decode() if u[:1] == b"\xff" else u.decode() for u in units], num_threads=1)
+        return np.fromiter(map(len, found), np.uint32, len(found)), np.arange(len(found)), np.ones(len(found), np.int64)
 
     def count(self, data: np.ndarray, offsets: np.ndarray, goes_on: bool = False) -> np.ndarray:
         """Counts of the texts between neighbouring offsets; ``goes_on``: the first is parted text, from its space on."""
@@ -44,9 +46,8 @@ class Counter:
             data = data.copy()
             data[cuts] = 255
             data[:1] = 255 if goes_on else data[:1]
-        values, number, owners = self.units.values(data, cuts, offsets, self.lengths)
-        total = np.r_[0, np.cumsum(np.array(values, dtype=np.int64)[number])] if len(number) else np.zeros(1, np.int64)
-        return np.diff(total[owners])
+        counts, _, owners = self.units.values(data, cuts, offsets, self.lengths)
+        return np.diff(np.r_[0, np.cumsum(counts, dtype=np.int64)][owners])
 
 
 _COUNTERS: dict[str, Counter] = {}
@@ -70,7 +71,7 @@ def _count(model: str, batch_bytes: int, cache_entries: int):
     return run
 
 
-def token_counts(docs: DataFrame, model: str, limit: int = 4096, batch_bytes: int = CHUNK_BYTES, cache_entries: int = 300_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def token_counts(docs: DataFrame, model: str, limit: int = 4096, batch_bytes: int = BATCH_BYTES, cache_entries: int = 300_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, n_bytes, n_tokens, over_limit (more than ``limit`` tokens).
 
     ``model`` is the path of a SentencePiece vocabulary.  Whole texts count, without begin and end tokens; null counts

@@ -34,10 +34,10 @@ from tokenizers import Tokenizer
 
 from .scratch import shared_dir, written
 from .units import Units, pieces, safe_gaps
-from .words import CHUNK_BYTES
 
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
 FRAME_IDS = 1 << 16
+BATCH_BYTES = 4 << 20
 _DOC = np.dtype([("doc_id", "<i8"), ("null", "u1"), ("frame", "<u4"), ("first", "<u4"), ("count", "<u8")])
 
 
@@ -186,20 +186,25 @@ class Encoder:
         self.newline = self.tokenizer.encode("\n", add_special_tokens=False).ids[0]
         self.units = Units(entries)
 
-    def _compute(self, units: list[bytes]) -> list[bytes]:
-        """Each unit's ids as bytes.  Plain units are encoded as the lines of one text, the others one by one."""
-        out: list[bytes] = [b""] * len(units)
-        plain = [i for i, u in enumerate(units) if _PLAIN_UNIT.fullmatch(u)]
-        if plain:
-            ids = np.array(self.tokenizer.encode(b"\n".join([units[i] for i in plain]).decode(), add_special_tokens=False).ids, dtype="<u4")
-            ends = np.r_[np.flatnonzero(ids == self.newline), len(ids)] * 4
-            raw, at = ids.tobytes(), 0
-            for i, end in zip(plain, ends.tolist(), strict=True):
-                out[i], at = raw[at:end], end + 4
-        odd = [i for i, x in enumerate(out) if not x]
-        for i, e in zip(odd, self.tokenizer.encode_batch_fast([units[i].decode() for i in odd], add_special_tokens=False), strict=True):
-            out[i] = np.array(e.ids, dtype="<u4").tobytes()
-        return out
+    def _compute(self, units: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Plain units are encoded as the lines of one text, the others one by one."""
+        plain = np.fromiter((_PLAIN_UNIT.fullmatch(u) is not None for u in units), bool, len(units))
+        count = np.zeros(len(units), np.int64)
+        parts = [np.zeros(0, np.uint32)]
+        if plain.any():
+            (lines,) = self.tokenizer.encode_batch_fast([b"\n".join([u for u, p in zip(units, plain.tolist(), strict=True) if p]).decode()], add_special_tokens=False)
+            ids = np.array(lines.ids, dtype=np.uint32)
+            ends = np.r_[np.flatnonzero(ids == self.newline), len(ids)]
+            count[plain] = np.diff(np.r_[-1, ends]) - 1
+            parts.append(ids[ids != self.newline])
+        odd = np.flatnonzero(~plain)
+        found = self.tokenizer.encode_batch_fast([units[i].decode() for i in odd.tolist()], add_special_tokens=False)
+        parts += [np.array(e.ids, dtype=np.uint32) for e in found]
+        count[odd] = [len(p) for p in parts[len(parts) - len(found) :]]
+        order = np.r_[np.flatnonzero(plain), odd]
+        begin = np.zeros(len(units), np.int64)
+        begin[order] = np.cumsum(count[order]) - count[order]
+        return np.concatenate(parts), begin, count
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of the texts between neighbouring offsets, one text after another, and each text's number of ids."""
@@ -207,13 +212,8 @@ class Encoder:
         begins[_joints(data, offsets)] = begins[offsets] = True
         start = np.flatnonzero(begins[:-1])
         cuts = np.concatenate([start, _inner_joints(data, start)])
-        values, number, owners = self.units.values(data, cuts, offsets, self._compute)
-        size = np.fromiter(map(len, values), np.int64, len(values)) // 4
-        flat, begin = np.frombuffer(b"".join(values), dtype="<u4"), np.cumsum(size) - size
-        count = size[number]
-        total = np.r_[0, np.cumsum(count)]
-        ids = flat[np.repeat(begin[number] - total[:-1], count) + np.arange(total[-1])]
-        return ids, np.diff(total[owners])
+        ids, count, owners = self.units.values(data, cuts, offsets, self._compute)
+        return ids, np.diff(np.r_[0, np.cumsum(count)][owners])
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -228,7 +228,7 @@ def _write(folder: str, tokenizer: str, end_id: int):
         writer, stream, path, first = None, None, None, None
         for batch in batches:
             names, goes_on = batch.column(0).to_pylist(), False
-            for lo, data, offsets, more in pieces(batch.column(1), CHUNK_BYTES, _joints):
+            for lo, data, offsets, more in pieces(batch.column(1), BATCH_BYTES, _joints):
                 ids, count = encoder.encode(data, offsets)
                 cuts = np.r_[0, np.cumsum(count)].tolist()
                 for d, doc_id in enumerate(names[lo : lo + len(count)]):
@@ -238,7 +238,7 @@ def _write(folder: str, tokenizer: str, end_id: int):
                         store.create_dir(root, recursive=True)
                         stream = store.open_output_stream(f"{root}/{path}", compression=None)
                         writer = Writer(stream)
-                    writer.add(doc_id, ids[cuts[d] : cuts[d + 1]].tobytes() + (b"" if more else end), goes_on)
+                    writer.add(doc_id, ids[cuts[d] : cuts[d + 1]].astype("<u4").tobytes() + (b"" if more else end), goes_on)
                 goes_on = more
         if writer is not None:
             writer.close()

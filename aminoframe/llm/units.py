@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 from .words import _encoded, last_cut, row_runs, text_bytes
 
@@ -55,35 +56,49 @@ def pieces(column: pa.Array, chunk_bytes: int, cuts: Callable[[np.ndarray], np.n
 
 
 class Units:
-    """The values of units by their bytes: the newest ``entries``, about as many that were used before, and the current call's."""
+    """The values (runs of numbers) of units by their bytes, kept for the ``entries`` units that were used last."""
 
     def __init__(self, entries: int) -> None:
-        self.entries = entries
-        self.known: dict[bytes, object] = {}
-        self.before: dict[bytes, object] = {}
+        self.entries, self.calls = entries, 0
+        self.known = pa.array([], pa.large_binary())
+        self.flat = np.zeros(0, np.uint32)
+        self.begin, self.count, self.used = (np.zeros(0, np.int64) for _ in range(3))
 
-    def values(self, data: np.ndarray, starts: np.ndarray, offsets: np.ndarray, compute: Callable[[list[bytes]], list]) -> tuple[list, np.ndarray, np.ndarray]:
-        """(value of each distinct unit, which of them stands at each place, units before each text).
+    def _forget(self) -> None:
+        """Leaves the units of the latest calls."""
+        keep = np.sort(np.argpartition(-self.used, self.entries)[: self.entries])
+        self.known, self.flat = self.known.take(pa.array(keep)), self._run(keep)
+        self.count, self.used = self.count[keep], self.used[keep]
+        self.begin = np.cumsum(self.count) - self.count
 
-        Units begin at ``starts`` and where texts do, and reach to the next one; ``compute`` is called once with those
-        that have no value yet.
+    def _run(self, which: np.ndarray) -> np.ndarray:
+        """The values of the units one after another."""
+        count = self.count[which]
+        total = np.cumsum(count)
+        return self.flat[np.repeat(self.begin[which] - (total - count), count) + np.arange(total[-1] if len(total) else 0)]
+
+    def values(self, data: np.ndarray, starts: np.ndarray, offsets: np.ndarray, compute: Callable[[list[bytes]], tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(all values of all units in order, how many each unit has, units before each text).
+
+        Units begin at ``starts`` and where texts do, and reach to the next one.  ``compute`` is called once with those
+        that have no values yet; it returns all their values, and where each unit's begin and how many they are.
         """
         begins = np.zeros(len(data) + 1, dtype=bool)
         begins[starts] = begins[offsets] = True
         start = np.flatnonzero(begins[:-1])
         number, spelling = _encoded(data, np.diff(np.r_[start, len(data)]))
-        distinct = spelling.to_pylist()
-        if len(self.known) > self.entries:
-            self.known, self.before = {}, self.known
-        known, before = self.known, self.before
-        new = []
-        for u in distinct:
-            if u not in known:
-                value = before.get(u)
-                if value is None:
-                    new.append(u)
-                else:
-                    known[u] = value
-        if new:
-            known.update(zip(new, compute(new), strict=True))
-        return [known[u] for u in distinct], number, np.searchsorted(start, offsets)
+        if len(self.known) > 2 * self.entries:
+            self._forget()
+        self.calls += 1
+        place = pc.index_in(spelling, value_set=self.known).fill_null(-1).to_numpy().astype(np.int64)
+        new = np.flatnonzero(place < 0)
+        if len(new):
+            found = spelling.take(pa.array(new))
+            flat, begin, count = compute(found.to_pylist())
+            place[new] = len(self.known) + np.arange(len(new))
+            self.begin, self.count = np.r_[self.begin, begin + len(self.flat)], np.r_[self.count, count]
+            self.flat, self.used = np.r_[self.flat, flat], np.r_[self.used, np.zeros(len(new), np.int64)]
+            self.known = pa.concat_arrays([self.known, found])
+        self.used[place] = self.calls
+        which = place[number]
+        return self._run(which), self.count[which], np.searchsorted(start, offsets)
