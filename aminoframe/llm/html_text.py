@@ -114,19 +114,25 @@ def markup(page: str) -> Iterator[tuple[str, str, str]]:
         yield "start", tag, attributes
 
 
-def evidence(tag: str, attributes: str, inside: Counter) -> list[str]:
-    """What an element says about the words in it: its name, and its class, id and role names whole and in parts."""
-    found = []
+def evidence(tag: str, attributes: str, inside: Counter) -> dict[str, float]:
+    """What an element says about the words in it: its name, and its class, id and role names whole and in parts.
+
+    The parts of a name share its weight: a name that holds a boilerplate word among others says half as much.
+    """
+    found: dict[str, float] = {}
     if tag in ("article", "main", "header", "footer"):
         apart = inside["aside"] or inside["nav"] or inside["form"]
-        found.append(f"{tag} apart" if apart else f"inner {tag}" if tag[-2:] == "er" and (inside["article"] or inside["main"]) else tag)
+        found[f"{tag} apart" if apart else f"inner {tag}" if tag[-2:] == "er" and (inside["article"] or inside["main"]) else tag] = 1.0
     elif tag not in _SILENT and tag not in _INLINE:
-        found.append(tag)
+        found[tag] = 1.0
     if "=" in attributes and tag not in ("html", "body"):
         for m in _ATTRIBUTE.finditer(attributes):
             if m[1].lower() in ("class", "id", "role"):
                 for name in (m[2] or m[3] or m[4] or "").lower().split()[:20]:
-                    found += ["=" + name, *("~" + x for x in re.split(r"[-_:]+", name) if x)]
+                    found["=" + name] = 1.0
+                    parts = [x for x in re.split(r"[-_:]+", name) if x]
+                    for x in parts:
+                        found["~" + x] = max(found.get("~" + x, 0.0), 1 / len(parts))
     return found
 
 
@@ -137,23 +143,23 @@ class Block:
     text: str
     words: int
     linked: int
-    said: Counter
+    said: dict[str, float]
     path: tuple[int, ...]
 
 
 @dataclass
 class _Open:
     tag: str
-    said: Counter
+    said: dict[str, float]
     number: int
     path: tuple[int, ...] = field(default=())
 
 
 def blocks(page: str) -> Iterator[Block | str]:
     """Blocks and the names of the tags between them, in page order."""
-    stack = [_Open("", Counter(), 0, (0,))]
+    stack = [_Open("", {}, 0, (0,))]
     inside: Counter = Counter()
-    held: list[tuple[str, bool, Counter]] = []
+    held: list[tuple[str, bool, dict]] = []
     number = 0
 
     def close() -> Block | None:
@@ -206,7 +212,7 @@ def blocks(page: str) -> Iterator[Block | str]:
                 number += 1
                 said = evidence(tag, attributes, inside)
                 top = stack[-1]
-                stack.append(_Open(tag, top.said + Counter(said) if said else top.said, number, (*top.path, number) if tag in ("article", "main") else top.path))
+                stack.append(_Open(tag, top.said | {k: max(v, top.said.get(k, 0.0)) for k, v in said.items()} if said else top.said, number, (*top.path, number) if tag in ("article", "main") else top.path))
                 inside[tag] += 1
                 inside["no text"] += tag in _NO_TEXT
         if parts:
@@ -221,7 +227,7 @@ class Weights:
 
     #: A piece of evidence needs so many blocks to be learnt; what speaks for a block counts up to MOST in all, so that
     #: no number of promising wrappers outweighs an advert's name.
-    LEAST, MOST = 3, 3.0
+    LEAST, MOST = 8, 2.0
     #: The odds of words of which nothing is known; not learnt, so text that nothing speaks against is always positive.
     PLAIN = 0.5
 
@@ -236,18 +242,20 @@ class Weights:
                 else:
                     last = left[x.text] > 0
                     left[x.text] -= last
-                    n = found.setdefault((frozenset(x.said), round(x.linked / x.words, 1)), [0, 0])
+                    n = found.setdefault((frozenset(x.said.items()), round(x.linked / x.words, 1)), [0, 0])
                     n[0] += 1
                     n[1] += last
         seen: Counter = Counter()
         for (said, _), (n, _) in found.items():
-            seen.update(dict.fromkeys(said, n))
+            seen.update(dict.fromkeys((k for k, _ in said), n))
         names = {k: i + 2 for i, k in enumerate(sorted(k for k, n in seen.items() if n >= self.LEAST))}
         x = np.zeros((len(found), len(names) + 2), dtype=np.float32)
         x[:, 0] = 1
         for i, (said, linked) in enumerate(found):
             x[i, 1] = linked
-            x[i, [names[k] for k in said if k in names]] = 1
+            for k, v in said:
+                if k in names:
+                    x[i, names[k]] = v
         n, y = (np.array(c, dtype=np.float32) / sum(n for n, _ in found.values()) for c in zip(*found.values(), strict=True))
         w = np.zeros(x.shape[1], dtype=np.float32)
         w[0] = self.PLAIN
@@ -270,7 +278,7 @@ class Weights:
         self.tags = {t: -0.1 * min(3.0, max(0.5, 1.0 - o)) for t, o in odds.items()}
 
     def odds(self, block: Block) -> float:
-        said = [self.said.get(k, 0.0) for k in block.said]
+        said = [self.said.get(k, 0.0) * v for k, v in block.said.items()]
         good = min(self.MOST, sum(x for x in said if x > 0))
         return self.bias + self.link * block.linked / block.words + good + sum(x for x in said if x < 0)
 

@@ -9,7 +9,9 @@ _WORDS = "the a of and to in for with on by from at bridge river council road pl
 #: Class names of wrappers and main texts, as sites use them.
 _CONTENT = "content main-content article article-body article-content post post-body post-content entry entry-content story story-body text body-text prose page-content main single hentry blog-post news-item copy rich-text section-text chapter".split()
 _TITLE = "entry-header post-header article-header page-title entry-title headline title story-header post-title".split()
-_WRAPPER = "wrapper container layout page row col grid site inner outer has-sidebar no-sidebar with-comments two-column clearfix main-wrapper site-main header-fixed menu-open ad-free form-page".split()
+_PLAIN_WRAPPER = "wrapper container layout page row col grid site inner outer clearfix".split()
+_WRAPPER = "wrapper container layout page row col grid site inner outer has-sidebar no-sidebar with-comments two-column clearfix main-wrapper site-main".split()
+_AFFIX = "box block wrap area unit list item inner top bottom left right main section banner thread zone js 1 2 300x250".split()
 #: Class names inside main texts that hold words which also name boilerplate.
 _MIXED = "share-price side-effects search-results form-factor alert-level legal-analysis menu-of-the-day comment-on-law banner-year social-history login-guide related-work header-row notice-period widget-review footer-note promo-history nav-chart sidebar-note ad-industry".split()
 #: Boilerplate by kind: tags it comes in, class and id names, whether it is mostly links.
@@ -40,10 +42,13 @@ class _Page:
         return " ".join(self.r.choices(_WORDS, k=self.r.randint(low, high))).capitalize() + self.r.choice([".", ".", "", "!"])
 
     def names(self, names: list[str], often: float = 0.8) -> str:
-        if self.r.random() > often or self.bare and (names is _CONTENT or names is _WRAPPER):
+        if self.r.random() > often or self.bare and names in (_CONTENT, _WRAPPER, _PLAIN_WRAPPER):
             return ""
         kind = self.r.choice(["class", "class", "class", "id"])
-        return f' {kind}="{" ".join(self.r.sample(names, self.r.choice([1, 1, 2])))}"'
+        chosen = self.r.sample(names, self.r.choice([1, 1, 2]))
+        if names not in (_MIXED, _WRAPPER, _PLAIN_WRAPPER):  # names of many sites: only their parts are known
+            chosen = [x if self.r.random() < 0.5 else self.r.choice([f"{x}-{self.r.choice(_AFFIX)}", f"{x}_{self.r.choice(_AFFIX)}", f"{self.r.choice(_AFFIX)}-{x}"]) for x in chosen]
+        return f' {kind}="{" ".join(chosen)}"'
 
     def block(self, tag: str, text: str, attributes: str = "") -> None:
         """A block of the main text, sometimes with links or marks inside."""
@@ -70,7 +75,8 @@ class _Page:
             text = f'<a href="/l">{text}</a>' if self.r.random() < links else text
             if kind == "comments":
                 inner = self.r.choice(["div", "article", "li"])
-                self.html.append(f'<{inner} class="comment"><p>{text}</p></{inner}>')
+                name = self.r.choice([' class="comment"', "", "", ""])
+                self.html.append(f"<{inner}{name}><p>{text}</p></{inner}>" if self.r.random() < 0.6 else f"<p>{text}</p>")
             elif kind == "related" and self.r.random() < 0.4:
                 self.html.append(f"<article><h3>{text}</h3><p>{self.words(5, 20)}</p></article>")
             else:
@@ -106,10 +112,10 @@ class _Page:
                 for _ in range(3):
                     self.block("td", self.words(1, 4))
                 self.html.append("</tr></table>")
-            elif at < 0.96:
+            elif at < 0.92:
                 self.block(self.r.choice(["div", "section", "p"]), self.words(5, 40), self.names(_MIXED, 1.0))
             else:
-                self.boilerplate(self.r.choice(["advert", "share", "newsletter", "related", "notice"]))
+                self.boilerplate(self.r.choice(["advert", "advert", "share", "newsletter", "related", "notice", "comments", "form", "sidebar"]))
         if self.r.random() < 0.3:
             self.boilerplate("meta")
 
@@ -122,7 +128,7 @@ class _Page:
             self.html.append(f"<div>{self.words(1, 4)}</div>")
         opened = []
         for _ in range(self.r.randint(0, 1)):
-            self.html.append(f"<div{self.names(_WRAPPER)}>")
+            self.html.append(f"<div{self.names(_PLAIN_WRAPPER)}>")
             opened.append("div")
         for _ in range(self.r.randint(1, 2)):
             tag = self.r.choice(["article", "main", "div", "div", "section", "td"])
@@ -138,6 +144,6 @@ class _Page:
         return head + "".join(self.html) + "</body></html>", self.main
 
 
-def labelled_pages(n: int = 400, seed: int = 1) -> list[tuple[str, list[str]]]:
+def labelled_pages(n: int = 600, seed: int = 1) -> list[tuple[str, list[str]]]:
     """(html, blocks of the main text) of ``n`` pages."""
     return [_Page(1_000 * seed + i).build() for i in range(n)]

@@ -16,23 +16,25 @@ import pyarrow as pa
 import pyarrow.dataset
 import pyarrow.fs
 import xxhash
+from pyspark.errors import PythonException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .scratch import shared_dir
+from .scratch import Scratch, join_counted, remove, shared_dir
 
 SPACE = b" \t\n\x0b\x0c\r"
 #: Frequent keys of an index whose exact table (16 bytes a key) and filters are sent to the tasks; above, they are joined.
 SENT_KEYS = 500_000
 SHARD_KEYS = 50_000
+_OVERFULL = "a cuckoo filter is over-full"
 _KEY = np.dtype([("hi", "<u8"), ("lo", "<u8")])
 
 
 class CuckooFilter:
     """A partial-key cuckoo filter: 16-bit fingerprints, four to a bucket, two buckets a key; add, remove, contains.
 
-    Keys are 64-bit hashes.  If an addition finds no place, the filter grows from the fingerprints' own keys, which the
-    caller holds, so ``add`` reports it by returning False.
+    Keys are 64-bit hashes.  ``add`` returns False if a key finds no place; the filter is then over-full, and its owner
+    builds a larger one from the keys (the index has them all in its exact table).
     """
 
     SLOTS, KICKS = 4, 500
@@ -103,15 +105,17 @@ def _texts(column: pa.Array) -> Iterator[bytes]:
 
 
 def _count_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """In how many documents of a batch each key stands."""
+    """In how many documents of a batch each key stands (kind 0), and how often each whole text comes (kind 1)."""
     for batch in batches:
-        seen: list[bytes] = []
+        seen: tuple[list[bytes], list[bytes]] = [], []
         for text in _texts(batch.column(0)):
-            seen += set(line_keys(text)) - {b""}
-        if seen:
-            keys = np.frombuffer(b"".join(map(_digest, seen)), dtype=_KEY)
-            distinct, counts = np.unique(keys, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(distinct["hi"].view("<i8")), pa.array(distinct["lo"].view("<i8")), pa.array(counts.astype(np.int64))], names=["hi", "lo", "n_docs"])
+            seen[0].extend(map(_digest, set(line_keys(text)) - {b""}))
+            seen[1].append(_digest(text))
+        for kind, digests in enumerate(seen):
+            if digests:
+                distinct, counts = np.unique(np.frombuffer(b"".join(digests), dtype=_KEY), return_counts=True)
+                columns = (distinct["hi"].view("<i8"), distinct["lo"].view("<i8"), np.full(len(counts), kind, np.int8), counts.astype(np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["hi", "lo", "kind", "n_docs"])
 
 
 def _rebuild(dropped):
@@ -162,58 +166,82 @@ class Filters:
         return out
 
 
+_COUNTS = "hi long, lo long, kind byte, n_docs long, was_frequent boolean, frequent boolean"
+
+
 class LineDedupIndex:
-    """An incremental index in ``folder``: a version of the exact counts and of the filters for each update."""
+    """An incremental index in ``folder``: a version of the exact counts and of the filters for each update.
+
+    The folder holds the whole state, so it can be opened again; an update that was interrupted is no version.  One
+    writer at a time.  The version before the newest is kept, older ones are removed.
+    """
 
     def __init__(self, spark: SparkSession, folder: str | None = None, threshold: int = 10) -> None:
         self.spark, self.folder, self.threshold = spark, folder or shared_dir(spark, "lines"), threshold
-        self.version = 0
-        self.n_shards = 1
+        self.version, self.n_shards = 0, 1
+        store, root = pyarrow.fs.FileSystem.from_uri(self.folder)
+        if store.get_file_info(root).type == pyarrow.fs.FileType.Directory:
+            marks = [f.base_name.split("-")[1:] for f in store.get_file_info(pyarrow.fs.FileSelector(root)) if f.base_name.startswith("version-")]
+            for version, shards, threshold in (tuple(map(int, m)) for m in marks):
+                if version > self.version:
+                    self.version, self.n_shards, self.threshold = version, shards, threshold
 
     def _table(self, what: str, version: int | None = None) -> str:
         return f"{self.folder}/{what}-{self.version if version is None else version:06d}"
 
+    def _merged(self, version: int | None = None) -> DataFrame:
+        return self.spark.read.schema(_COUNTS).parquet(self._table("counts", version))
+
     def counts(self) -> DataFrame:
-        """hi, lo, n_docs, frequent: the exact reference counts."""
-        return self.spark.read.schema("hi long, lo long, n_docs long, frequent boolean").parquet(self._table("counts"))
+        """hi, lo, n_docs, frequent: the exact reference counts of the line keys."""
+        return self._merged().where("kind = 0 and n_docs > 0").select("hi", "lo", "n_docs", "frequent")
 
     def insert(self, docs: DataFrame, text_col: str = "text") -> None:
         """Adds the documents; each row is one document."""
         self._update(docs, 1, text_col)
 
     def delete(self, docs: DataFrame, text_col: str = "text") -> None:
-        """Takes out documents that were inserted, by their texts."""
+        """Takes out documents that were inserted, by their texts; ValueError, and no change, if one of them wasn't."""
         self._update(docs, -1, text_col)
 
     def _update(self, docs: DataFrame, sign: int, text_col: str) -> None:
-        delta = docs.select(F.col(text_col).alias("text")).mapInArrow(_count_lines, "hi long, lo long, n_docs long").withColumn("n_docs", F.col("n_docs") * sign)
-        was = delta.select("hi", "lo", "n_docs", F.lit(False).alias("frequent"))
-        if self.version:
-            was = was.unionAll(self.counts())
-        merged = was.groupBy("hi", "lo").agg(F.sum("n_docs").alias("n_docs"), F.max("frequent").alias("was_frequent")).where("n_docs > 0 or was_frequent")
-        merged = merged.withColumn("frequent", F.col("n_docs") >= self.threshold)
-        merged.write.parquet(self._table("merged", self.version + 1))
-        merged = self.spark.read.schema(merged.schema).parquet(self._table("merged", self.version + 1))
-        merged.where("n_docs > 0").select("hi", "lo", "n_docs", "frequent").write.parquet(self._table("counts", self.version + 1))
-        changed = merged.where("frequent <> was_frequent")
-        self._filters(changed)
-        self.version += 1
-
-    def _filters(self, changed: DataFrame) -> None:
-        """The next version of the filters: keys that crossed the threshold go in or out of their shard's filter."""
         new = self.version + 1
-        frequent = self.spark.read.schema("hi long, lo long, n_docs long, frequent boolean").parquet(self._table("counts", new)).where("frequent").count()
-        shards = max(1, -(-frequent // SHARD_KEYS))
-        rebuilt = shards > self.n_shards or not self.version
-        if rebuilt:  # more shards than before: all frequent keys go to new filters
-            self.n_shards = 1 << (shards - 1).bit_length()
-            changed = self.spark.read.schema("hi long, lo long, n_docs long, frequent boolean").parquet(self._table("counts", new)).where("frequent").select("hi", "lo", "frequent")
-        n, capacity = self.n_shards, 2 * SHARD_KEYS
-
-        def shard_of(hi):
-            return F.pmod(F.pmod(hi, F.lit(n)) + F.lit(n), F.lit(n)).cast("int")  # n is a power of two
-
-        keys = changed.select(shard_of(F.col("hi")).alias("shard"), "lo", "frequent")
+        was = docs.select(F.col(text_col).alias("text")).mapInArrow(_count_lines, "hi long, lo long, kind byte, n_docs long").select("hi", "lo", "kind", F.col("n_docs") * sign, F.lit(False).alias("frequent"))
+        if self.version:
+            was = was.unionAll(self._merged().where("n_docs > 0").select("hi", "lo", "kind", "n_docs", "frequent"))
+        merged = was.toDF("hi", "lo", "kind", "n_docs", "frequent").groupBy("hi", "lo", "kind").agg(F.sum("n_docs").alias("n_docs"), F.max("frequent").alias("was_frequent")).where("n_docs <> 0 or was_frequent")
+        merged = merged.withColumn("frequent", (F.col("kind") == 0) & (F.col("n_docs") >= self.threshold))
+        merged.write.mode("overwrite").parquet(self._table("counts", new))
+        if sign < 0 and not self._merged(new).where("n_docs < 0").isEmpty():
+            raise ValueError("a document to delete was never inserted, or less often")
+        shards = self._filters(new)
+        self.n_shards, self.version = shards, new
+        store, root = pyarrow.fs.FileSystem.from_uri(self.folder)
+        store.open_output_stream(f"{root}/version-{new:06d}-{shards}-{self.threshold}").close()
+        for what in ("counts", "filters"):
+            remove(self._table(what, new - 2))
+
+    def _filters(self, new: int) -> int:
+        """Writes the filters of a version and returns the number of shards: keys that crossed the threshold go in or out."""
+        frequent = self._merged(new).where("frequent")
+        shards = max(1, -(-frequent.count() // SHARD_KEYS))
+        n, rebuilt = self.n_shards, not self.version
+        if shards > n:
+            n, rebuilt = 1 << (shards - 1).bit_length(), True
+        while True:
+            changed = frequent if rebuilt else self._merged(new).where("frequent <> was_frequent")
+            try:
+                self._build(changed.select("hi", "lo", "frequent"), n, rebuilt, new)
+                return n
+            except PythonException as e:
+                if _OVERFULL not in str(e):
+                    raise
+                n, rebuilt = 2 * n, True  # all frequent keys go to new filters of half as many keys
+
+    def _build(self, changed: DataFrame, n: int, rebuilt: bool, new: int) -> None:
+        capacity = 2 * SHARD_KEYS
+        shard = F.pmod(F.pmod("hi", F.lit(n)) + F.lit(n), F.lit(n)).cast("int")  # n is a power of two
+        keys = changed.select(shard.alias("shard"), "lo", "frequent")
 
         def build(group: tuple, keys_pdf, old_pdf):
             import pandas as pd
@@ -224,12 +252,12 @@ class LineDedupIndex:
             going, coming = (keys_pdf["lo"][keys_pdf["frequent"] == x].to_numpy(np.int64).view(np.uint64) for x in (False, True))
             cuckoo.remove(going)
             if not cuckoo.add(coming):
-                raise ValueError("a filter is over-full")
+                raise ValueError(_OVERFULL)
             return pd.DataFrame({"shard": [group[0]], "table": [cuckoo.table.tobytes()]})
 
         old = self.spark.createDataFrame([], "shard int, table binary") if rebuilt else self.spark.read.schema("table binary, shard int").parquet(self._table("filters"))
         built = keys.groupBy("shard").cogroup(old.groupBy("shard")).applyInPandas(build, "shard int, table binary")
-        built.write.partitionBy("shard").parquet(self._table("filters", new))
+        built.write.mode("overwrite").partitionBy("shard").parquet(self._table("filters", new))
 
     def apply(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         """One row per input row: doc_id, n_lines, n_dropped, kept_text.
@@ -242,7 +270,10 @@ class LineDedupIndex:
         frequent = self.counts().where("frequent").select("hi", "lo")
         if frequent.count() > SENT_KEYS:
             return self._apply_joined(rows, frequent)
-        exact = np.array([(r.hi & (2**64 - 1), r.lo & (2**64 - 1)) for r in frequent.collect()], dtype=_KEY)
+        pairs = frequent.toArrow()  # 16 bytes a key
+        exact = np.zeros(pairs.num_rows, dtype=_KEY)
+        for name in ("hi", "lo"):
+            exact[name] = pairs[name].to_numpy().view("<u8")
         exact.sort()
         tables = self.spark.read.schema("table binary, shard int").parquet(self._table("filters")).collect()
         filters = Filters({r.shard: np.frombuffer(bytes(r.table), np.uint16).reshape(-1, CuckooFilter.SLOTS) for r in tables}, self.n_shards, exact)
@@ -280,7 +311,7 @@ class LineDedupIndex:
             held: dict[int, CuckooFilter | None] = {}
             for batch in batches:
                 keep = np.zeros(batch.num_rows, dtype=bool)
-                shard, lo = batch.column(3).to_numpy(), batch.column(2).to_numpy().view(np.uint64)
+                shard, lo = batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64)
                 for s in np.unique(shard).tolist():
                     if s not in held:
                         tables = pyarrow.dataset.dataset(root, filesystem=store, format="parquet", partitioning="hive").to_table(["table"], filter=pyarrow.dataset.field("shard") == s)["table"]
@@ -288,12 +319,17 @@ class LineDedupIndex:
                     at = np.flatnonzero(shard == s)
                     if held[s] is not None:
                         keep[at] = held[s].contains(lo[at])
-                yield batch.select([0, 1, 2]).filter(pa.array(keep))
-
-        keys = rows.select("text_key", "text").mapInArrow(keys_of, "text_key long, hi long, lo long, shard int").distinct()
-        #: A task needs the filters of its shards only; a shard's keys are dealt to eight tasks.
-        maybe = keys.repartition("shard", F.pmod("lo", F.lit(8))).mapInArrow(screen, "text_key long, hi long, lo long")
-        bad = maybe.join(frequent, ["hi", "lo"]).groupBy("text_key").agg(F.collect_list(F.struct("hi", "lo")).alias("bad"))
+                yield batch.filter(pa.array(keep))
+
+        scratch = Scratch(self.spark, "line-keys")
+        keys = scratch.write(rows.select("text_key", "text").mapInArrow(keys_of, "text_key long, hi long, lo long, shard int"), "keys")
+        #: Each distinct key meets its shard's filter once; a task needs the filters of its shards only.
+        maybe = keys.select("shard", "lo", "hi").distinct().repartition("shard", F.pmod("lo", F.lit(8))).mapInArrow(screen, "shard int, lo long, hi long")
+        counted = self.counts().where("frequent").select("hi", "lo", "n_docs")
+        found = maybe.join(counted, ["hi", "lo"]).select(F.struct("hi", "lo").alias("key"), "n_docs")
+        found = scratch.write(found, "found")
+        bad = join_counted(keys.select(F.struct("hi", "lo").alias("key"), "text_key"), found, "key", "n_docs")
+        bad = scratch.write(bad.groupBy("text_key").agg(F.collect_set("key").alias("bad")), "bad")
 
         def dropped(batch, texts):
             for text, bad in zip(texts, batch.column(2).to_pylist(), strict=True):

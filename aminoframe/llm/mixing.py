@@ -49,8 +49,8 @@ def uniform(seed: int, part: Column, *keys: Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
-def with_copies(docs: DataFrame, rates: DataFrame, seed: int = 17, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
-    """``docs`` with n_copies: the hash-seeded Poisson number of the document with its source's mean rate.
+def with_copies(docs: DataFrame, rates: DataFrame, seed: int = 17, id_col: str = "doc_id", source_col: str = "source", name: str = "n_copies") -> DataFrame:
+    """``docs`` with n_copies (or another ``name``): the hash-seeded Poisson number of the document with its source's mean rate.
 
     The number depends on seed, id and rate only, so a recomputed task draws the same.  Rates of up to
     ``MAX_LISTED_SOURCES`` sources are sent along with the tasks; beyond that they are joined by source.
@@ -67,8 +67,16 @@ def with_copies(docs: DataFrame, rates: DataFrame, seed: int = 17, id_col: str =
         known = known.select("__source", "__parts", F.when(mean > 0, F.transform(F.sequence(F.lit(1), F.lit(201)), lambda n: F.aggregate(F.slice(pmf, 1, n), F.lit(0.0), lambda a, x: a + x))).otherwise(F.array(F.lit(1.0))).alias("__cdf"))
     joined = docs.join(known, docs[source_col].eqNullSafe(known["__source"]), "left")
     #: The inverse of the distribution: how many of its values are at or below the uniform number.
-    drawn = F.aggregate(F.sequence(F.lit(1), F.col("__parts")), F.lit(0), lambda n, part: n + F.size(F.filter("__cdf", lambda c: c <= uniform(seed, part, F.col(id_col)))))
-    return joined.withColumn("n_copies", F.coalesce(drawn, F.lit(0))).drop("__source", "__parts", "__cdf")
+    numbers = F.transform(F.sequence(F.lit(1), F.col("__parts")), lambda part: uniform(seed, part, F.col(id_col)))
+    drawn = F.aggregate(numbers, F.lit(0), lambda n, u: n + F.size(F.filter("__cdf", lambda c: c <= u)))
+    return joined.withColumn(name, F.coalesce(drawn, F.lit(0))).drop("__source", "__parts", "__cdf")
+
+
+def _free(name: str, columns: list[str]) -> str:
+    """The name, with underscores behind it until no column has it."""
+    while name.lower() in {c.lower() for c in columns}:
+        name += "_"
+    return name
 
 
 def _log_factorial(k: Column) -> Column:
@@ -78,16 +86,16 @@ def _log_factorial(k: Column) -> Column:
 def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, alpha: float = 0.5, seed: int = 17, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
     """Every document as often as drawn, in a globally shuffled order; columns of ``docs`` plus copy and n_copies.
 
-    Copies are numbered from 1.  Documents drawn 0 times go: that is the sampling.  The order is by hash of seed, id
-    and copy: rows are dealt over all partitions by it and sorted within each, so neighbours are unrelated.  A null
-    source is a source of its own; rows that repeat an id draw the same number; null ids draw as one id.
+    Copies are numbered from 1.  Documents drawn 0 times go: that is the sampling.  The order is by hash of seed, id,
+    text and copy: rows are dealt over all partitions by it and sorted within each, so neighbours are unrelated, and
+    many rows of one id (or none) don't meet.  A null source is a source of its own; rows that repeat an id draw the same
+    number; null ids draw as one id.  Where ``docs`` has a column copy or n_copies it stays, and the new one gets an
+    underscore behind its name.
     """
-    clash = {"copy", "n_copies"} & {c.lower() for c in docs.columns}
-    if clash:
-        docs = docs.drop(*clash)
-    drawn = with_copies(docs, source_rates(docs, weights, alpha, source_col, text_col), seed, id_col, source_col).where("n_copies > 0")
-    copies = drawn.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n_copies"))))
-    copies = copies.withColumn("__order", F.xxhash64(F.lit(seed), F.col(id_col), F.col("copy")))
+    count, number = (_free(x, docs.columns) for x in ("n_copies", "copy"))
+    drawn = with_copies(docs, source_rates(docs, weights, alpha, source_col, text_col), seed, id_col, source_col, count).where(F.col(count) > 0)
+    copies = drawn.withColumn(number, F.explode(F.sequence(F.lit(1), F.col(count))))
+    copies = copies.withColumn("__order", F.xxhash64(F.lit(seed), F.col(id_col), F.col(number), F.col(text_col)))
     return copies.repartition("__order").sortWithinPartitions("__order").drop("__order")
 
 
