@@ -12,14 +12,18 @@ import re
 from collections.abc import Iterable
 
 from .alphabet import RESIDUES
+from .vectors import Recipes
 
 
 class Dialect:
     """Spark SQL.  Arrays are 0-based in ``get``; lambda variables are plain names."""
 
     nan = "double('NaN')"
+    #: Whether the plan has a stage for figures of profiles and words (``vectors``); otherwise they are SQL as well.
+    vectors = True
 
     def __init__(self) -> None:
+        self.recipes = Recipes()
         self.levels: dict[str, int] = {"seq": 0, "n": 0}
         self.lets: dict[str, str] = {}
         self.spelled: dict[str, str] = {}
@@ -39,6 +43,17 @@ class Dialect:
             self.lets[name], self.levels[name] = sql, 1 + max(used, default=0)
         return name
 
+    def profile(self, name: str, sql: str, *recipe: object) -> str:
+        """Names an array that the vector stage can make too."""
+        self.recipes.arrays[self.let(name, sql)] = recipe
+        return name
+
+    def figure(self, name: str, *what: object) -> str:
+        """A column of the vector stage."""
+        if self.recipes.figures.setdefault(name, what) != what:
+            raise ValueError(f"{name!r} is another figure already")
+        return name
+
     def stages(self) -> list[list[tuple[str, str]]]:
         top = max((self.levels[name] for name in self.lets), default=0)
         return [[(name, sql) for name, sql in self.lets.items() if self.levels[name] == level] for level in range(1, top + 1)]
@@ -127,7 +142,7 @@ class Dialect:
     def values(self, name: str, scale: dict[str, float]) -> str:
         """The scale's value of every residue; ``scale`` covers all residues."""
         table = [scale.get(chr(65 + i), 0.0) for i in range(26)]
-        return self.let(f"v_{name}", self.map(self.codes(), self.get(self.literal(table), "x")))
+        return self.profile(f"v_{name}", self.map(self.codes(), self.get(self.literal(table), "x")), "scale", tuple(table))
 
     def mask(self, group: str) -> str:
         """1 or 0 for every residue."""
@@ -147,10 +162,12 @@ class Dialect:
     def rolling(self, array: str, w: int) -> str:
         """Means of all windows of w values, summed from the left as value / w terms."""
         terms = " + ".join(f"{self.get(array, f'i + {j}' if j else 'i')} * {self.number(1.0 / w)}" for j in range(w))
-        return self.let(f"roll{w}_{array}", f"CASE WHEN n >= {w} THEN {self.over('0', f'n - {w}', terms)} ELSE {self.empty('double')} END")
+        return self.profile(f"roll{w}_{array}", f"CASE WHEN n >= {w} THEN {self.over('0', f'n - {w}', terms)} ELSE {self.empty('double')} END", "roll", array, w)
 
     def stats(self, array: str, which: tuple[str, ...] = ("mean", "std", "min", "max", "amplitude", "start_end_diff")) -> list[tuple[str, str]]:
         """Statistics of a named array; NaN for an empty one."""
+        if self.vectors and array in self.recipes.arrays:
+            return [(k, self.figure(f"{array}_{k}_", "stat", array, k)) for k in which]
         size = self.let(f"{array}_size", self.size(array))
         mean = self.let(f"{array}_mean", self.ratio(self.total(array), size))
         square = self.map(array, f"(y - {mean}) * (y - {mean})", "y")
@@ -164,6 +181,10 @@ class Dialect:
 
     def share(self, array: str, condition: str) -> str:
         """Share of a named array's values ``x`` that meet a condition."""
+        if self.vectors and array in self.recipes.arrays:
+            _, sign, value = condition.split()
+            value = float(re.search(r"-?[\d.]+(?:e[-+]?\d+)?", value)[0])
+            return self.figure(f"{array}_share_{self.key(sign, value)}", "share", array, sign, value)
         return self.ratio(self.size(self.filter(array, condition)), self.size(array))
 
     def median(self, array: str) -> str:
@@ -178,6 +199,7 @@ class DuckDb(Dialect):
     """The same in DuckDB's SQL."""
 
     nan = "'NaN'::DOUBLE"
+    vectors = False
 
     def get(self, array: str, i: str | int) -> str:
         return f"{array}[({i}) + 1]"

@@ -26,6 +26,9 @@ class Words:
     def __init__(self, d: Dialect, k: int) -> None:
         d.codes()
         self.d, self.k = d, k
+        if d.vectors:
+            self.words, self.size, self.total = d.let(f"words{k}", d.words(k)), self.figure("size"), self.figure("total")
+            return
         self.words = d.let(f"words{k}", d.words(k))
         self.size = d.let(f"words{k}_size", d.size(self.words))
         self.order = d.let(f"words{k}_order", d.sorted(self.words))
@@ -36,21 +39,30 @@ class Words:
     def some(self, sql: str) -> str:
         return self.d.where(f"{self.size} > 0", sql)
 
+    def figure(self, which: str) -> str:
+        return self.d.figure(f"words{self.k}_{which}_", "word_figure", self.k, which)
+
     def repeated_fraction(self) -> str:
         return self.d.ratio(self.total, self.size)
 
     def unique_fraction(self) -> str:
-        return self.d.ratio(self.d.size(self.counts), self.size)
+        return self.d.ratio(self.figure("kinds") if self.d.vectors else self.d.size(self.counts), self.size)
 
     def top(self) -> str:
+        if self.d.vectors:
+            return self.figure("top")
         return self.some(self.d.high(self.counts))
 
     def entropy(self) -> str:
         d = self.d
+        if d.vectors:
+            return self.figure("entropy")
         body = f"(x / {self.total}) * log2(x / {self.total})"
         return self.some(f"CASE WHEN {self.total} > 0 THEN 0 - {d.total(d.map(self.repeated, body))} ELSE 0 END")
 
     def concentration(self) -> str:
+        if self.d.vectors:
+            return self.figure("concentration")
         return self.some(f"CASE WHEN {self.total} > 0 THEN {self.d.high(self.repeated)} / {self.total} ELSE 0 END")
 
     def placed(self) -> str:
@@ -60,6 +72,8 @@ class Words:
 
     def span(self) -> str:
         """Mean distance from the first to the last place of the repeated words."""
+        if self.d.vectors:
+            return self.figure("span")
         d, placed = self.d, self.placed()
         starts, runs = f"{self.order}_starts", f"{self.order}_runs"
         last = f"{d.get(starts, 'i')} + {d.get(self.counts, 'i')} - 1"
@@ -68,6 +82,8 @@ class Words:
 
     def longest_block(self) -> str:
         """Longest run of places whose words are repeated."""
+        if self.d.vectors:
+            return self.figure("longest")
         d, placed = self.d, self.placed()
         word = lambda i: f"floor({d.get(placed, i)} / {d.number(_PLACE)})"
         same = f"(i > 0 AND {word('i')} = {word('greatest(i - 1, 0)')}) OR (i + 1 < {self.size} AND {word('i')} = {word(f'least(i + 1, {self.size} - 1)')})"
@@ -89,7 +105,7 @@ def window_entropies(d: Dialect, w: int) -> str:
     counts = [" + ".join(["1"] + [f"CASE WHEN {d.get(codes, f'i + {j}')} = {d.get(codes, f'i + {k}')} THEN 1 ELSE 0 END" for k in range(w) if k != j]) for j in range(w)]
     logs = d.literal([0.0] + [math.log2(x) for x in range(1, w + 1)])
     body = f"greatest({d.number(0)}, {d.number(math.log2(w))} - (" + " + ".join(d.get(logs, c) for c in counts) + f") / {w})"
-    return d.let(f"window_entropy{w}", f"CASE WHEN n >= {w} THEN {d.over('0', f'n - {w}', body)} ELSE {d.empty('double')} END")
+    return d.profile(f"window_entropy{w}", f"CASE WHEN n >= {w} THEN {d.over('0', f'n - {w}', body)} ELSE {d.empty('double')} END", "entropy", w)
 
 
 def homopolymers(d: Dialect) -> str:
@@ -150,7 +166,7 @@ class LocalRepetition(Descriptor):
         for outer in (8, 10):
             inner = outer - 1
             body = f"1 - {d.distinct(d.slice('words2', 'i + 1', str(inner)))} / {d.number(inner)}"
-            profile = d.let(f"redundancy{outer}", f"CASE WHEN n >= {outer} THEN {d.over('0', f'n - {outer}', body)} ELSE {d.empty('double')} END")
+            profile = d.profile(f"redundancy{outer}", f"CASE WHEN n >= {outer} THEN {d.over('0', f'n - {outer}', body)} ELSE {d.empty('double')} END", "repeats", 2, inner)
             out += [(f"local_redundancy_{k}_w{outer}_k2", v) for k, v in d.stats(profile, ("mean", "std"))]
         return out
 

@@ -34,16 +34,22 @@ class ResidueComposition(Descriptor):
 
 
 def _word_features(d: Dialect, k: int, counts: bool, frequencies: bool, total: str, unique: str) -> list[tuple[str, str]]:
-    """Counts of all words of k residues.
+    """Counts of all words of k residues, from a table of the vector stage.
 
-    Removing a word from the text counts it, if no two of its places can overlap; words that can overlap themselves are
+    In SQL, removing a word from the text counts it, if no two of its places can overlap; words that can overlap themselves are
     counted in the array of all words.
     """
-    words = d.let(f"words{k}", (d.codes(), d.words(k))[1])
-    size = d.let(f"words{k}_size", d.size(words))
-    out, names = [(total, size), (unique, d.distinct(words))], ["".join(p) for p in product(RESIDUES, repeat=k)]
+    names = ["".join(p) for p in product(RESIDUES, repeat=k)]
     of = {}
-    for w in names:
+    if d.vectors:
+        size, kinds = (d.figure(f"words{k}_{x}_", "word_figure", k, x) for x in ("size", "kinds"))
+        table = d.figure(f"words{k}_table", "table", k)
+        of = {w: d.get(table, i) for i, w in enumerate(names)}
+    else:
+        words = d.let(f"words{k}", (d.codes(), d.words(k))[1])
+        size, kinds = d.let(f"words{k}_size", d.size(words)), d.distinct(words)
+    out = [(total, size), (unique, kinds)]
+    for w in names if not of else ():
         if any(w[:i] == w[-i:] for i in range(1, k)):
             number = sum((ord(ch) - 65) * 26 ** (k - 1 - j) for j, ch in enumerate(w))
             of[w] = d.let(f"word_{w}", d.size(d.filter(words, f"x = {number}")))

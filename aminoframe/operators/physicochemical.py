@@ -38,7 +38,7 @@ class Charge(Descriptor):
             acidic = {a: held(PKA_NEGATIVE[a] - ph) for a in "DE"}
             out += [(f"protonated_basic_fraction_{tag}", d.ratio(_weighted(d, c, basic), c.count("KRH"))), (f"deprotonated_acidic_fraction_{tag}", d.ratio(_weighted(d, c, acidic), c.count("DE")))]
             profile = d.rolling(d.values(f"charge_{tag}", residue_charge(ph)), w)
-            local = d.let(f"local_{tag}", d.map(profile, f"x + {d.number(end_charge(ph) / w)}"))
+            local = d.profile(f"local_{tag}", d.map(profile, f"x + {d.number(end_charge(ph) / w)}"), "shift", profile, end_charge(ph) / w)
             out += [(f"local_{k}_{tag}", v) for k, v in d.stats(local, STATS)]
             nets = {side: d.let(f"{side}net_{tag}", s.net_charge(ph)) for side, s in ends.items()}
             density = {side: d.where(f"{s.n} > 0", f"{nets[side]} / {s.n}") for side, s in ends.items()}
@@ -93,8 +93,9 @@ class Hydrophobicity(Descriptor):
         arrays = [d.values("hydropathy", HYDROPATHY), d.values("polarity", POLARITY), d.mask(GROUPS["hydrophobic"]), d.mask(GROUPS["polar"])]
         for w in self.window_sizes:
             hyd, pol, hf, pf = (d.rolling(a, w) for a in arrays)
-            contrast = d.let(f"contrast{w}", d.mapi(hf, f"abs(x - {d.get(pf, 'i')})"))
-            amphi = d.let(f"amphi{w}", d.mapi(contrast, f"x * abs({d.get(hyd, 'i')} - {d.get(pol, 'i')})"))
+            contrast = d.profile(f"contrast{w}", d.mapi(hf, f"abs(x - {d.get(pf, 'i')})"), "absdiff", hf, pf)
+            apart = d.profile(f"apart{w}", d.mapi(hyd, f"abs(x - {d.get(pol, 'i')})"), "absdiff", hyd, pol)
+            amphi = d.profile(f"amphi{w}", d.mapi(contrast, f"x * {d.get(apart, 'i')}"), "product", contrast, apart)
             for name, array in (("hydropathy", hyd), ("polarity", pol), ("hydrophobic_frac", hf), ("polar_frac", pf), ("contrast", contrast), ("amphipathicity", amphi)):
                 out += [(f"w{w}_{name}_{k}", v) for k, v in d.stats(array, STATS)]
             for name, array, least in (("hydrophobic_patch", hf, 0.6), ("polar_patch", pf, 0.6), ("high_amphipathicity", amphi, 1.0)):
@@ -150,7 +151,7 @@ class StructuralPropensity(Descriptor):
             for k, array in profiles.items():
                 out += [(f"w{w}_{k}_{stat}", v) for stat, v in d.stats(array, STATS[:5])]
                 out.append((f"w{w}_{k}_high_fraction", d.share(array, f"x > {d.number(self.threshold)}")))
-            balance = d.let(f"balance{w}", d.mapi(profiles["helix"], f"x - {d.get(profiles['sheet'], 'i')}"))
+            balance = d.profile(f"balance{w}", d.mapi(profiles["helix"], f"x - {d.get(profiles['sheet'], 'i')}"), "difference", profiles["helix"], profiles["sheet"])
             s = dict(d.stats(balance, ("mean", "max", "min")))
             out += [(f"w{w}_helix_sheet_balance_{k}", s[k]) for k in ("mean", "max", "min")]
         return out

@@ -120,10 +120,10 @@ class Autocorrelation(Descriptor):
         for name, scale in self.scales.items():
             tag = d.key(sorted(scale.items()))
             v = d.values(f"auto_{tag}", scale)
-            if missing := [a for a in RESIDUES if a not in scale]:
+            if any(a not in scale for a in RESIDUES):
                 gaps = d.values(f"auto_{tag}_known", {a: 1.0 for a in scale})
                 kept = d.mapi(v, f"CASE WHEN {d.get(gaps, 'i')} > 0 THEN x END")
-                v = d.let(f"auto_{tag}_some", d.filter(kept, "x IS NOT NULL")) if missing else v
+                v = d.profile(f"auto_{tag}_some", d.filter(kept, "x IS NOT NULL"), "known", v, "".join(sorted(scale)))
             s = dict(d.stats(v, ("mean", "std", "amplitude")))
             size, mean = f"{v}_size", f"{v}_mean"
             varied = f"{v}_high > {v}_low"
@@ -132,6 +132,9 @@ class Autocorrelation(Descriptor):
                 if lag < 1:
                     out += [(f"{kind}_{name}_lag{lag}", d.nan) for kind in ("mb", "moran", "geary")]
                     continue
+                if d.vectors:
+                    out += [(f"{kind}_{name}_lag{lag}", d.figure(f"{v}_{kind}{lag}", "lagged", v, kind, lag)) for kind in ("mb", "moran", "geary")]
+                    continue
                 here, there = d.get(v, "i"), d.get(v, f"i + {lag}")
                 span = lambda body, lag=lag, size=size: f"{d.total(d.over('0', f'{size} - {lag + 1}', body))} / ({size} - {lag})"
                 out.append((f"mb_{name}_lag{lag}", d.where(f"{size} > {lag}", span(f"{here} * {there}"))))
@@ -159,7 +162,7 @@ class AAIndex(Descriptor):
             known = "".join(a for a in RESIDUES if a in scale)
             if len(known) < 20:
                 gaps = d.values(f"aaindex_{tag}_known", {a: 1.0 for a in known})
-                v = d.let(f"aaindex_{tag}_some", d.filter(d.mapi(v, f"CASE WHEN {d.get(gaps, 'i')} > 0 THEN x END"), "x IS NOT NULL"))
+                v = d.profile(f"aaindex_{tag}_some", d.filter(d.mapi(v, f"CASE WHEN {d.get(gaps, 'i')} > 0 THEN x END"), "x IS NOT NULL"), "known", v, known)
             s = dict(d.stats(v, ("mean", "std", "min", "max")))
             out += [(f"{code}_{k}", s[k]) for k in ("mean", "std", "min", "max")] + [(f"{code}_median", d.median(v))]
             if self.include_terminal:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.alphabet import RESIDUES
 from ..functions.dialect import Dialect
+from ..functions.vectors import stage
 from ..operators import REGISTRY, Descriptor
 
 SHARED = ("length", "valid_residue_count")
@@ -36,6 +38,17 @@ def _features(d: Dialect, descriptors: Sequence[Descriptor], merged: bool) -> li
     return out
 
 
+def _closure(d: Dialect, sqls: Iterable[str]) -> set[str]:
+    """The intermediates and figures that the expressions need."""
+    found: set[str] = set()
+    left = set(sqls)
+    while left:
+        words = {w for sql in left for w in re.findall(r"[A-Za-z_]\w*", sql)} - found
+        found |= words
+        left = {d.lets[w] for w in words if w in d.lets}
+    return found
+
+
 def compute(df: DataFrame, descriptors: Descriptor | Iterable[Descriptor], id_col: str | None = "id", seq_col: str = "sequence", features: Iterable[str] | None = None) -> DataFrame:
     """``id`` (unless ``id_col`` is None) and the descriptors' features, all DOUBLE, one row per input row.
 
@@ -51,8 +64,11 @@ def compute(df: DataFrame, descriptors: Descriptor | Iterable[Descriptor], id_co
     if wanted and (missing := wanted - {name for name, _ in listed}):
         raise ValueError(f"no such features: {sorted(missing)[:5]}")
     rows = prepared(df.withColumn("__no_id", F.lit(None)) if id_col is None else df, id_col or "__no_id", seq_col)
-    for stage in d.stages():
-        rows = rows.select("*", *(F.expr(sql).alias(name) for name, sql in stage))
+    recipes = d.recipes.only(_closure(d, (sql for _, sql in listed)).__contains__)
+    if recipes.figures:
+        rows = rows.mapInArrow(stage(recipes), "id string, seq string, n int, " + ", ".join(f"`{k}` {recipes.kind(k)}" for k in recipes.figures))
+    for step in d.stages():
+        rows = rows.select("*", *(F.expr(sql).alias(name) for name, sql in step))
     out = [F.expr(f"cast({sql} as double)").alias(name) for name, sql in listed]
     return rows.select(*([] if id_col is None else ["id"]), *out)
 
