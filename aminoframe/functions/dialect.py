@@ -189,6 +189,8 @@ class Dialect:
 
     def median(self, array: str) -> str:
         """Of a named array of numbers."""
+        if self.vectors and array in self.recipes.arrays:
+            return self.figure(f"{array}_median_", "median", array)
         order = self.let(f"{array}_order", self.sorted(array))
         size = self.let(f"{array}_size", self.size(array))
         middle = [self.get(order, f"cast(floor(({size} - {j}) / 2.0) as int)") for j in (1, 0)]

@@ -142,6 +142,14 @@ class _Batch:
         m = self.moments(name)
         return m[which] if which in m else {"min": m["low"], "max": m["high"], "amplitude": m["high"] - m["low"], "start_end_diff": m["last"] - m["first"]}[which]
 
+    def median(self, name: str) -> np.ndarray:
+        v, sizes = self.array(name)
+        ordered = v[np.lexsort((v, _owner(sizes)))]
+        begin, some, out = np.cumsum(sizes) - sizes, sizes > 0, np.full(self.rows, np.nan)
+        low, high = (begin + (sizes - 1) // 2)[some], (begin + sizes // 2)[some]
+        out[some] = (ordered[low] + ordered[high]) / 2.0
+        return out
+
     def share(self, name: str, sign: str, value: float) -> np.ndarray:
         v, sizes = self.array(name)
         hit = {"<": np.less, "<=": np.less_equal, ">": np.greater, ">=": np.greater_equal}[sign](v, value)
