@@ -26,6 +26,8 @@ _STATE_CONF = {
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",  # else each small store reserves megabytes of disk
+    "spark.sql.streaming.stateStore.unloadOnCommit": "true",  # a call is one batch: its stores' memory is free right after
+    "spark.sql.streaming.stateStore.maintenanceInterval": "10s",
 }
 _LAST = (1 << 63) - 1
 _INBOX = "doc_id long, digest binary, text string, load string"
