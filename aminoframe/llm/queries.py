@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, html_text, line_dedup, mixing, phrases, quality, simhash_dedup, substring_dedup, token_counts, tokens_file
+from . import decontaminate, exact_dedup, hard_negatives, html_text, line_dedup, mixing, phrases, quality, simhash_dedup, substring_dedup, token_counts, tokens_file
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.query,
@@ -16,12 +16,14 @@ QUERIES = {
     "op9_token_files": tokens_file.query,
     "op10_html_text": html_text.query,
     "op11_phrases": phrases.query,
+    "op12_hard_negatives": hard_negatives.query,
 }
 
 _WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')"
 
 ORACLE_SQL = {
     "op11_phrases": phrases.SQL,
+    "op12_hard_negatives": hard_negatives.SQL,
     "op1_substring_dedup": f"""
         WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
         win AS (
