@@ -30,7 +30,7 @@ PIECE_END = np.zeros(256, dtype=bool)
 PIECE_END[[*b".,;:!?\n\x0b\x0c\r"]] = True
 WORD = ~PIECE_END
 WORD[[9, 32]] = False
-SHARD_BYTES = 12 << 20
+SHARD_BYTES = 5 << 20
 #: Bits of the bitmap of frequent strings, as powers of two; so many for each string, within the bounds.
 BITS_LOW, BITS_HIGH, BITS_EACH = 20, 28, 16
 #: First parts of a language's ranking, so that it is never sorted by one task.

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, hard_negatives, html_text, line_dedup, mixing, phrases, quality, simhash_dedup, substring_dedup, token_counts, tokens_file
+from . import decontaminate, exact_dedup, hard_negatives, html_text, line_dedup, mixing, phrases, quality, secrets, simhash_dedup, substring_dedup, token_counts, tokens_file
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.query,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_html_text": html_text.query,
     "op11_phrases": phrases.query,
     "op12_hard_negatives": hard_negatives.query,
+    "op13_secrets": secrets.query,
 }
 
 _WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')"
