@@ -108,7 +108,7 @@ class _Block:
         self.labels = rows.column("label").to_numpy()
         self.x = _matrix(rows.column("v"), book.wide)
         self.rest = _matrix(rows.column("rest"), len(book.centroids))
-        codes = np.frombuffer(b"".join(rows.column("codes").to_pylist()), dtype=np.uint8).reshape(len(self.ids), -1)
+        codes = np.frombuffer(b"".join(rows.column("codes").to_pylist()), dtype=np.uint8).reshape(len(self.ids), len(book.centroids))
         self.codes = codes.T.astype(np.int64)
         self.high = float(np.abs(self.x).max(initial=0))
 
