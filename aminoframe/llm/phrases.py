@@ -30,7 +30,7 @@ PIECE_END = np.zeros(256, dtype=bool)
 PIECE_END[[*b".,;:!?\n\x0b\x0c\r"]] = True
 WORD = ~PIECE_END
 WORD[[9, 32]] = False
-SHARD_BYTES = 5 << 20
+SHARD_BYTES = 3 << 20
 #: Bits of the bitmap of frequent strings, as powers of two; so many for each string, within the bounds.
 BITS_LOW, BITS_HIGH, BITS_EACH = 20, 28, 16
 #: First parts of a language's ranking, so that it is never sorted by one task.
@@ -115,8 +115,11 @@ class _Shard:
 
 def _hashes(lang: pa.Array, phrase: pa.Array, bits: int) -> np.ndarray:
     """A place in the bitmap for each string."""
-    whole = pc.binary_join_element_wise(lang.cast(pa.large_string()), phrase.cast(pa.large_string()), pa.scalar("\n", pa.large_string())).cast(pa.large_binary())
-    return np.fromiter(map(xxhash.xxh3_64_intdigest, whole.to_pylist()), np.uint64, len(whole)) >> np.uint64(64 - bits)
+    out, step = np.empty(len(phrase), dtype=np.uint64), 1 << 15
+    for lo in range(0, len(out), step):
+        whole = pc.binary_join_element_wise(lang[lo : lo + step].cast(pa.large_string()), phrase[lo : lo + step].cast(pa.large_string()), pa.scalar("\n", pa.large_string())).cast(pa.large_binary())
+        out[lo : lo + step] = np.fromiter(map(xxhash.xxh3_64_intdigest, whole.to_pylist()), np.uint64, len(whole))
+    return out >> np.uint64(64 - bits)
 
 
 def _shards(batches: Iterator[pa.RecordBatch], shard_bytes: int, overlap: int) -> Iterator[_Shard]:
