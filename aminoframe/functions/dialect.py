@@ -187,6 +187,10 @@ class Dialect:
             return self.figure(f"{array}_share_{self.key(sign, value)}", "share", array, sign, value)
         return self.ratio(self.size(self.filter(array, condition)), self.size(array))
 
+    def coupled(self, letters: str, lag: int, kind: str, *args: object) -> str:
+        """Sum of weights over the residue pairs at a lag (``vectors``); residues other than ``letters`` are left out first."""
+        return self.figure(f"pairs{lag}_{self.key(letters, kind, args)}", "coupled", letters, lag, (kind, *args))
+
     def median(self, array: str) -> str:
         """Of a named array of numbers."""
         if self.vectors and array in self.recipes.arrays:
@@ -290,6 +294,13 @@ class Counts:
         square = " + ".join(f"{self.of[a]} * ({d.number(v)} - {mean}) * ({d.number(v)} - {mean})" for a, v in sorted(scale.items()))
         return d.where(f"{self.n} > 0", f"sqrt(({square}) / {self.n})")
 
+    def varied(self, scale: dict[str, float]) -> str:
+        """Whether residues with different values of a scale occur."""
+        alike: dict[float, list[str]] = {}
+        for a, v in scale.items():
+            alike.setdefault(v, []).append(a)
+        return "(" + " + ".join(f"CASE WHEN {self.count(''.join(letters))} > 0 THEN 1 ELSE 0 END" for letters in alike.values()) + ") > 1"
+
     def entropy(self) -> str:
         d = self.d
         terms = " + ".join(f"CASE WHEN {c} > 0 THEN ({c} / {d.number(1)} / {self.n}) * log2({c} / {d.number(1)} / {self.n}) ELSE 0 END" for c in self.of.values())

@@ -15,13 +15,29 @@ import pyarrow as pa
 
 from .alphabet import RESIDUES
 
-#: Residues of a batch that are computed together.
-CHUNK = 1 << 20
+#: Residues of a batch that are computed together, and cells of a table with a row for each sequence.
+CHUNK, CELLS = 1 << 20, 1 << 22
 _NUMBER = np.full(256, -1, dtype=np.int64)
 _NUMBER[[ord(a) for a in RESIDUES]] = np.arange(len(RESIDUES))
 Array = tuple[np.ndarray, np.ndarray]
 
 
+def _pair_weights(kind: str, *args) -> np.ndarray:
+    """A weight for each ordered pair of residues.
+
+    "product" and "sum" of a scale's values (in the order of the alphabet), "square": mean squared difference over some
+    scales, "inside": both in a group, "across": one in either of two groups.
+    """
+    if kind == "product":
+        return np.outer(args[0], args[0])
+    if kind == "sum":
+        return np.add.outer(np.array(args[0]), np.array(args[0]))
+    if kind == "square":
+        return np.mean([np.subtract.outer(np.array(s), np.array(s)) ** 2 for s in args], axis=0)
+    a, b = (np.array([r in group for r in RESIDUES], dtype=np.float64) for group in (args[0], args[-1]))
+    return np.maximum(np.outer(a, b), np.outer(b, a))
+
+
 @dataclass
 class Recipes:
     """``arrays``: name to (what, arguments); ``figures``: output column to (figure, array, arguments)."""
@@ -35,6 +51,11 @@ class Recipes:
     def kind(self, name: str) -> str:
         return "array<double>" if self.figures[name][0] == "table" else "double"
 
+    def widest(self) -> int:
+        """Cells that a sequence takes in the widest table."""
+        pairs = len(RESIDUES) ** 2
+        return max([1, *(len(RESIDUES) ** f[1] for f in self.figures.values() if f[0] == "table"), *(pairs for f in self.figures.values() if f[0] == "coupled")])
+
 
 def _owner(sizes: np.ndarray) -> np.ndarray:
     return np.repeat(np.arange(len(sizes)), sizes)
@@ -57,7 +78,7 @@ class _Batch:
         self.recipes, self.rows = recipes, len(seqs)
         self.n = np.fromiter(map(len, seqs), np.int64, len(seqs))
         self.codes = np.frombuffer(b"".join(seqs), dtype=np.uint8)
-        self.array, self.moments, self.words, self.grouped = map(cache, (self._array, self._moments, self._words, self._grouped))
+        self.array, self.moments, self.words, self.grouped, self.couplings = map(cache, (self._array, self._moments, self._words, self._grouped, self._couplings))
 
     def _array(self, name: str) -> Array:
         what, *args = self.recipes.arrays[name]
@@ -155,19 +176,24 @@ class _Batch:
         hit = {"<": np.less, "<=": np.less_equal, ">": np.greater, ">=": np.greater_equal}[sign](v, value)
         return self.sums(hit, sizes) / sizes
 
-    def lagged(self, name: str, kind: str, lag: int) -> np.ndarray:
-        """Moreau-Broto, Moran or Geary autocorrelation at a lag."""
-        v, sizes = self.array(name)
-        m = self.moments(name)
+    def _couplings(self, letters: str, lag: int) -> dict[tuple, np.ndarray]:
+        """All wanted sums over the pairs of residues at a lag: one table of pair counts, times a matrix of their weights.
+
+        Residues that aren't in ``letters`` are left out before the lag is taken.
+        """
+        number, sizes = _NUMBER[self.codes], self.n
+        if len(letters) < len(RESIDUES):
+            keep = np.isin(self.codes, [ord(a) for a in letters])
+            number, sizes = number[keep], np.bincount(_owner(self.n)[keep], minlength=self.rows)
         at, out = _windows(sizes, lag + 1)
-        if kind == "moran":
-            v = v - np.repeat(m["mean"], sizes)
-        x, y = v[at], v[at + lag]
-        mean = self.sums((x - y) ** 2 if kind == "geary" else x * y, out) / (sizes - lag)
-        if kind != "mb":
-            variance = m["std"] * m["std"]
-            mean = mean / variance if kind == "moran" else mean / 2 / (variance * sizes / (sizes - 1))
-        return np.where((sizes > lag) & ((kind == "mb") | (m["high"] > m["low"])), mean, np.nan)
+        wide = len(RESIDUES) ** 2
+        counts = np.bincount(_owner(out) * wide + number[at] * len(RESIDUES) + number[at + lag], minlength=self.rows * wide).reshape(self.rows, wide)
+        weights = {f[3]: None for f in self.recipes.figures.values() if f[0] == "coupled" and f[1:3] == (letters, lag)}
+        found = counts @ np.stack([_pair_weights(*w).ravel() for w in weights], axis=1)
+        return dict(zip(weights, found.T, strict=True))
+
+    def coupled(self, letters: str, lag: int, weight: tuple) -> np.ndarray:
+        return self.couplings(letters, lag)[weight]
 
     def _grouped(self, k: int) -> tuple[np.ndarray, ...]:
         """Of each distinct word of each sequence: sequence, count, first and last place; and each place's count."""
@@ -232,13 +258,15 @@ class _Batch:
 def stage(recipes: Recipes) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Adds the figures to batches of (id, seq, n)."""
 
+    most = max(1, CELLS // recipes.widest())
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ends = np.cumsum(batch.column(2).to_numpy())
             lo = 0
             while lo < batch.num_rows:
                 before = ends[lo - 1] if lo else 0
-                hi = max(lo + 1, int(np.searchsorted(ends, before + CHUNK, side="right")))
+                hi = min(lo + most, max(lo + 1, int(np.searchsorted(ends, before + CHUNK, side="right"))))
                 part = batch.slice(lo, hi - lo)
                 made = _Batch(recipes, [s.encode() for s in part.column(1).to_pylist()])
                 yield pa.RecordBatch.from_arrays([*part.columns, *(made.figure(*f) for f in recipes.figures.values())], names=["id", "seq", "n", *recipes.figures])

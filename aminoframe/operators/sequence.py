@@ -40,9 +40,14 @@ class _Pseudo(Descriptor):
     def features(self, d: Dialect) -> list[tuple[str, str]]:
         c = Counts(d)
         key = d.key(*(sorted(s.items()) for s in self.properties.values()))
-        arrays = [d.values(f"z_{key}_{i}", zscores(s)) for i, s in enumerate(self.properties.values())]
+        z = [zscores(s) for s in self.properties.values()]
+        arrays = [] if d.vectors else [d.values(f"z_{key}_{i}", s) for i, s in enumerate(z)]
         theta = []
         for lag in range(1, self.lam + 1):
+            if d.vectors:
+                total = d.coupled(RESIDUES, lag, "square", *(tuple(s[a] for a in RESIDUES) for s in z))
+                theta.append(d.let(f"theta_{key}_{lag}", f"CASE WHEN n > {lag} THEN {total} / (n - {lag}) ELSE {d.number(0)} END"))
+                continue
             square = " + ".join(f"({d.get(a, 'i')} - {d.get(a, f'i + {lag}')}) * ({d.get(a, 'i')} - {d.get(a, f'i + {lag}')})" for a in arrays)
             theta.append(d.let(f"theta_{key}_{lag}", f"CASE WHEN n > {lag} THEN {d.total(d.over('0', f'n - {lag + 1}', f'({square}) / {d.number(len(arrays))}'))} / (n - {lag}) ELSE {d.number(0)} END"))
         w = d.number(self.w)
@@ -82,19 +87,40 @@ CHANGES = {
 class SequenceOrder(Descriptor):
     """How residues of a group follow each other."""
 
+    @staticmethod
+    def _by_text(d: Dialect, members: str) -> tuple[dict[int, str], str, str]:
+        """(coupling at lags 1 and 2, mean spacing, share of crowded triples): pair counts, and searches in the text."""
+        name = "".join(sorted(set(members)))
+        count = d.let(f"{name}_members", f"{Counts(d).count(name)}")
+        before, behind = (f"length(regexp_extract({text}, '^[^{name}]*', 0))" for text in ("seq", "reverse(seq)"))
+        span = d.let(f"{name}_extent", f"n - 1 - {before} - {behind}")
+        bits = f"translate(seq, '{RESIDUES}', '{''.join('1' if a in name else '0' for a in RESIDUES)}')"
+        crowded = d.let(f"{name}_crowded", f"regexp_count({bits}, '(?=11|1.1|.11)(?=...)')")
+        lag = {k: d.let(f"both{k}_{name}", d.where(f"n > {k}", f"{d.coupled(RESIDUES, k, 'inside', name)} / (n - {k})")) for k in (1, 2)}
+        return lag, d.where(f"{count} > 1", f"{span} / {d.number(1)} / ({count} - 1) / n"), d.where("n > 2", f"{crowded} / {d.number(1)} / (n - 2)")
+
+    @staticmethod
+    def _by_places(d: Dialect, members: str) -> tuple[dict[int, str], str, str]:
+        """The same from arrays of places."""
+        m, places = d.mask(members), d.places(members)
+        size = d.let(f"{places}_size", d.size(places))
+        lag = {k: d.let(f"both{k}_{m}", d.where(f"n > {k}", f"{d.total(d.over('0', f'greatest(n - {k + 1}, 0)', f'{d.get(m, "i")} * coalesce({d.get(m, f"i + {k}")}, 0)'))} / (n - {k})")) for k in (1, 2)}
+        spacing = d.where(f"{size} > 1", f"({d.get(places, f'greatest({size} - 1, 0)')} - {d.get(places, 0)}) / {d.number(1)} / ({size} - 1) / n")
+        three = " + ".join(d.get(m, f"i + {j}") for j in range(3))
+        cluster = d.where("n > 2", f"{d.total(d.over('0', 'greatest(n - 3, 0)', f'CASE WHEN {three} >= 2 THEN {d.number(1)} ELSE {d.number(0)} END'))} / (n - 2)")
+        return lag, spacing, cluster
+
     def features(self, d: Dialect) -> list[tuple[str, str]]:
         c, out = Counts(d), lengths()
         for g in TRACKED:
-            m, places = d.mask(GROUPS[g]), d.places(GROUPS[g])
-            size = d.let(f"{places}_size", d.size(places))
-            lag = {k: d.let(f"both{k}_{m}", d.where(f"n > {k}", f"{d.total(d.over('0', f'greatest(n - {k + 1}, 0)', f'{d.get(m, "i")} * coalesce({d.get(m, f"i + {k}")}, 0)'))} / (n - {k})")) for k in (1, 2)}
-            spacing = d.where(f"{size} > 1", f"({d.get(places, f'greatest({size} - 1, 0)')} - {d.get(places, 0)}) / {d.number(1)} / ({size} - 1) / n")
-            three = " + ".join(d.get(m, f"i + {j}") for j in range(3))
-            cluster = d.where("n > 2", f"{d.total(d.over('0', 'greatest(n - 3, 0)', f'CASE WHEN {three} >= 2 THEN {d.number(1)} ELSE {d.number(0)} END'))} / (n - 2)")
+            lag, spacing, cluster = (self._by_text if d.vectors else self._by_places)(d, GROUPS[g])
             share = c.fraction(GROUPS[g])
             enrichment = d.where(f"n > 1 AND {c.count(GROUPS[g])} > 0", f"{lag[1]} / ({share} * {share})")
             out += [(f"{g}_{k}", v) for k, v in (("same_adj_frac", lag[1]), ("mean_spacing_norm", spacing), ("cluster_frac_w3", cluster), ("lag1_coupling", lag[1]), ("lag2_coupling", lag[2]), ("adj_enrichment", enrichment))]
         for name, (a, b) in CHANGES.items():
+            if d.vectors:
+                out.append((name, d.where("n > 1", f"{d.coupled(RESIDUES, 1, 'across', GROUPS[a], GROUPS[b])} / (n - 1)")))
+                continue
             x, y = d.mask(GROUPS[a]), d.mask(GROUPS[b])
             hit = f"CASE WHEN {d.get(x, 'i')} * {d.get(y, 'i + 1')} + {d.get(y, 'i')} * {d.get(x, 'i + 1')} > 0 THEN {d.number(1)} ELSE {d.number(0)} END"
             out.append((name, d.where("n > 1", f"{d.total(d.over('0', 'greatest(n - 2, 0)', hit))} / (n - 1)")))
@@ -115,10 +141,36 @@ class Autocorrelation(Descriptor):
     def __init__(self, *, scales: Mapping[str, Mapping[str, float]] | None = None, lags: tuple[int, ...] = (1, 2, 3, 4, 5)) -> None:
         self.scales, self.lags = {k: dict(v) for k, v in (scales or SCALES).items()}, tuple(lags)
 
+    def _by_pairs(self, d: Dialect, name: str, scale: dict[str, float]) -> list[tuple[str, str]]:
+        """From residue counts, and from the pair counts at each lag."""
+        c, out = Counts(d), []
+        scale = {a: v for a, v in scale.items() if a in RESIDUES}
+        known = "".join(a for a in RESIDUES if a in scale)
+        values = tuple(float(scale.get(a, 0.0)) for a in RESIDUES)
+        tag = d.key(sorted(scale.items()))
+        size = d.let(f"auto_{tag}_size", c.count(known) if known else "0")
+        mean = d.let(f"auto_{tag}_mean", d.ratio(" + ".join(f"{c.of[a]} * {d.number(scale[a])}" for a in known) or d.number(0), size))
+        square = " + ".join(f"{c.of[a]} * ({d.number(scale[a])} - {mean}) * ({d.number(scale[a])} - {mean})" for a in known) or d.number(0)
+        variance = d.let(f"auto_{tag}_variance", d.ratio(square, size))
+        varied = d.let(f"auto_{tag}_varied", c.varied(scale) if known else "false")
+        for lag in self.lags:
+            if lag < 1:
+                out += [(f"{kind}_{name}_lag{lag}", d.nan) for kind in ("mb", "moran", "geary")]
+                continue
+            product, total, apart = d.coupled(known, lag, "product", values), d.coupled(known, lag, "sum", values), d.coupled(known, lag, "square", values)
+            some, both = f"{size} > {lag}", f"{size} > {lag} AND {varied}"
+            out.append((f"mb_{name}_lag{lag}", d.where(some, f"{product} / ({size} - {lag})")))
+            out.append((f"moran_{name}_lag{lag}", d.where(both, f"(({product} - {mean} * {total}) / ({size} - {lag}) + {mean} * {mean}) / {variance}")))
+            out.append((f"geary_{name}_lag{lag}", d.where(both, f"{apart} / ({size} - {lag}) / 2 / ({variance} * {size} / ({size} - 1))")))
+        return out
+
     def features(self, d: Dialect) -> list[tuple[str, str]]:
         out = lengths()
         for name, scale in self.scales.items():
             tag = d.key(sorted(scale.items()))
+            if d.vectors:
+                out += self._by_pairs(d, name, scale)
+                continue
             v = d.values(f"auto_{tag}", scale)
             if any(a not in scale for a in RESIDUES):
                 gaps = d.values(f"auto_{tag}_known", {a: 1.0 for a in scale})
@@ -132,9 +184,6 @@ class Autocorrelation(Descriptor):
                 if lag < 1:
                     out += [(f"{kind}_{name}_lag{lag}", d.nan) for kind in ("mb", "moran", "geary")]
                     continue
-                if d.vectors:
-                    out += [(f"{kind}_{name}_lag{lag}", d.figure(f"{v}_{kind}{lag}", "lagged", v, kind, lag)) for kind in ("mb", "moran", "geary")]
-                    continue
                 here, there = d.get(v, "i"), d.get(v, f"i + {lag}")
                 span = lambda body, lag=lag, size=size: f"{d.total(d.over('0', f'{size} - {lag + 1}', body))} / ({size} - {lag})"
                 out.append((f"mb_{name}_lag{lag}", d.where(f"{size} > {lag}", span(f"{here} * {there}"))))
