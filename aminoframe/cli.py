@@ -106,9 +106,9 @@ def _compute(args: argparse.Namespace) -> None:
         raise Usage(str(e)) from e
     except (PySparkException, Py4JJavaError) as e:
         raise SequenceError(f"{args.input}: {str(e)[:300]}") from e
-    record.took(args.input)
-    record.made(args.output, n_rows, len(result.columns) - 1)
-    record.keep()
+    record.took(spark, args.input)
+    record.made(spark, args.output, n_rows, len(result.columns) - 1)
+    record.keep(spark)
     print(f"{n_rows} records, {len(result.columns) - 1} features: {args.output}")
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dialect import DuckDb
 from ..operators import REGISTRY, Descriptor
+from ..sources.store import file_digests
 from ..streaming.stream import compute_stream_once
 from .engine import compute, long_features, long_kmers, make
 
@@ -68,7 +69,12 @@ def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(compute_stream_once(spark, f"{sf_dir}/documents.parquet", make(["grouped"])[0], "doc_id", "text"))
 
 
-QUERIES = {name: partial(_one, name) for name in sorted(REGISTRY)} | {"short_sequences": _short, "long_kmers_3": _kmers, "long_layout": _long, "merged": _merged, "stream_grouped": _stream}
+def _digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the files of all tables."""
+    return file_digests(spark, f"{sf_dir}/*.parquet").select(F.element_at(F.split("path", "/"), -1).alias("file"), "length", "sha256")
+
+
+QUERIES = {name: partial(_one, name) for name in sorted(REGISTRY)} | {"short_sequences": _short, "long_kmers_3": _kmers, "long_layout": _long, "merged": _merged, "stream_grouped": _stream, "content_digests": _digests}
 
 def _local_repetition_sql() -> str:
     """Relational: a row for each word, grouped; the array form is slow in DuckDB."""

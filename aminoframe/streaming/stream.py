@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import Descriptor
+from ..sources.store import shared_folder
 
 
 def compute_stream(stream: DataFrame, descriptors, id_col: str = "id", seq_col: str = "sequence") -> DataFrame:
@@ -22,7 +20,7 @@ def compute_stream_once(spark: SparkSession, path: str, descriptor: Descriptor,
 
     ``folder`` takes the output and the stream's progress; a later call with the same folder adds only new files.
     """
-    base = folder or f"{spark.conf.get('spark.checkpoint.dir', None) or 'file://' + tempfile.mkdtemp(prefix='spark-')}/stream-{uuid.uuid4().hex}"
+    base = folder or shared_folder(spark, "stream")
     schema = spark.read.parquet(path).schema
     glob = f"{path[:-1]}[{path[-1]}]"  # a stream's plain path must be a folder; a pattern may match a file
     out = compute_stream(spark.readStream.schema(schema).parquet(glob), descriptor, id_col, seq_col)

@@ -203,13 +203,51 @@ def test_errors_name_their_parameter():
         assert [i.path for i in check_config({"descriptors": {name: given}})] == [f"descriptors.{name}.{next(iter(given))}"]
 
 
-def test_a_folders_digest_is_that_of_its_files(tmp_path):
+@pytest.mark.parametrize("whole_bytes", [1 << 20, 3])
+def test_a_folders_digest_is_that_of_its_files(spark, tmp_path, whole_bytes):
+    """Files of over ``whole_bytes`` are read in pieces; the result is the same."""
     import hashlib
 
-    from aminoframe.provenance import content_digest
+    from aminoframe.sources.store import content_digest, file_digests
 
-    (tmp_path / "x/b").mkdir(parents=True)
-    for name in ("b.txt", "b/a.txt", "a.txt"):
+    (tmp_path / "x/b/c d").mkdir(parents=True)
+    names = ("b.txt", "b/a.txt", "a.txt", "b/c d/e=1.txt", "b-a.txt")
+    for name in names:
         (tmp_path / "x" / name).write_text(name)
-    lines = "".join(f"{n}\t{hashlib.sha256(n.encode()).hexdigest()}\n" for n in ("a.txt", "b/a.txt", "b.txt"))
-    assert content_digest(str(tmp_path / "x")) == hashlib.sha256(lines.encode()).hexdigest() == content_digest((tmp_path / "x").as_uri())
+    (tmp_path / "x/_SUCCESS").touch()
+    (tmp_path / "x/b/.hidden").write_text("sum")
+    (tmp_path / "x/b/.a.txt.crc").write_text("not content")
+    (tmp_path / "x/empty.txt").touch()
+    sha = lambda b: hashlib.sha256(b).hexdigest()
+    want = "".join(f"{p.relative_to(tmp_path / 'x').as_posix()}\t{sha(p.read_bytes())}\n" for p in sorted((tmp_path / "x").rglob("*")) if p.is_file() and p.suffix != ".crc")
+    assert content_digest(spark, str(tmp_path / "x"), whole_bytes) == sha(want.encode()) == content_digest(spark, (tmp_path / "x").as_uri() + "/", whole_bytes)
+    assert content_digest(spark, str(tmp_path / "x/b.txt"), whole_bytes) == sha(b"b.txt")
+    assert content_digest(spark, str(tmp_path / "x/*.txt"), whole_bytes) == sha("".join(f"{n}\t{sha(n.encode() if n != 'empty.txt' else b'')}\n" for n in ("a.txt", "b-a.txt", "b.txt", "empty.txt")).encode())
+    found = {r.path.rsplit("/", 1)[1]: (r.length, r.sha256) for r in file_digests(spark, str(tmp_path / "x"), whole_bytes).collect()}
+    assert found["empty.txt"] == (0, sha(b"")) and len(found) == 7
+    with pytest.raises(InputError):
+        content_digest(spark, str(tmp_path / "none"))
+
+
+def test_digests_of_the_tables(spark):
+    import hashlib
+    from pathlib import Path
+
+    from aminoframe.plans.registered import QUERIES
+
+    want = {p.name: (p.stat().st_size, hashlib.sha256(p.read_bytes()).hexdigest()) for p in Path("/root/testdata/sf0.001").glob("*.parquet")}
+    assert {r.file: (r.length, r.sha256) for r in QUERIES["content_digests"](spark, "/root/testdata/sf0.001").collect()} == want
+
+
+def test_names_of_stores():
+    import pyarrow.fs
+
+    from aminoframe.sources import store
+
+    assert store.arrow_store("file:/a/b") == (pyarrow.fs.LocalFileSystem(), "/a/b") == store.arrow_store("file:///a/b") == store.arrow_store("/a/b")
+    asked = []
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(store.pyarrow.fs, "FileSystem", type("Any", (), {"from_uri": staticmethod(lambda uri: asked.append(uri) or (None, uri))}))
+        for scheme in ("s3a", "s3n", "s3", "gs"):
+            store.arrow_store(f"{scheme}://bucket/key")
+    assert asked == ["s3://bucket/key"] * 3 + ["gs://bucket/key"]
