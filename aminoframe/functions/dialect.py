@@ -48,6 +48,12 @@ class Dialect:
         self.recipes.arrays[self.let(name, sql)] = recipe
         return name
 
+    def array(self, name: str, *recipe: object) -> str:
+        """Names an array of the vector stage; its statistics are figures."""
+        if self.recipes.arrays.setdefault(name, recipe) != recipe:
+            raise ValueError(f"{name!r} is another array already")
+        return name
+
     def figure(self, name: str, *what: object) -> str:
         """A column of the vector stage."""
         if self.recipes.figures.setdefault(name, what) != what:

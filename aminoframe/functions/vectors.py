@@ -78,7 +78,8 @@ class _Batch:
         self.recipes, self.rows = recipes, len(seqs)
         self.n = np.fromiter(map(len, seqs), np.int64, len(seqs))
         self.codes = np.frombuffer(b"".join(seqs), dtype=np.uint8)
-        self.array, self.moments, self.words, self.grouped, self.couplings = map(cache, (self._array, self._moments, self._words, self._grouped, self._couplings))
+        self.owner = _owner(self.n)
+        self.array, self.moments, self.words, self.grouped, self.couplings, self.members = map(cache, (self._array, self._moments, self._words, self._grouped, self._couplings, self._members))
 
     def _array(self, name: str) -> Array:
         what, *args = self.recipes.arrays[name]
@@ -108,7 +109,32 @@ class _Batch:
     def _known(self, name: str, letters: str) -> Array:
         v, _ = self.array(name)
         keep = np.isin(self.codes, [ord(a) for a in letters])
-        return v[keep], np.bincount(_owner(self.n)[keep], minlength=self.rows)
+        return v[keep], np.bincount(self.owner[keep], minlength=self.rows)
+
+    def _members(self, letters: str) -> np.ndarray:
+        """Where residues of a group stand in the batch."""
+        return np.flatnonzero(np.isin(np.arange(256), [ord(a) for a in letters])[self.codes])
+
+    def _places(self, letters: str) -> Array:
+        """Places of a group's residues, from 1."""
+        at = self.members(letters)
+        begin = np.cumsum(self.n) - self.n
+        return (at - begin[self.owner[at]] + 1).astype(np.float64), np.bincount(self.owner[at], minlength=self.rows)
+
+    def _gaps(self, name: str) -> Array:
+        """Distances of neighbouring places."""
+        v, sizes = self.array(name)
+        at, out = _windows(sizes, 2)
+        return v[at + 1] - v[at], out
+
+    def _near(self, name: str) -> Array:
+        """For each place the distance of the nearest other one; none for a single place."""
+        v, sizes = self.array(name)
+        at, _ = _windows(sizes, 2)
+        gap, out = v[at + 1] - v[at], np.full(len(v), np.inf)
+        out[at] = gap
+        out[at + 1] = np.minimum(out[at + 1], gap)
+        return out[np.isfinite(out)], np.where(sizes > 1, sizes, 0)
 
     def _absdiff(self, a: str, b: str) -> Array:
         return np.abs(self.array(a)[0] - self.array(b)[0]), self.array(a)[1]
@@ -163,6 +189,19 @@ class _Batch:
         m = self.moments(name)
         return m[which] if which in m else {"min": m["low"], "max": m["high"], "amplitude": m["high"] - m["low"], "start_end_diff": m["last"] - m["first"]}[which]
 
+    def nearest(self, a: str, b: str) -> np.ndarray:
+        """Mean distance of the residues of ``a`` to the nearest of ``b``: both in order, each of ``a`` between two of ``b``."""
+        here, there = self.members(a), self.members(b)
+        if not len(there):
+            return np.full(self.rows, np.nan)
+        own, right = self.owner[here], np.searchsorted(there, here)
+        distance = np.full(len(here), np.inf)
+        for at in (np.maximum(right - 1, 0), np.minimum(right, len(there) - 1)):
+            near = np.where(self.owner[there[at]] == own, np.abs(there[at] - here), np.inf)
+            np.minimum(distance, near, out=distance)
+        mean = np.bincount(own, weights=distance, minlength=self.rows) / np.bincount(own, minlength=self.rows)
+        return np.where(np.isfinite(mean), mean, np.nan)
+
     def median(self, name: str) -> np.ndarray:
         v, sizes = self.array(name)
         ordered = v[np.lexsort((v, _owner(sizes)))]
@@ -184,7 +223,7 @@ class _Batch:
         number, sizes = _NUMBER[self.codes], self.n
         if len(letters) < len(RESIDUES):
             keep = np.isin(self.codes, [ord(a) for a in letters])
-            number, sizes = number[keep], np.bincount(_owner(self.n)[keep], minlength=self.rows)
+            number, sizes = number[keep], np.bincount(self.owner[keep], minlength=self.rows)
         at, out = _windows(sizes, lag + 1)
         wide = len(RESIDUES) ** 2
         counts = np.bincount(_owner(out) * wide + number[at] * len(RESIDUES) + number[at + lag], minlength=self.rows * wide).reshape(self.rows, wide)

@@ -148,45 +148,24 @@ class UserRegex(Descriptor):
         return out
 
 
-def nearest_mean(d: Dialect, a: str, b: str) -> str:
-    """Mean distance of the residues of ``a`` to the nearest of ``b``.
-
-    The residues of ``b`` cut the sequence into pieces; inside a piece the nearest is at one of its two ends.
-    """
-    c = Counts(d)
-    members = "".join(sorted(set(b)))
-    parts = d.let(f"cut_{members}", d.parts("seq", f"[{members}]"))
-    last = d.let(f"cut_{members}_last", f"{d.size(parts)} - 1")
-    table = d.literal([1.0 if chr(65 + i) in a else 0.0 for i in range(26)])
-    if type(d) is Dialect:
-        inner = f"transform(split(p, ''), (x, i) -> CASE WHEN x <> '' THEN get({table}, ascii(x) - 65) * least(CASE WHEN k > 0 THEN i + 1 ELSE n + 1 END, CASE WHEN k < {last} THEN length(p) - i ELSE n + 1 END) ELSE 0D END)"
-        total = f"aggregate(transform({parts}, (p, k) -> aggregate({inner}, 0D, (s, y) -> s + y)), 0D, (s, y) -> s + y)"
-    else:
-        inner = f"list_transform(range(1, len(p) + 1), lambda i: {table}[ascii(p[i]) - 64] * least(CASE WHEN k > 1 THEN i ELSE n + 1 END, CASE WHEN k <= {last} THEN len(p) - i + 1 ELSE n + 1 END))"
-        total = f"list_sum(list_transform({parts}, lambda p, k: coalesce(list_sum({inner}), 0)))"
-    return d.where(f"{c.count(a)} > 0 AND {c.count(b)} > 0", f"{total} / {c.count(a)}")
-
-
 @register("spacing", family="motif")
 class Spacing(Descriptor):
-    """Distances between neighbouring residues of a group, and between two groups."""
+    """Distances between neighbouring residues of a group, and to the nearest residue of another group."""
 
     def features(self, d: Dialect) -> list[tuple[str, str]]:
-        out = lengths()
+        c, out = Counts(d), lengths()
         for g, members in TRACKED.items():
-            places = d.places(members)
-            count = d.let(f"{places}_size", d.size(places))
-            gaps = d.let(f"{places}_gaps", f"CASE WHEN {count} > 1 THEN {d.over('0', f'{count} - 2', f'{d.number(1)} * ({d.get(places, "i + 1")} - {d.get(places, "i")})')} ELSE {d.empty('double')} END")
-            size = d.let(f"{gaps}_size", d.size(gaps))
-            near = d.let(f"{places}_near", f"CASE WHEN {count} > 1 THEN {d.over('0', f'{count} - 1', f'least({d.get(gaps, "greatest(i - 1, 0)")}, {d.get(gaps, f"least(i, {size} - 1)")})')} ELSE {d.empty('double')} END")
+            name = "".join(sorted(set(members)))
+            places = d.array(f"places_{name}", "places", name)
+            gaps, near = d.array(f"gaps_{name}", "gaps", places), d.array(f"near_{name}", "near", places)
             s, t = dict(d.stats(gaps, ("mean", "std", "min", "max"))), dict(d.stats(near, ("mean", "min", "max")))
-            median = d.let(f"{gaps}_median", d.median(gaps))
-            span = d.where(f"{count} > 1", f"{d.get(places, f'greatest({count} - 1, 0)')} - {d.get(places, 0)}")
+            count, median = c.count(name), d.median(gaps)
+            span = d.where(f"{count} > 1", dict(d.stats(places, ("amplitude",)))["amplitude"])
             out += [(f"{g}_count", count), (f"{g}_density", d.ratio(count, "n")), (f"{g}_span", span), (f"{g}_span_norm", d.where("n > 0", f"({span}) / n"))]
             out += [(f"{g}_mean", s["mean"]), (f"{g}_median", median), (f"{g}_min", s["min"]), (f"{g}_max", s["max"]), (f"{g}_std", s["std"])]
             out += [(f"{g}_{k}_norm", d.where("n > 0", f"{v} / n")) for k, v in (("mean", s["mean"]), ("median", median), ("max", s["max"]))]
             out += [(f"{g}_nn_mean", t["mean"]), (f"{g}_nn_median", d.median(near)), (f"{g}_nn_min", t["min"]), (f"{g}_nn_max", t["max"])]
-        return out + [(name, nearest_mean(d, GROUPS[a], GROUPS[b])) for name, (a, b) in CROSS.items()]
+        return out + [(name, d.figure(name, "nearest", GROUPS[a], GROUPS[b])) for name, (a, b) in CROSS.items()]
 
 
 @register("functional_residue_content", family="motif")

@@ -7,8 +7,9 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import alphabet
 from ..functions.dialect import DuckDb
-from ..operators import REGISTRY, Descriptor
+from ..operators import REGISTRY, Descriptor, ctd, motif
 from ..sources.store import file_digests
 from ..streaming.stream import compute_stream_once
 from .engine import compute, long_features, long_kmers, make
@@ -122,9 +123,47 @@ def _local_repetition_sql() -> str:
         FROM s LEFT JOIN rows ON s.id = rows.id GROUP BY s.id"""
 
 
+def _spacing_sql() -> str:
+    """Relational: a row for each residue and group, and window functions over the rows of a sequence."""
+    nan = "'NaN'::DOUBLE"
+    of = lambda g, sql: f"coalesce(max(CASE WHEN g = '{g}' THEN {sql} END), {nan})"
+    out = []
+    for g in ctd.TRACKED:
+        out += [(f"{g}_count", f"coalesce(max(CASE WHEN g = '{g}' THEN c END), 0)"), (f"{g}_density", f"CASE WHEN max(n) > 0 THEN coalesce(max(CASE WHEN g = '{g}' THEN c END), 0) / max(n) ELSE {nan} END")]
+        out += [(f"{g}_span", of(g, "span")), (f"{g}_span_norm", of(g, "span / n"))]
+        out += [(f"{g}_{k}", of(g, f"{k}_gap")) for k in ("mean", "median", "min", "max", "std")]
+        out += [(f"{g}_{k}_norm", of(g, f"{k}_gap / n")) for k in ("mean", "median", "max")]
+        out += [(f"{g}_nn_{k}", of(g, f"{k}_near")) for k in ("mean", "median", "min", "max")]
+    out += [(name, of(name, "mean_gap")) for name in motif.CROSS]
+    groups = ", ".join(f"('{g}', '{members}')" for g, members in ctd.TRACKED.items())
+    pairs = ", ".join(f"('{name}', '{alphabet.GROUPS[a]}', '{alphabet.GROUPS[b]}')" for name, (a, b) in motif.CROSS.items())
+    return f"""
+        WITH s AS (SELECT id, seq, length(seq)::DOUBLE AS n FROM (SELECT doc_id::VARCHAR AS id, {_SEQ.format(text="text")} AS seq FROM documents)),
+        r AS (SELECT id, i, seq[i] AS residue FROM (SELECT id, seq, unnest(range(1, length(seq) + 1)) AS i FROM s)),
+        p AS (
+            SELECT id, g, i, i - lag(i) OVER w AS gap, least(i - lag(i) OVER w, lead(i) OVER w - i) AS near
+            FROM r JOIN (VALUES {groups}) AS groups(g, members) ON contains(members, residue) WINDOW w AS (PARTITION BY id, g ORDER BY i)
+        ),
+        x AS (
+            SELECT id, name, i, contains(a, residue) AS asks,
+                i - last_value(CASE WHEN contains(b, residue) THEN i END IGNORE NULLS) OVER (PARTITION BY id, name ORDER BY i) AS back,
+                first_value(CASE WHEN contains(b, residue) THEN i END IGNORE NULLS) OVER (PARTITION BY id, name ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) - i AS ahead
+            FROM r JOIN (VALUES {pairs}) AS pairs(name, a, b) ON contains(a, residue) OR contains(b, residue)
+        ),
+        f AS (
+            SELECT id, g, count(*)::DOUBLE AS c, CASE WHEN count(*) > 1 THEN max(i) - min(i) END AS span, avg(gap) AS mean_gap, median(gap) AS median_gap, min(gap) AS min_gap, max(gap) AS max_gap, stddev_pop(gap) AS std_gap,
+                avg(near) AS mean_near, median(near) AS median_near, min(near) AS min_near, max(near) AS max_near
+            FROM p GROUP BY id, g
+            UNION ALL BY NAME SELECT id, name AS g, avg(least(back, ahead)) AS mean_gap FROM x WHERE asks GROUP BY id, name
+        )
+        SELECT id, max(n) AS spacing_length, max(n) AS spacing_valid_residue_count, {", ".join(f'{_duckdb_rounded(sql)} AS "spacing_{name}"' for name, sql in out)}
+        FROM s LEFT JOIN f USING (id) GROUP BY id"""
+
+
 _AAC, _GROUPED = duckdb_sql(make(["aac"])[0]), duckdb_sql(make(["grouped"])[0])
-ORACLE_SQL = {name: duckdb_sql(make([name])[0]) for name in sorted(REGISTRY)} | {
+ORACLE_SQL = {name: duckdb_sql(make([name])[0]) for name in sorted(REGISTRY) if name != "spacing"} | {
     "local_repetition": _local_repetition_sql(),
+    "spacing": _spacing_sql(),
     "short_sequences": duckdb_sql(make(["sliding_window"])[0], "part", "p_partkey", "p_type"),
     "long_kmers_3": f"""
         SELECT id, kmer, count(*)::DOUBLE AS n
