@@ -95,6 +95,8 @@ class Words:
 
 
 def linguistic(d: Dialect, k: int) -> str:
+    if d.vectors:
+        return d.where(f"n >= {k}", f"{d.figure(f'words{k}_kinds_', 'word_figure', k, 'kinds')} / least(n - {k - 1}, {20**k})")
     w = d.let(f"words{k}", (d.codes(), d.words(k))[1])
     return d.where(f"n >= {k}", f"{d.distinct(w)} / {d.number(1)} / least(n - {k - 1}, {20**k})")
 
@@ -112,12 +114,20 @@ def homopolymers(d: Dialect) -> str:
     return run_lengths(d, d.codes(), "n")
 
 
+def how_many(d: Dialect, lengths_: str) -> str:
+    return d.let(f"{lengths_}_count", d.size(lengths_))
+
+
+def longest(d: Dialect, lengths_: str) -> str:
+    return d.let(f"{lengths_}_longest", f"coalesce({d.high(lengths_)}, 0)")
+
+
 def longest_homopolymer(d: Dialect) -> str:
-    return f"coalesce({d.high(homopolymers(d))}, 0)"
+    return longest(d, homopolymers(d))
 
 
 def in_runs(d: Dialect, lengths_: str, least: int) -> str:
-    return d.ratio(d.total(d.map(d.filter(lengths_, f"x >= {least}"), d.number(1) + " * x")), "n")
+    return d.ratio(d.let(f"{lengths_}_in{least}", d.total(d.map(d.filter(lengths_, f"x >= {least}"), d.number(1) + " * x"))), "n")
 
 
 @register("entropy_complexity", family="complexity", low_complexity_window=WHOLE, entropy_threshold=NUMBER)
@@ -181,7 +191,7 @@ def group_runs(d: Dialect, group: str) -> str:
 
 
 def longest_run(d: Dialect, group: str) -> str:
-    return f"coalesce({d.high(group_runs(d, group))}, 0)"
+    return longest(d, group_runs(d, group))
 
 
 @register("run_blockiness", family="complexity")
@@ -190,11 +200,11 @@ class RunBlockiness(Descriptor):
 
     def features(self, d: Dialect) -> list[tuple[str, str]]:
         c, runs = Counts(d), homopolymers(d)
-        out = [*lengths(), ("longest_homopolymer", longest_homopolymer(d)), ("homopolymer_run_density", d.ratio(d.size(runs), "n"))]
+        out = [*lengths(), ("longest_homopolymer", longest_homopolymer(d)), ("homopolymer_run_density", d.ratio(how_many(d, runs), "n"))]
         out += [(f"repeated_block_fraction_len{k}", in_runs(d, runs, k)) for k in (2, 3)]
         for g in TRACKED:
             own, members = group_runs(d, GROUPS[g]), "".join(sorted(set(GROUPS[g])))
-            count = d.let(f"{own}_count", d.size(own))
+            count = how_many(d, own)
             ends = " - ".join(f"CASE WHEN instr('{members}', {side}(seq, 1)) > 0 THEN 1 ELSE 0 END" for side in ("left", "right"))
             switches = f"2 * {count} - {ends}"
             out += [(f"{g}_longest", longest_run(d, GROUPS[g])), (f"{g}_n_runs", count), (f"{g}_mean_run_length", d.ratio(c.count(members), count)), (f"{g}_longest_norm", d.ratio(longest_run(d, GROUPS[g]), "n")), (f"{g}_run_density", d.ratio(count, "n"))]

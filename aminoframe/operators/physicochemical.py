@@ -120,15 +120,20 @@ class OrderDisorder(Descriptor):
             out.append((f"{name}_fraction", c.fraction(members)))
         out += [("longest_disorder_run", some(longest_run(d, dis))), ("longest_order_run", some(longest_run(d, order)))]
         x, y = d.mask(order), d.mask(dis)
-        change = f"{d.get(x, 'i')} * {d.get(y, 'i + 1')} + {d.get(y, 'i')} * {d.get(x, 'i + 1')}"
-        out.append(("order_disorder_transition_fraction", d.where("n > 1", f"{d.total(d.over('0', 'greatest(n - 2, 0)', change))} / (n - 1)")))
+        if d.vectors:
+            changes = d.coupled(RESIDUES, 1, "across", order, dis)
+        else:
+            change = f"{d.get(x, 'i')} * {d.get(y, 'i + 1')} + {d.get(y, 'i')} * {d.get(x, 'i + 1')}"
+            changes = d.total(d.over("0", "greatest(n - 2, 0)", change))
+        out.append(("order_disorder_transition_fraction", d.where("n > 1", f"{changes} / (n - 1)")))
         ends = {side: segment(d, side, self.terminal_window) for side in "nc"}
         share = {(side, g): s.fraction(GROUPS[f"{g}_promoting"]) for g in ("disorder", "order") for side, s in ends.items()}
         out += [(f"{side}term_{g}_fraction", x) for (side, g), x in share.items()]
         out += [(f"terminal_{g}_asymmetry", f"{share['n', g]} - {share['c', g]}") for g in ("disorder", "order")]
         for w in self.window_sizes:
-            profiles = {g: d.let(f"hits{w}_{g}", f"CASE WHEN n >= {w} THEN {d.over('0', f'n - {w}', '(' + ' + '.join(d.get(m, f'i + {j}') for j in range(w)) + f') / {w}')} ELSE {d.empty('double')} END") for g, m in (("disorder", y), ("order", x))}
-            out += [(f"w{w}_{g}_patch_fraction", d.share(p, f"x > {d.number(0.5)}")) for g, p in profiles.items()]
+            profiles = {"disorder": d.rolling(y, w), "order": d.rolling(x, w)}
+            more_than_half = d.number((w // 2 + 0.5) / w)
+            out += [(f"w{w}_{g}_patch_fraction", d.share(p, f"x > {more_than_half}")) for g, p in profiles.items()]
             out += [(f"w{w}_{g}_mean", dict(d.stats(p, ("mean",)))["mean"]) for g, p in profiles.items()]
         return out
 

@@ -88,16 +88,14 @@ class SequenceOrder(Descriptor):
     """How residues of a group follow each other."""
 
     @staticmethod
-    def _by_text(d: Dialect, members: str) -> tuple[dict[int, str], str, str]:
-        """(coupling at lags 1 and 2, mean spacing, share of crowded triples): pair counts, and searches in the text."""
+    def _by_pairs(d: Dialect, members: str) -> tuple[dict[int, str], str, str]:
+        """(coupling at lags 1 and 2, mean spacing, share of crowded triples) from pair counts, places and a profile."""
         name = "".join(sorted(set(members)))
-        count = d.let(f"{name}_members", f"{Counts(d).count(name)}")
-        before, behind = (f"length(regexp_extract({text}, '^[^{name}]*', 0))" for text in ("seq", "reverse(seq)"))
-        span = d.let(f"{name}_extent", f"n - 1 - {before} - {behind}")
-        bits = f"translate(seq, '{RESIDUES}', '{''.join('1' if a in name else '0' for a in RESIDUES)}')"
-        crowded = d.let(f"{name}_crowded", f"regexp_count({bits}, '(?=11|1.1|.11)(?=...)')")
+        count = Counts(d).count(name)
+        extent = dict(d.stats(d.array(f"places_{name}", "places", name), ("amplitude",)))["amplitude"]
+        crowded = d.share(d.rolling(d.mask(name), 3), f"x > {d.number(0.5)}")
         lag = {k: d.let(f"both{k}_{name}", d.where(f"n > {k}", f"{d.coupled(RESIDUES, k, 'inside', name)} / (n - {k})")) for k in (1, 2)}
-        return lag, d.where(f"{count} > 1", f"{span} / {d.number(1)} / ({count} - 1) / n"), d.where("n > 2", f"{crowded} / {d.number(1)} / (n - 2)")
+        return lag, d.where(f"{count} > 1", f"{extent} / ({count} - 1) / n"), crowded
 
     @staticmethod
     def _by_places(d: Dialect, members: str) -> tuple[dict[int, str], str, str]:
@@ -113,7 +111,7 @@ class SequenceOrder(Descriptor):
     def features(self, d: Dialect) -> list[tuple[str, str]]:
         c, out = Counts(d), lengths()
         for g in TRACKED:
-            lag, spacing, cluster = (self._by_text if d.vectors else self._by_places)(d, GROUPS[g])
+            lag, spacing, cluster = (self._by_pairs if d.vectors else self._by_places)(d, GROUPS[g])
             share = c.fraction(GROUPS[g])
             enrichment = d.where(f"n > 1 AND {c.count(GROUPS[g])} > 0", f"{lag[1]} / ({share} * {share})")
             out += [(f"{g}_{k}", v) for k, v in (("same_adj_frac", lag[1]), ("mean_spacing_norm", spacing), ("cluster_frac_w3", cluster), ("lag1_coupling", lag[1]), ("lag2_coupling", lag[2]), ("adj_enrichment", enrichment))]
@@ -231,8 +229,8 @@ class FamilySummary(Descriptor):
         f = {g: c.fraction(m) for g, m in GROUPS.items()}
         mean = lambda *x: "(" + " + ".join(x) + f") / {d.number(len(x))}"
         pos, neg = d.mask(GROUPS["positive"]), d.mask(GROUPS["negative"])
-        share = lambda m: "(" + " + ".join(d.get(m, f"i + {j}") for j in range(5)) + ") / 5"
-        local = d.let("local_balance5", f"CASE WHEN n >= 5 THEN {d.over('0', 'n - 5', f'{share(pos)} - {share(neg)}')} ELSE {d.empty('double')} END")
+        here, there = d.rolling(pos, 5), d.rolling(neg, 5)
+        local = d.profile("local_balance5", d.mapi(here, f"x - {d.get(there, 'i')}"), "difference", here, there)
         s = dict(d.stats(local, ("mean", "amplitude")))
         hydropathy, polarity = c.mean("hydropathy", HYDROPATHY), c.mean("polarity", POLARITY)
         helix, sheet, turn = c.mean("helix", HELIX), c.mean("sheet", SHEET), c.mean("turn", TURN)
