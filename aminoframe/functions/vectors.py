@@ -291,7 +291,8 @@ class _Batch:
     def figure(self, what: str, *args) -> pa.Array:
         with np.errstate(divide="ignore", invalid="ignore"):
             found = getattr(self, what)(*args)
-        return found if isinstance(found, pa.Array) else pa.array(found, from_pandas=False)
+        #: Sums over nothing at all are integers in numpy.
+        return found if isinstance(found, pa.Array) else pa.array(np.asarray(found, dtype=np.float64), from_pandas=False)
 
 
 def stage(recipes: Recipes) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:

@@ -38,6 +38,12 @@ def _features(d: Dialect, descriptors: Sequence[Descriptor], merged: bool) -> li
     return out
 
 
+def features_of(d: Dialect, descriptors: Descriptor | Iterable[Descriptor]) -> list[tuple[str, str]]:
+    """(output column, expression) of one descriptor, or of several together."""
+    one = isinstance(descriptors, Descriptor)
+    return _features(d, [descriptors] if one else list(descriptors), merged=not one)
+
+
 def _closure(d: Dialect, sqls: Iterable[str]) -> set[str]:
     """The intermediates and figures that the expressions need."""
     found: set[str] = set()
@@ -56,11 +62,9 @@ def compute(df: DataFrame, descriptors: Descriptor | Iterable[Descriptor], id_co
     keeps the named output columns only: nothing else is computed.  A null or empty sequence has 0 counts and NaN
     otherwise.  Row-local throughout: no shuffle, and the same plan runs on a stream.
     """
-    one = isinstance(descriptors, Descriptor)
-    chosen = [descriptors] if one else list(descriptors)
     d = Dialect()
     wanted = None if features is None else set(features)
-    listed = [(name, sql) for name, sql in _features(d, chosen, merged=not one) if wanted is None or name in wanted]
+    listed = [(name, sql) for name, sql in features_of(d, descriptors) if wanted is None or name in wanted]
     if wanted and (missing := wanted - {name for name, _ in listed}):
         raise ValueError(f"no such features: {sorted(missing)[:5]}")
     rows = prepared(df.withColumn("__no_id", F.lit(None)) if id_col is None else df, id_col or "__no_id", seq_col)

@@ -12,6 +12,7 @@ from ..functions.dialect import DuckDb
 from ..operators import REGISTRY, Descriptor, ctd, motif
 from ..sources.store import file_digests
 from ..streaming.stream import compute_stream_once
+from .blocks import compute_long
 from .engine import compute, long_features, long_kmers, make
 
 #: A driver table counts as sequences: its text, cleaned.
@@ -70,12 +71,28 @@ def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(compute_stream_once(spark, f"{sf_dir}/documents.parquet", make(["grouped"])[0], "doc_id", "text"))
 
 
+#: Figures of windows, runs, ends, words and pairs, of blocks far shorter than most documents.
+LONG = {
+    "sliding_window": ["win5_hydropathy_mean", "win5_hydropathy_std", "win5_hydropathy_min", "win5_hydropathy_max", "win5_hydropathy_start_end_diff", "win5_hydropathy_high_fraction", "win9_aromatic_frac_max"],
+    "run_blockiness": ["longest_homopolymer", "homopolymer_run_density", "repeated_block_fraction_len3", "charged_longest", "charged_n_runs", "charged_fraction_in_runs_len2", "charged_switching_freq"],
+    "local_repetition": ["unique_fraction_k3", "top_count_k2", "repeated_span_k3", "recurrence_entropy_k2"],
+    "sequence_order": ["aromatic_lag2_coupling", "aromatic_mean_spacing_norm", "polar_nonpolar_transition_frac"],
+    "autocorrelation": ["mb_hydrophobicity_lag3", "moran_hydrophobicity_lag3"],
+    "terminal": ["cterm20_hydropathy_mean", "nterm20_freq_A"],
+}
+
+
+def _long_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    named = [f"{d}_{f}" for d, features in LONG.items() for f in features]
+    return _rounded(compute_long(_documents(spark, sf_dir), make(LONG), "doc_id", "text", named, block=300))
+
+
 def _digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of the files of all tables."""
     return file_digests(spark, f"{sf_dir}/*.parquet").select(F.element_at(F.split("path", "/"), -1).alias("file"), "length", "sha256")
 
 
-QUERIES = {name: partial(_one, name) for name in sorted(REGISTRY)} | {"short_sequences": _short, "long_kmers_3": _kmers, "long_layout": _long, "merged": _merged, "stream_grouped": _stream, "content_digests": _digests}
+QUERIES = {name: partial(_one, name) for name in sorted(REGISTRY)} | {"short_sequences": _short, "long_kmers_3": _kmers, "long_layout": _long, "merged": _merged, "stream_grouped": _stream, "content_digests": _digests, "long_sequences": _long_sequences}
 
 def _local_repetition_sql() -> str:
     """Relational: a row for each word, grouped; the array form is slow in DuckDB."""
@@ -160,10 +177,54 @@ def _spacing_sql() -> str:
         FROM s LEFT JOIN f USING (id) GROUP BY id"""
 
 
+def _long_sequences_sql() -> str:
+    """Relational, over rows for residues and words."""
+    nan, group = "'NaN'::DOUBLE", alphabet.GROUPS
+    out = {
+        "sliding_window": ["w.mean", "w.std", "w.low", "w.high", "w.last - w.first", "w.hits", "w.aromatic"],
+        "run_blockiness": ["coalesce(h.longest, 0)", "h.runs / n", "coalesce(h.in3 / n, CASE WHEN n > 0 THEN 0 END)", "coalesce(c.longest, 0)", "coalesce(c.runs, 0)", "CASE WHEN n > 0 THEN coalesce(c.in2, 0) / n END", "CASE WHEN n > 1 THEN p.switches / (n - 1) END"],
+        "local_repetition": ["k3.kinds / k3.m", "k2.top", "k3.span", "CASE WHEN k2.rep > 0 THEN log2(k2.rep) - k2.logs / k2.rep WHEN k2.m > 0 THEN 0 END"],
+        "sequence_order": ["CASE WHEN n > 2 THEN p.coupled / (n - 2) END", "CASE WHEN p.members > 1 THEN p.extent / (p.members - 1) / n END", "CASE WHEN n > 1 THEN p.changes / (n - 1) END"],
+        "autocorrelation": ["CASE WHEN n > 3 THEN p.product / (n - 3) END", "CASE WHEN n > 3 AND q.low < q.high THEN q.product / (n - 3) / q.variance END"],
+        "terminal": ["t.hydropathy", "t.a"],
+    }
+    columns = ", ".join(f'{_duckdb_rounded(f"coalesce({sql}, {nan})")} AS "{d}_{name}"' for d, names in LONG.items() for name, sql in zip(names, out[d], strict=True))
+    kd = ", ".join(f"('{a}', {v}::DOUBLE)" for a, v in alphabet.HYDROPATHY.items())
+    runs = lambda label: f"SELECT id, count(*) AS size FROM (SELECT id, {label} AS label, i - row_number() OVER (PARTITION BY id, {label} ORDER BY i) AS island FROM r) WHERE label IS NOT NULL GROUP BY id, label, island"
+    run_figures = "max(size) AS longest, count(*)::DOUBLE AS runs, coalesce(sum(size) FILTER (size > 1), 0)::DOUBLE AS in2, coalesce(sum(size) FILTER (size > 2), 0)::DOUBLE AS in3"
+    has = lambda g, x: f"contains('{group[g]}', {x})"
+    return f"""
+        WITH s AS (SELECT id, seq, length(seq)::DOUBLE AS n FROM (SELECT doc_id::VARCHAR AS id, {_SEQ.format(text="text")} AS seq FROM documents)),
+        r AS (
+            SELECT id, n, i, residue, v, lead(residue) OVER o AS one, lead(residue, 2) OVER o AS two, lead(v, 3) OVER o AS v3,
+                avg(v) OVER (o ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING) AS v5, avg({has("aromatic", "residue")}::INT) OVER (o ROWS BETWEEN CURRENT ROW AND 8 FOLLOWING) AS aromatic9
+            FROM (SELECT id, n, i, seq[i] AS residue FROM (SELECT id, n, seq, unnest(range(1, length(seq) + 1)) AS i FROM s)) JOIN (VALUES {kd}) AS kd(residue, v) USING (residue)
+            WINDOW o AS (PARTITION BY id ORDER BY i)
+        ),
+        w AS (SELECT id, avg(v5) FILTER (i <= n - 4) AS mean, stddev_pop(v5) FILTER (i <= n - 4) AS std, min(v5) FILTER (i <= n - 4) AS low, max(v5) FILTER (i <= n - 4) AS high,
+                     max(v5) FILTER (i = 1 AND n >= 5) AS first, max(v5) FILTER (i = n - 4) AS last, avg((v5 > 1 + 1e-12)::INT) FILTER (i <= n - 4) AS hits, max(aromatic9) FILTER (i <= n - 8) AS aromatic FROM r GROUP BY id),
+        h AS (SELECT id, {run_figures} FROM ({runs("residue")}) GROUP BY id),
+        c AS (SELECT id, {run_figures} FROM ({runs(f"CASE WHEN {has('charged', 'residue')} THEN 1 END")}) GROUP BY id),
+        p AS (
+            SELECT id, sum(({has("charged", "residue")} <> {has("charged", "one")})::INT) AS switches, sum(({has("aromatic", "residue")} AND {has("aromatic", "two")})::INT) AS coupled,
+                count(*) FILTER ({has("aromatic", "residue")}) AS members, (max(i) FILTER ({has("aromatic", "residue")}) - min(i) FILTER ({has("aromatic", "residue")}))::DOUBLE AS extent,
+                sum((({has("polar", "residue")} AND {has("nonpolar", "one")}) OR ({has("nonpolar", "residue")} AND {has("polar", "one")}))::INT) AS changes, sum(v * v3) AS product
+            FROM r GROUP BY id
+        ),
+        q AS (SELECT id, sum((v - mean) * (v3 - mean)) AS product, avg((v - mean) * (v - mean)) AS variance, min(v) AS low, max(v) AS high FROM r JOIN (SELECT id, avg(v) AS mean FROM r GROUP BY id) USING (id) GROUP BY id),
+        t AS (SELECT id, avg(v) FILTER (i > n - 20) AS hydropathy, avg((residue = 'A')::INT) FILTER (i <= 20) AS a FROM r GROUP BY id),
+        words AS (SELECT id, k, word, count(*) AS c, max(i) - min(i) AS span FROM (SELECT id, k, i, substr(seq, i, k) AS word FROM (SELECT id, seq, k, unnest(range(1, length(seq) - k + 2)) AS i FROM s, range(2, 4) AS ks(k) WHERE n >= k)) GROUP BY id, k, word),
+        k AS (SELECT id, k, sum(c)::DOUBLE AS m, count(*) AS kinds, max(c) AS top, sum(c) FILTER (c > 1)::DOUBLE AS rep, sum(c * log2(c)) FILTER (c > 1) AS logs, avg(span) FILTER (c > 1) AS span FROM words GROUP BY id, k)
+        SELECT s.id, {columns}
+        FROM s LEFT JOIN w ON s.id = w.id LEFT JOIN h ON s.id = h.id LEFT JOIN c ON s.id = c.id LEFT JOIN p ON s.id = p.id LEFT JOIN q ON s.id = q.id LEFT JOIN t ON s.id = t.id
+            LEFT JOIN k k2 ON s.id = k2.id AND k2.k = 2 LEFT JOIN k k3 ON s.id = k3.id AND k3.k = 3"""
+
+
 _AAC, _GROUPED = duckdb_sql(make(["aac"])[0]), duckdb_sql(make(["grouped"])[0])
 ORACLE_SQL = {name: duckdb_sql(make([name])[0]) for name in sorted(REGISTRY) if name != "spacing"} | {
     "local_repetition": _local_repetition_sql(),
     "spacing": _spacing_sql(),
+    "long_sequences": _long_sequences_sql(),
     "short_sequences": duckdb_sql(make(["sliding_window"])[0], "part", "p_partkey", "p_type"),
     "long_kmers_3": f"""
         SELECT id, kmer, count(*)::DOUBLE AS n
