@@ -78,7 +78,7 @@ LONG = {
     "local_repetition": ["unique_fraction_k3", "top_count_k2", "repeated_span_k3", "recurrence_entropy_k2"],
     "sequence_order": ["aromatic_lag2_coupling", "aromatic_mean_spacing_norm", "polar_nonpolar_transition_frac"],
     "autocorrelation": ["mb_hydrophobicity_lag3", "moran_hydrophobicity_lag3"],
-    "terminal": ["cterm20_hydropathy_mean", "nterm20_freq_A"],
+    "terminal": ["cterm20_hydropathy_mean", "nterm20_aac_A"],
 }
 
 
@@ -197,12 +197,12 @@ def _long_sequences_sql() -> str:
         WITH s AS (SELECT id, seq, length(seq)::DOUBLE AS n FROM (SELECT doc_id::VARCHAR AS id, {_SEQ.format(text="text")} AS seq FROM documents)),
         r AS (
             SELECT id, n, i, residue, v, lead(residue) OVER o AS one, lead(residue, 2) OVER o AS two, lead(v, 3) OVER o AS v3,
-                avg(v) OVER (o ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING) AS v5, avg({has("aromatic", "residue")}::INT) OVER (o ROWS BETWEEN CURRENT ROW AND 8 FOLLOWING) AS aromatic9
+                {" + ".join(f"lead(v, {j}) OVER o * 0.2::DOUBLE" for j in range(5))} AS v5, avg({has("aromatic", "residue")}::INT) OVER (o ROWS BETWEEN CURRENT ROW AND 8 FOLLOWING) AS aromatic9
             FROM (SELECT id, n, i, seq[i] AS residue FROM (SELECT id, n, seq, unnest(range(1, length(seq) + 1)) AS i FROM s)) JOIN (VALUES {kd}) AS kd(residue, v) USING (residue)
             WINDOW o AS (PARTITION BY id ORDER BY i)
         ),
         w AS (SELECT id, avg(v5) FILTER (i <= n - 4) AS mean, stddev_pop(v5) FILTER (i <= n - 4) AS std, min(v5) FILTER (i <= n - 4) AS low, max(v5) FILTER (i <= n - 4) AS high,
-                     max(v5) FILTER (i = 1 AND n >= 5) AS first, max(v5) FILTER (i = n - 4) AS last, avg((v5 > 1 + 1e-12)::INT) FILTER (i <= n - 4) AS hits, max(aromatic9) FILTER (i <= n - 8) AS aromatic FROM r GROUP BY id),
+                     max(v5) FILTER (i = 1 AND n >= 5) AS first, max(v5) FILTER (i = n - 4) AS last, avg((v5 > 1)::INT) FILTER (i <= n - 4) AS hits, max(aromatic9) FILTER (i <= n - 8) AS aromatic FROM r GROUP BY id),
         h AS (SELECT id, {run_figures} FROM ({runs("residue")}) GROUP BY id),
         c AS (SELECT id, {run_figures} FROM ({runs(f"CASE WHEN {has('charged', 'residue')} THEN 1 END")}) GROUP BY id),
         p AS (
