@@ -6,6 +6,7 @@ arrays come from the residues and which figures are wanted of them; ``figures``
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from functools import cache
@@ -75,11 +76,11 @@ class _Batch:
     """The arrays of some sequences; each is made when it is first asked for."""
 
     def __init__(self, recipes: Recipes, seqs: list[bytes]) -> None:
-        self.recipes, self.rows = recipes, len(seqs)
+        self.recipes, self.rows, self.seqs = recipes, len(seqs), seqs
         self.n = np.fromiter(map(len, seqs), np.int64, len(seqs))
         self.codes = np.frombuffer(b"".join(seqs), dtype=np.uint8)
         self.owner = _owner(self.n)
-        self.array, self.moments, self.words, self.grouped, self.couplings, self.members = map(cache, (self._array, self._moments, self._words, self._grouped, self._couplings, self._members))
+        self.array, self.moments, self.words, self.grouped, self.couplings, self.members, self.found = map(cache, (self._array, self._moments, self._words, self._grouped, self._couplings, self._members, self._found))
 
     def _array(self, name: str) -> Array:
         what, *args = self.recipes.arrays[name]
@@ -215,6 +216,25 @@ class _Batch:
         hit = {"<": np.less, "<=": np.less_equal, ">": np.greater, ">=": np.greater_equal}[sign](v, value)
         return self.sums(hit, sizes) / sizes
 
+    def _found(self, pattern: str, overlapping: bool, end: tuple[str, int] | None) -> dict[str, np.ndarray]:
+        """Number of matches, and where the first and the last begin, by Python's own engine."""
+        search, flags = re.compile(pattern), re.match(r"(?:\(\?[aimsux]+\))?", pattern)
+        if overlapping:
+            search = re.compile(f"(?={pattern[flags.end() :]})", search.flags)
+        out = {k: np.full(self.rows, np.nan) for k in ("count", "first", "last")}
+        for row, text in enumerate(self.seqs):
+            text = text.decode()
+            if end:
+                text = text[: end[1]] if end[0] == "n" else text[-end[1] :]
+            begins = [m.start() for m in search.finditer(text)] if text else []
+            out["count"][row] = len(begins)
+            if begins:
+                out["first"][row], out["last"][row] = begins[0] + 1, begins[-1] + 1
+        return out
+
+    def searched(self, pattern: str, overlapping: bool, end: tuple[str, int] | None, which: str) -> np.ndarray:
+        return self.found(pattern, overlapping, end)[which]
+
     def _couplings(self, letters: str, lag: int) -> dict[tuple, np.ndarray]:
         """All wanted sums over the pairs of residues at a lag: one table of pair counts, times a matrix of their weights.
 
@@ -295,6 +315,29 @@ class _Batch:
         return found if isinstance(found, pa.Array) else pa.array(np.asarray(found, dtype=np.float64), from_pandas=False)
 
 
+def word_maps(k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(id, n, words, counts) of batches of (id, seq, n): the words of ``k`` residues that a sequence has, of any length."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ends, lo = np.cumsum(batch.column(2).to_numpy()), 0
+            while lo < batch.num_rows:
+                hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + max(1, 8 * CHUNK // k), side="right")))
+                part = batch.slice(lo, hi - lo)
+                made = _Batch(Recipes(), [s.encode() for s in part.column(1).to_pylist()])
+                at, sizes = _windows(made.n, k)
+                spelled = np.lib.stride_tricks.sliding_window_view(made.codes, k)[at] if len(at) else np.zeros((0, k), np.uint8)
+                known = pa.FixedSizeBinaryArray.from_buffers(pa.binary(k), len(at), [None, pa.py_buffer(np.ascontiguousarray(spelled))]).dictionary_encode()
+                key, count = np.unique(_owner(sizes) * max(1, len(known.dictionary)) + known.indices.to_numpy(), return_counts=True)
+                owner, word = np.divmod(key, max(1, len(known.dictionary)))
+                offsets = pa.array(np.r_[0, np.cumsum(np.bincount(owner, minlength=made.rows))].astype(np.int32))
+                words = known.dictionary.take(pa.array(word)).cast(pa.binary()).cast(pa.string())
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes), pa.MapArray.from_arrays(offsets, words, pa.array(count.astype(np.float64)))], names=["id", "total", "words"])
+                lo = hi
+
+    return run
+
+
 def stage(recipes: Recipes) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Adds the figures to batches of (id, seq, n)."""
 

@@ -82,7 +82,7 @@ class WordComposition(Descriptor):
         if k < 1:
             raise ParameterError("k", "k must be 1 or more")
         if k >= 4:
-            warnings.warn(f"k={k} makes {20**k} words; long_kmers() gives the same counts as rows", UserWarning, stacklevel=2)
+            warnings.warn(f"k={k} makes {20**k} words; kmer_maps() has the same counts in a map, long_kmers() as rows", UserWarning, stacklevel=2)
         self.k, self.include_counts, self.include_frequencies = k, include_counts, include_frequencies
 
     def features(self, d: Dialect) -> list[tuple[str, str]]:

@@ -7,6 +7,7 @@ from collections.abc import Mapping
 
 from ..functions.alphabet import ACCEPTORS, DONORS, GROUPS
 from ..functions.dialect import Counts, Dialect, segment
+from ..functions.patterns import for_java
 from .base import Descriptor, lengths, register
 from .ctd import TRACKED
 from .kinds import FLAG, TEXT, WHOLE, ParameterError, maybe, named
@@ -70,22 +71,25 @@ CROSS = {
 _AT_LEAST = re.compile(r"\(\?:(\[[A-Z]+\]|[A-Z])\.\*\)\{(\d+),\}")
 
 
-def java_pattern(pattern: str) -> str:
-    """A Python pattern as Java reads it: named groups and the end of text."""
+def _checked(pattern: str) -> None:
     try:
         re.compile(pattern)
     except re.error as e:
         raise ParameterError("patterns", f"{pattern!r}: {e}") from e
-    return re.sub(r"\(\?P=(\w+)\)", r"\\k<\1>", pattern.replace("(?P<", "(?<")).replace("\\Z", "\\z")
 
 
-def _count(d: Dialect, text: str, pattern: str) -> str:
-    """Matches that don't overlap.  "At least m of these letters, whatever lies between" runs to the end: one match."""
+def _count(d: Dialect, text: str, pattern: str, end: tuple[str, int] | None = None) -> str:
+    """Matches that don't overlap.  "At least m of these letters, whatever lies between" runs to the end: one match.
+
+    Of a pattern that only Python can run, the vector stage counts; ``end``: in the first ("n") or last ("c") residues.
+    """
     if m := _AT_LEAST.fullmatch(pattern):
         letters = m[1].strip("[]")
         total = " + ".join(f"(length({text}) - length(replace({text}, '{a}', '')))" for a in sorted(set(letters)))
         return f"CASE WHEN {total} >= {m[2]} THEN 1 ELSE 0 END"
-    return d.size(d.matches(text, java_pattern(pattern)))
+    if (java := for_java(pattern)) is None:
+        return d.figure(f"python_{d.key(pattern, end)}_count", "searched", pattern, False, end, "count")
+    return d.size(d.matches(text, java))
 
 
 def _yes(sql: str) -> str:
@@ -99,7 +103,7 @@ class Pattern(Descriptor):
     def __init__(self, *, patterns: Mapping[str, str] | None = None, include_terminal: bool = True, terminal_window: int = 10) -> None:
         self.patterns, self.include_terminal, self.terminal_window = patterns or PATTERNS, include_terminal, terminal_window
         for p in self.patterns.values():
-            java_pattern(p)
+            _checked(p)
 
     def features(self, d: Dialect) -> list[tuple[str, str]]:
         out, w = lengths(), self.terminal_window
@@ -107,7 +111,7 @@ class Pattern(Descriptor):
             count = d.let(f"pattern_{d.key(p)}", _count(d, "seq", p))
             out += [(f"{name}_present", _yes(count)), (f"{name}_count", count), (f"{name}_density", d.ratio(count, "n"))]
             if self.include_terminal:
-                out += [(f"{name}_{side}term_present_w{w}", _yes(_count(d, segment(d, side, w).text, p))) for side in "nc"]
+                out += [(f"{name}_{side}term_present_w{w}", _yes(_count(d, segment(d, side, w).text, p, (side, w)))) for side in "nc"]
         return out
 
 
@@ -115,24 +119,26 @@ class Pattern(Descriptor):
 class UserRegex(Descriptor):
     """Number, places and span of a user's patterns; with ``overlapping`` a match may start inside another.
 
-    Patterns are compiled by Python and run by Java; named groups are translated.
+    Patterns are Python's.  Java runs those that mean the same there, Python the others, batch by batch.
     """
 
     def __init__(self, *, patterns: Mapping[str, str] | None = None, overlapping: bool = False, include_terminal: bool = True, terminal_window: int = 10) -> None:
         self.patterns, self.overlapping = patterns or USER_PATTERNS, overlapping
         self.include_terminal, self.terminal_window = include_terminal, terminal_window
         for p in self.patterns.values():
-            java_pattern(p)
+            _checked(p)
 
     def features(self, d: Dialect) -> list[tuple[str, str]]:
         out, w = lengths(), self.terminal_window
         for name, python in self.patterns.items():
-            p, tag = java_pattern(python), d.key(python, self.overlapping)
-            if self.overlapping:
+            p, tag = for_java(python), d.key(python, self.overlapping)
+            if p is None:
+                count, first, last = (d.figure(f"python_{tag}_{k}", "searched", python, self.overlapping, None, k) for k in ("count", "first", "last"))
+            elif self.overlapping:
                 ahead = f"(?=(?:{p}))"
                 count = d.let(f"regex_{tag}", f"size(regexp_extract_all(seq, {d.text(ahead)}, 0))")
                 first = d.let(f"regex_{tag}_first", d.where(f"{count} > 0", f"regexp_instr(seq, {d.text(ahead)})"))
-                last = d.let(f"regex_{tag}_last", d.where(f"{count} > 0", f"length(regexp_extract(seq, {d.text('^(.*)' + ahead)}, 1)) + 1"))
+                last = d.let(f"regex_{tag}_last", d.where(f"{count} > 0", f"length(regexp_extract(seq, {d.text('^.*' + ahead)}, 0)) + 1"))
             else:
                 found, parts = d.let(f"regex_{tag}_found", d.matches("seq", p)), d.let(f"regex_{tag}_parts", d.parts("seq", p))
                 count = d.let(f"regex_{tag}", d.size(found))
@@ -144,7 +150,7 @@ class UserRegex(Descriptor):
             out += [(f"{name}_first_pos", first), (f"{name}_last_pos", last), (f"{name}_first_pos_norm", d.ratio(first, "n")), (f"{name}_last_pos_norm", d.ratio(last, "n"))]
             out += [(f"{name}_span", span), (f"{name}_span_norm", d.where("n > 0", f"({span}) / n"))]
             if self.include_terminal:
-                out += [(f"{name}_{side}term_present_w{w}", f"CASE WHEN {d.found(segment(d, side, w).text, p)} THEN 1 ELSE 0 END") for side in "nc"]
+                out += [(f"{name}_{side}term_present_w{w}", _yes(_count(d, segment(d, side, w).text, python, (side, w))) if p is None else f"CASE WHEN {d.found(segment(d, side, w).text, p)} THEN 1 ELSE 0 END") for side in "nc"]
         return out
 
 

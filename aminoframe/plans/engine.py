@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.alphabet import RESIDUES
 from ..functions.dialect import Dialect
-from ..functions.vectors import stage
+from ..functions.vectors import stage, word_maps
 from ..operators import REGISTRY, Descriptor
 
 SHARED = ("length", "valid_residue_count")
@@ -85,6 +85,18 @@ def long_kmers(df: DataFrame, k: int, id_col: str = "id", seq_col: str = "sequen
     return rows.select("id", F.explode(words).alias("kmer")).groupBy("id", "kmer").agg(F.count("*").cast("double").alias("n"))
 
 
+def kmer_maps(df: DataFrame, k: int, id_col: str = "id", seq_col: str = "sequence") -> DataFrame:
+    """id, total_kmers, unique_kmers, kmers: a map from the words of ``k`` residues that a sequence has to their counts.
+
+    For k where a column for each word would be too many.  Row-local: a row for each input row, no shuffle; a sequence
+    shorter than ``k``, or null, has an empty map.
+    """
+    if k < 1:
+        raise ValueError("k must be 1 or more")
+    made = prepared(df, id_col, seq_col).mapInArrow(word_maps(k), "id string, total long, words map<string,double>")
+    return made.select("id", F.col("total").cast("double").alias("total_kmers"), F.size("words").cast("double").alias("unique_kmers"), F.col("words").alias("kmers"))
+
+
 def long_features(wide: DataFrame, id_col: str = "id") -> DataFrame:
     """id, feature, value: a row for each feature."""
     return wide.unpivot(id_col, [c for c in wide.columns if c != id_col], "feature", "value")

@@ -13,7 +13,7 @@ from ..operators import REGISTRY, Descriptor, ctd, motif
 from ..sources.store import file_digests
 from ..streaming.stream import compute_stream_once
 from .blocks import compute_long
-from .engine import compute, long_features, long_kmers, make
+from .engine import compute, kmer_maps, long_features, long_kmers, make
 
 #: A driver table counts as sequences: its text, cleaned.
 _SEQ = "regexp_replace(upper(replace(coalesce({text}, ''), 'ß', 'SS')), '[^ACDEFGHIKLMNPQRSTVWY]', '', 'g')"
@@ -71,6 +71,12 @@ def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(compute_stream_once(spark, f"{sf_dir}/documents.parquet", make(["grouped"])[0], "doc_id", "text"))
 
 
+def _maps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sizes of the maps of five-residue words, and a digest of all that is in them."""
+    spelled = F.transform(F.array_sort(F.map_entries("kmers")), lambda e: F.concat(e["key"], F.lit(":"), e["value"].cast("long").cast("string")))
+    return kmer_maps(_documents(spark, sf_dir), 5, "doc_id", "text").select("id", "total_kmers", "unique_kmers", F.coalesce(F.array_max(F.map_values("kmers")), F.lit(0.0)).alias("most"), F.sha2(F.array_join(spelled, ","), 256).alias("kmers_sha256"))
+
+
 #: Figures of windows, runs, ends, words and pairs, of blocks far shorter than most documents.
 LONG = {
     "sliding_window": ["win5_hydropathy_mean", "win5_hydropathy_std", "win5_hydropathy_min", "win5_hydropathy_max", "win5_hydropathy_start_end_diff", "win5_hydropathy_high_fraction", "win9_aromatic_frac_max"],
@@ -92,7 +98,7 @@ def _digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return file_digests(spark, f"{sf_dir}/*.parquet").select(F.element_at(F.split("path", "/"), -1).alias("file"), "length", "sha256")
 
 
-QUERIES = {name: partial(_one, name) for name in sorted(REGISTRY)} | {"short_sequences": _short, "long_kmers_3": _kmers, "long_layout": _long, "merged": _merged, "stream_grouped": _stream, "content_digests": _digests, "long_sequences": _long_sequences}
+QUERIES = {name: partial(_one, name) for name in sorted(REGISTRY)} | {"short_sequences": _short, "long_kmers_3": _kmers, "long_layout": _long, "merged": _merged, "stream_grouped": _stream, "content_digests": _digests, "long_sequences": _long_sequences, "kmer_maps_5": _maps}
 
 def _local_repetition_sql() -> str:
     """Relational: a row for each word, grouped; the array form is slow in DuckDB."""
@@ -230,6 +236,12 @@ ORACLE_SQL = {name: duckdb_sql(make([name])[0]) for name in sorted(REGISTRY) if
         SELECT id, kmer, count(*)::DOUBLE AS n
         FROM (SELECT id, seq[i:i + 2] AS kmer FROM (SELECT doc_id::VARCHAR AS id, seq, unnest(range(1, length(seq) - 1)) AS i FROM (SELECT *, {_SEQ.format(text="text")} AS seq FROM documents)))
         GROUP BY id, kmer""",
+    "kmer_maps_5": f"""
+        WITH s AS (SELECT doc_id::VARCHAR AS id, {_SEQ.format(text="text")} AS seq FROM documents),
+        w AS (SELECT id, kmer, count(*) AS n FROM (SELECT id, seq[i:i + 4] AS kmer FROM (SELECT id, seq, unnest(range(1, length(seq) - 3)) AS i FROM s)) GROUP BY id, kmer),
+        m AS (SELECT id, sum(n) AS total, count(*) AS kinds, max(n) AS most, string_agg(kmer || ':' || n, ',' ORDER BY kmer) AS spelled FROM w GROUP BY id)
+        SELECT s.id, coalesce(total, 0)::DOUBLE AS total_kmers, coalesce(kinds, 0)::DOUBLE AS unique_kmers, coalesce(most, 0)::DOUBLE AS most, sha256(coalesce(spelled, '')) AS kmers_sha256
+        FROM s LEFT JOIN m ON s.id = m.id""",
     "long_layout": f"UNPIVOT ({_AAC}) ON COLUMNS(* EXCLUDE (id)) INTO NAME feature VALUE value",
     "merged": f"SELECT g.* EXCLUDE (grouped_length), grouped_length AS length, a.* EXCLUDE (id, aac_length, aac_valid_residue_count) FROM ({_GROUPED}) g JOIN ({_AAC}) a USING (id)",
     "stream_grouped": _GROUPED,

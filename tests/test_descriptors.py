@@ -252,6 +252,49 @@ def test_patterns(table, of):
     check(rows, "user_regex_pair_last_pos", lambda s: s.rfind("KK") + 1 if "KK" in s else NAN)
 
 
+#: Some mean the same in Java, some differ in syntax (nested brackets, &&, \\Z), some only Python has.
+ODD = ["(K)?A(?(1)C|D)", "(?<=K)A", "(?<![KA])C", "[A[]", "[K&&R]K", "[^ACDEFGHIKLMNPQRSTVW]", "[A-F]{2}", r"(?P<a>[KR])(?P=a)", r"(.)\1", "K*", "^A|D$", r"C\Z", "(?i)kr|a[c-e]", "(?i:k)A", "(?x) K  K # two", r"\w\d?A", "(?:AC|A)(?:CD|D)", "(?>A+)A", "A++K", "A+?K", "b|Z|1", "K(?#note)K", "(?:G.*){2,}", "[Kk]", "(?=KK)K", r"\bA", "A{0,1}C", "(A|AC)(C|$)"]
+
+
+@pytest.mark.parametrize("overlapping", [False, True])
+def test_patterns_mean_what_python_means(table, overlapping):
+    import re
+
+    from aminoframe.functions.patterns import for_java
+
+    assert {p for p in ODD if for_java(p) is None} == {"(K)?A(?(1)C|D)", "K*", "(?i:k)A", r"\bA"}
+    made = REGISTRY["user_regex"](patterns={f"p{i}": p for i, p in enumerate(ODD)}, overlapping=overlapping, terminal_window=4)
+    rows = sorted(compute(table, made).collect(), key=lambda r: int(r.id))
+    for i, p in enumerate(ODD):
+        flags = re.match(r"(?:\(\?[a-z]+\))?", p)[0]
+        search = re.compile(f"{flags}(?={p[len(flags):]}{chr(10) if '(?x)' in p else ''})" if overlapping else p)
+        starts = lambda s: [m.start() + 1 for m in search.finditer(s)] if s else []  # noqa: E731, B023
+        for what, plain in (("count", lambda s: len(starts(s))), ("first_pos", lambda s: starts(s)[0] if starts(s) else NAN), ("last_pos", lambda s: starts(s)[-1] if starts(s) else NAN)):
+            check(rows, f"user_regex_p{i}_{what}", plain)
+        for side, cut in (("n", lambda s: s[:4]), ("c", lambda s: s[-4:])):
+            check(rows, f"user_regex_p{i}_{side}term_present_w4", lambda s: float(bool(s and re.search(p, cut(s)))))  # noqa: B023
+    if not overlapping:
+        rows = sorted(compute(table, REGISTRY["pattern"](patterns={f"p{i}": p for i, p in enumerate(ODD)})).collect(), key=lambda r: int(r.id))
+        for i, p in enumerate(ODD):
+            check(rows, f"pattern_p{i}_count", lambda s: len(re.findall(p, s)) if s else 0)  # noqa: B023
+            check(rows, f"pattern_p{i}_cterm_present_w10", lambda s: float(bool(s and re.search(p, s[-10:]))))  # noqa: B023
+
+
+@pytest.mark.parametrize("k", [1, 3, 5, 40])
+def test_word_maps(table, k):
+    from aminoframe.plans.engine import kmer_maps
+
+    found = kmer_maps(table, k)
+    rows = {int(r.id): r for r in found.collect()}
+    for i, s in enumerate(CLEAN):
+        want = Counter(windows(s, k))
+        assert rows[i].kmers == want and rows[i].total_kmers == want.total() and rows[i].unique_kmers == len(want)
+    one = kmer_maps(table.sparkSession.range(2).selectExpr("cast(id as string) id", "'ACDACD' sequence"), 2)
+    assert "Exchange" not in one._jdf.queryExecution().executedPlan().toString()
+    with pytest.raises(ValueError, match="1 or more"):
+        kmer_maps(table, 0)
+
+
 def test_parameters(table):
     out = compute(table, REGISTRY["charge"](ph_values=(7.4,)))
     assert "charge_net_charge_ph7p4" in out.columns and "charge_net_charge_ph7p0" not in out.columns
