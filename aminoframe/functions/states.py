@@ -34,6 +34,8 @@ def merges(recipes: Recipes, name: str) -> bool:
         return recipe[0] in _BY_PLACE or recipe[0] == "places" or recipe[0] == "known" and recipes.arrays[recipe[1]][0] == "scale"
     if what == "median":
         return _scale(recipes, args[0]) is not None
+    if what == "scaled":
+        return args[1] != ("c", 0)
     if what == "coupled":
         return set(args[0]) == set(RESIDUES)
     return what == "word_figure" and args[1] in _WORD_FIGURES and args[0] <= WORD_MOST or what == "table" and args[0] <= 2
@@ -121,6 +123,8 @@ class Plan:
                 out.append((name, f"{name}__sum"))
             elif what == "median":
                 out.append((name, self._median(_scale(self.recipes, a) or {})))
+            elif what == "scaled":
+                out.append((name, self._scaled(a, args[1])))
             elif what == "table":
                 out.append((name, f"transform(sequence(0, {len(RESIDUES) ** a - 1}), i -> coalesce(element_at(words{a}__table, cast(i as bigint)), 0D))"))
             elif args[1] == "size":
@@ -142,6 +146,23 @@ class Plan:
         at = lambda rank: "CASE " + " ".join(f"WHEN {upto} > {rank} THEN double({v!r})" for upto, v in below) + " END"
         return f"CASE WHEN {total} > 0 THEN ({at(f'({total} - 1) div 2')} + {at(f'({total}) div 2')}) / 2 ELSE double('NaN') END"
 
+    def _scaled(self, scales: tuple[tuple[float | None, ...], ...], end: tuple[str, int] | None) -> str:
+        """The figures of all scales as an array, from residue counts."""
+        nan, out = "double('NaN')", []
+        text = f"{'left' if end[0] == 'n' else 'right'}(seq, {end[1]})" if end else ""
+        count = {a: f"(length({text}) - length(replace({text}, '{a}', '')))" if end else f"count_seq_{a}" for a in RESIDUES}
+        for values in scales:
+            scale = {a: v for a, v in zip(RESIDUES, values, strict=True) if v is not None}
+            n = "(" + (" + ".join(count[a] for a in scale) or "0") + ")"
+            mean = "(" + (" + ".join(f"{count[a]} * double({v!r})" for a, v in scale.items()) or "0D") + f") / {n}"
+            sql = [mean]
+            if not end:
+                square = " + ".join(f"{count[a]} * pow(double({v!r}) - m, 2)" for a, v in scale.items()) or "0D"
+                low, high = (f"{f}({', '.join(f'CASE WHEN {count[a]} > 0 THEN double({v!r}) END' for a, v in scale.items())}, CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE))" for f in ("least", "greatest"))
+                sql += [f"element_at(transform(array({mean}), m -> sqrt(({square}) / {n})), 1)", low, high, self._median(scale)]
+            out += [f"CASE WHEN {n} > 0 THEN {x} ELSE {nan} END" for x in sql]
+        return f"array({', '.join(out)})"
+
     def word_figures(self) -> list[str]:
         """Aggregates over (k, word, c, first, last), a row for each word of a sequence."""
         out = []

@@ -23,6 +23,10 @@ _NUMBER[[ord(a) for a in RESIDUES]] = np.arange(len(RESIDUES))
 Array = tuple[np.ndarray, np.ndarray]
 
 
+#: Figures of a scale over all of a sequence; at an end only the first.
+SCALED = ("mean", "std", "min", "max", "median")
+
+
 def _pair_weights(kind: str, *args) -> np.ndarray:
     """A weight for each ordered pair of residues.
 
@@ -50,12 +54,12 @@ class Recipes:
         return Recipes(self.arrays, {k: v for k, v in self.figures.items() if wanted(k)})
 
     def kind(self, name: str) -> str:
-        return "array<double>" if self.figures[name][0] == "table" else "double"
+        return "array<double>" if self.figures[name][0] in ("table", "scaled") else "double"
 
     def widest(self) -> int:
         """Cells that a sequence takes in the widest table."""
         pairs = len(RESIDUES) ** 2
-        return max([1, *(len(RESIDUES) ** f[1] for f in self.figures.values() if f[0] == "table"), *(pairs for f in self.figures.values() if f[0] == "coupled")])
+        return max([1, *(len(RESIDUES) ** f[1] for f in self.figures.values() if f[0] == "table"), *(pairs for f in self.figures.values() if f[0] == "coupled"), *(len(SCALED) * len(f[1]) for f in self.figures.values() if f[0] == "scaled")])
 
 
 def _owner(sizes: np.ndarray) -> np.ndarray:
@@ -308,6 +312,40 @@ class _Batch:
         counts = np.bincount(_owner(sizes) * wide + v, minlength=self.rows * wide).astype(np.float64)
         return pa.FixedSizeListArray.from_arrays(pa.array(counts), wide).cast(pa.list_(pa.float64()))
 
+    def scaled(self, scales: tuple[tuple[float | None, ...], ...], end: tuple[str, int] | None) -> pa.Array:
+        """Figures of many scales from the residue counts: one product with the matrix of the scales for all means, order statistics by running counts.
+
+        A residue without a value in a scale doesn't count there.  ``end``: means of the first ("n") or last ("c") residues.
+        """
+        wide, owner, number = len(RESIDUES), self.owner, _NUMBER[self.codes]
+        if end and end != ("c", 0):
+            place = _place(self.n)
+            keep = place < end[1] if end[0] == "n" else place >= (self.n - end[1])[owner]
+            owner, number = owner[keep], number[keep]
+        counts = np.bincount(owner * wide + number, minlength=self.rows * wide).reshape(self.rows, wide).astype(np.float64)
+        known = np.array([[v is not None for v in s] for s in scales])
+        matrix = np.array([[v or 0.0 for v in s] for s in scales])
+        sizes = counts @ known.T
+        means = counts @ matrix.T / sizes
+        if end:
+            made = means
+        else:
+            made = np.full((self.rows, len(scales), len(SCALED)), np.nan)
+            made[:, :, 0] = means
+            for j, (values, has) in enumerate(zip(matrix, known, strict=True)):
+                order = np.argsort(values[has], kind="stable")
+                c, v, n, some = counts[:, has][:, order], values[has][order], sizes[:, j], sizes[:, j] > 0
+                if not some.any():
+                    continue
+                made[:, j, 1] = np.sqrt((c * (v - means[:, j : j + 1]) ** 2).sum(axis=1) / n)
+                running = c.cumsum(axis=1)
+                at = lambda rank, running=running, v=v: v[np.minimum((running <= rank[:, None]).sum(axis=1), len(v) - 1)]
+                last = np.maximum(n - 1, 0)
+                for k, value in ((2, at(np.zeros(self.rows))), (3, at(last)), (4, (at(last // 2) + at(n // 2)) / 2)):
+                    made[some, j, k] = value[some]
+        flat = made.reshape(self.rows, -1)
+        return pa.FixedSizeListArray.from_arrays(pa.array(flat.ravel()), flat.shape[1]).cast(pa.list_(pa.float64()))
+
     def figure(self, what: str, *args) -> pa.Array:
         with np.errstate(divide="ignore", invalid="ignore"):
             found = getattr(self, what)(*args)

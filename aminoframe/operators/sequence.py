@@ -7,6 +7,7 @@ from collections.abc import Mapping
 
 from ..functions.alphabet import CHARGE_PROXY, EISENBERG, FLEXIBILITY, GROUPS, HELIX, HYDROPATHY, HYDROPHILICITY, POLARITY, RESIDUES, SHEET, SIDECHAIN_MASS, TURN, VOLUME
 from ..functions.dialect import Counts, Dialect, segment
+from ..functions.vectors import SCALED
 from ..sources.scales import known_scales
 from .base import Descriptor, lengths, register
 from .kinds import FLAG, NUMBER, TEXT, WHOLE, ParameterError, maybe, named, several
@@ -201,7 +202,21 @@ class AAIndex(Descriptor):
                 raise ParameterError("codes", f"codes: unknown AAindex code {code!r}; list_indices() names those that are known")
 
     def features(self, d: Dialect) -> list[tuple[str, str]]:
-        out, w = lengths(), self.terminal_window
+        return lengths() + (self._by_matrix if d.vectors else self._by_arrays)(d)
+
+    def _by_matrix(self, d: Dialect) -> list[tuple[str, str]]:
+        """All codes at once: the residue counts, times a matrix with a row for each scale."""
+        scales = tuple(tuple(known_scales()[code].get(a) for a in RESIDUES) for code in self.codes)
+        key, out, w = d.key(scales), [], self.terminal_window
+        whole = d.figure(f"scales_{key}", "scaled", scales, None)
+        ends = {side: d.figure(f"scales_{key}_{side}{w}", "scaled", scales, (side, w)) for side in "nc"} if self.include_terminal else {}
+        for i, code in enumerate(self.codes):
+            out += [(f"{code}_{k}", d.get(whole, len(SCALED) * i + j)) for j, k in enumerate(SCALED)]
+            out += [(f"{code}_{side}term_mean_w{w}", d.get(means, i)) for side, means in ends.items()]
+        return out
+
+    def _by_arrays(self, d: Dialect) -> list[tuple[str, str]]:
+        out, w = [], self.terminal_window
         for code in self.codes:
             scale = known_scales()[code]
             tag = d.key(sorted(scale.items()))

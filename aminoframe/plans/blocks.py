@@ -141,6 +141,7 @@ class _Needs:
             names |= words
             left += [self.d.lets[w] for w in words if w in self.d.lets and not self.given(w)]
         figures = {w for w in names if w in self.d.recipes.figures}
+        reach = max([reach, *(f[2][1] for w in figures if (f := self.d.recipes.figures[w])[0] == "scaled" and f[2])])
         whole |= any(not merges(self.d.recipes, w) for w in figures)
         return figures, {w for w in names if w in self.d.lets}, reach, whole
 

@@ -203,6 +203,37 @@ def test_errors_name_their_parameter():
         assert [i.path for i in check_config({"descriptors": {name: given}})] == [f"descriptors.{name}.{next(iter(given))}"]
 
 
+def test_as_many_scales_as_are_published(spark, tmp_path):
+    """566 of them, some without values for some residues, in one stage."""
+    import random
+
+    import numpy as np
+
+    from aminoframe.sources import scales
+
+    r, letters = random.Random(5), "ARNDCQEGHILKMFPSTWYV"
+    made = {f"TEST{i:06d}": {a: round(r.uniform(-9, 9), 2) for a in letters if i % 7 or r.random() < 0.8} for i in range(566)}
+    made["TEST000000"] = {}
+    path = tmp_path / "scales.csv"
+    path.write_text("index," + ",".join(letters) + "\n" + "".join(f"{code}," + ",".join(str(s.get(a, "")) for a in letters) + "\n" for code, s in made.items()))
+    seqs = ["", "A", "ACD" * 7, "".join(r.choices(letters, k=300))]
+    try:
+        assert len([c for c in load_scales(str(path)) if c.startswith("TEST")]) == 566
+        df = spark.createDataFrame([(str(i), s) for i, s in enumerate(seqs)], "id string, sequence string").coalesce(2)
+        out = compute(df, REGISTRY["aaindex"](codes=tuple(made)))
+        assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString() and len(out.columns) == 3 + 566 * 7
+        for row in out.collect():
+            s = seqs[int(row.id)]
+            for code in list(made)[::15]:
+                v = [np.array([made[code][a] for a in part if a in made[code]]) for part in (s, s[:10], s[-10:])]
+                want = [f(v[0]) if len(v[0]) else np.nan for f in (np.mean, np.std, np.min, np.max, np.median)] + [np.mean(x) if len(x) else np.nan for x in v[1:]]
+                got = [row[f"aaindex_{code}_{k}"] for k in ("mean", "std", "min", "max", "median", "nterm_mean_w10", "cterm_mean_w10")]
+                assert np.allclose(got, want, rtol=1e-9, atol=1e-9, equal_nan=True), (code, got, want)
+    finally:
+        for code in made:
+            scales._ADDED.pop(code, None)
+
+
 @pytest.mark.parametrize("whole_bytes", [1 << 20, 3])
 def test_a_folders_digest_is_that_of_its_files(spark, tmp_path, whole_bytes):
     """Files of over ``whole_bytes`` are read in pieces; the result is the same."""
