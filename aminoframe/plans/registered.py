@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from ..functions import alphabet
 from ..functions.dialect import DuckDb
 from ..operators import REGISTRY, Descriptor, ctd, motif
-from ..sources.store import file_digests
-from ..streaming.stream import compute_stream_once
+from ..sources.store import file_digests, shared_folder
+from ..streaming.ids import report_repeats
+from ..streaming.stream import compute_stream_once, readable
 from .blocks import compute_long
 from .engine import compute, kmer_maps, long_features, long_kmers, make
 
@@ -77,6 +78,13 @@ def _maps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kmer_maps(_documents(spark, sf_dir), 5, "doc_id", "text").select("id", "total_kmers", "unique_kmers", F.coalesce(F.array_max(F.map_values("kmers")), F.lit(0.0)).alias("most"), F.sha2(F.array_join(spelled, ","), 256).alias("kmers_sha256"))
 
 
+def _stream_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users as ids: those that come more than once in the stream of events, with their last count."""
+    events = readable(spark, f"{sf_dir}/events.parquet")
+    found = report_repeats(spark, events, shared_folder(spark, "repeats"), "user_id")
+    return found.groupBy("id").agg(F.max("n").alias("n"))
+
+
 #: Figures of windows, runs, ends, words and pairs, of blocks far shorter than most documents.
 LONG = {
     "sliding_window": ["win5_hydropathy_mean", "win5_hydropathy_std", "win5_hydropathy_min", "win5_hydropathy_max", "win5_hydropathy_start_end_diff", "win5_hydropathy_high_fraction", "win9_aromatic_frac_max"],
@@ -98,7 +106,7 @@ def _digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return file_digests(spark, f"{sf_dir}/*.parquet").select(F.element_at(F.split("path", "/"), -1).alias("file"), "length", "sha256")
 
 
-QUERIES = {name: partial(_one, name) for name in sorted(REGISTRY)} | {"short_sequences": _short, "long_kmers_3": _kmers, "long_layout": _long, "merged": _merged, "stream_grouped": _stream, "content_digests": _digests, "long_sequences": _long_sequences, "kmer_maps_5": _maps}
+QUERIES = {name: partial(_one, name) for name in sorted(REGISTRY)} | {"short_sequences": _short, "long_kmers_3": _kmers, "long_layout": _long, "merged": _merged, "stream_grouped": _stream, "content_digests": _digests, "long_sequences": _long_sequences, "kmer_maps_5": _maps, "stream_repeats": _stream_repeats}
 
 def _local_repetition_sql() -> str:
     """Relational: a row for each word, grouped; the array form is slow in DuckDB."""
@@ -242,6 +250,7 @@ ORACLE_SQL = {name: duckdb_sql(make([name])[0]) for name in sorted(REGISTRY) if
         m AS (SELECT id, sum(n) AS total, count(*) AS kinds, max(n) AS most, string_agg(kmer || ':' || n, ',' ORDER BY kmer) AS spelled FROM w GROUP BY id)
         SELECT s.id, coalesce(total, 0)::DOUBLE AS total_kmers, coalesce(kinds, 0)::DOUBLE AS unique_kmers, coalesce(most, 0)::DOUBLE AS most, sha256(coalesce(spelled, '')) AS kmers_sha256
         FROM s LEFT JOIN m ON s.id = m.id""",
+    "stream_repeats": "SELECT coalesce(user_id::VARCHAR, '') AS id, count(*)::BIGINT AS n FROM events GROUP BY user_id HAVING count(*) > 1 OR user_id IS NULL",
     "long_layout": f"UNPIVOT ({_AAC}) ON COLUMNS(* EXCLUDE (id)) INTO NAME feature VALUE value",
     "merged": f"SELECT g.* EXCLUDE (grouped_length), grouped_length AS length, a.* EXCLUDE (id, aac_length, aac_valid_residue_count) FROM ({_GROUPED}) g JOIN ({_AAC}) a USING (id)",
     "stream_grouped": _GROUPED,

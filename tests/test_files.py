@@ -282,3 +282,46 @@ def test_names_of_stores():
         for scheme in ("s3a", "s3n", "s3", "gs"):
             store.arrow_store(f"{scheme}://bucket/key")
     assert asked == ["s3://bucket/key"] * 3 + ["gs://bucket/key"]
+
+
+def test_ids_of_a_stream(spark, tmp_path):
+    """Repeats within a batch, over batches of one run, and after a restart; missing ids."""
+    from aminoframe.streaming.ids import repeats, report_repeats, require_unique
+
+    (tmp_path / "in").mkdir()
+
+    def add(name, *ids):
+        (tmp_path / "in" / f"{name}.csv").write_text("id,sequence\n" + "".join(f"{i},ACD\n" for i in ids))
+
+    stream = lambda: spark.readStream.schema("id string, sequence string").option("header", True).option("maxFilesPerTrigger", 1).csv(f"file://{tmp_path}/in")
+    folder = f"file://{tmp_path}/state"
+    assert report_repeats(spark, stream(), folder).collect() == []
+    add("a", "x", "y")
+    require_unique(spark, stream(), folder)
+    add("b", "z", "w", "w")
+    add("c", "z")
+    found = {(r.id, r.n) for r in report_repeats(spark, stream(), folder).collect()}
+    assert found == {("w", 2), ("z", 2)}
+    add("d", "x", "x", "v")
+    found = report_repeats(spark, stream(), folder)
+    assert {(r.id, r.n) for r in found.collect()} == {("w", 2), ("z", 2), ("x", 3)} and found.columns == ["batch", "id", "n"]
+    assert report_repeats(spark, stream(), folder).count() == 3
+    with pytest.raises(IdError, match="w, x, z"):
+        require_unique(spark, stream(), folder)
+    add("e", "", "u")
+    with pytest.raises(IdError, match="no id"):
+        require_unique(spark, stream(), folder)
+    assert repeats(stream()).isStreaming
+
+
+def test_grouped_forms_of_a_stream(spark, tmp_path):
+    from aminoframe.plans.engine import kmer_maps, long_kmers
+
+    (tmp_path / "in").mkdir()
+    spark.createDataFrame([("a", "ACAC"), ("b", "KK")], "id string, sequence string").write.parquet(f"{tmp_path}/in/one")
+    stream = lambda: spark.readStream.schema("id string, sequence string").parquet(f"{tmp_path}/in/*")
+    for name, table, mode in (("words", long_kmers(stream(), 2), "complete"), ("maps", kmer_maps(stream(), 2), "append")):
+        run = table.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", f"{tmp_path}/{name}").trigger(availableNow=True).start()
+        run.awaitTermination()
+    assert {tuple(r) for r in spark.table("words").collect()} == {("a", "AC", 2.0), ("a", "CA", 1.0), ("b", "KK", 1.0)}
+    assert {r.id: r.kmers for r in spark.table("maps").collect()} == {"a": {"AC": 2.0, "CA": 1.0}, "b": {"KK": 1.0}}
