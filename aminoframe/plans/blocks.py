@@ -20,7 +20,7 @@ from ..functions.dialect import Dialect
 from ..functions.states import RUNS, Plan, merges
 from ..operators import Descriptor
 from ..sources.tables import require_ids
-from .engine import features_of, prepared
+from .engine import features_of, prepared, quoted
 
 #: Residues of a block, and what a window or an end may take at most of the next one.
 BLOCK, REACH = 1 << 18, 1 << 10
@@ -185,14 +185,14 @@ def compute_blocks(blocks: DataFrame, descriptors: Descriptor | Iterable[Descrip
     states = dealt.mapInArrow(plan.stage(), ", ".join(f"`{name}` {kind}" for name, kind in plan.columns()))
     merged = states.groupBy("id").agg(*map(F.expr, plan.fold()))
     if plan.runs:
-        merged = merged.select("*", *(F.expr(sql).alias(name) for name, sql in plan.joined_runs()))
+        merged = merged.selectExpr("*", *(f"{sql} AS {name}" for name, sql in plan.joined_runs()))
     if plan.words:
         words = states.select("id", F.explode("words").alias("w")).groupBy("id", "w.k", "w.word").agg(F.sum("w.c").alias("c"), F.min("w.first").alias("first"), F.max("w.last").alias("last"))
         merged = merged.join(words.groupBy("id").agg(*map(F.expr, plan.word_figures())), "id", "left")
-    rows = merged.select("id", "seq", "n", *(c for c in merged.columns if c.startswith("count_seq_")), *(F.expr(sql).alias(name) for name, sql in plan.figures()))
+    rows = merged.selectExpr("id", "seq", "n", *(c for c in merged.columns if c.startswith("count_seq_")), *(f"{sql} AS {name}" for name, sql in plan.figures()))
     for step in d.stages():
-        rows = rows.select("*", *(F.expr(sql).alias(name) for name, sql in step if name in lets and not needs.given(name)))
-    return rows.select("id", *(F.expr(f"cast({sql} as double)").alias(name) for name, sql in listed))
+        rows = rows.selectExpr("*", *(f"{sql} AS {name}" for name, sql in step if name in lets and not needs.given(name)))
+    return rows.selectExpr("id", *(f"cast({sql} as double) AS {quoted(name)}" for name, sql in listed))
 
 
 def compute_long(df: DataFrame, descriptors: Descriptor | Iterable[Descriptor], id_col: str = "id", seq_col: str = "sequence", features: Iterable[str] | None = None, block: int = BLOCK) -> DataFrame:

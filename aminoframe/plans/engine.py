@@ -38,6 +38,10 @@ def _features(d: Dialect, descriptors: Sequence[Descriptor], merged: bool) -> li
     return out
 
 
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
 def features_of(d: Dialect, descriptors: Descriptor | Iterable[Descriptor]) -> list[tuple[str, str]]:
     """(output column, expression) of one descriptor, or of several together."""
     one = isinstance(descriptors, Descriptor)
@@ -72,9 +76,8 @@ def compute(df: DataFrame, descriptors: Descriptor | Iterable[Descriptor], id_co
     if recipes.figures:
         rows = rows.mapInArrow(stage(recipes), "id string, seq string, n int, " + ", ".join(f"`{k}` {recipes.kind(k)}" for k in recipes.figures))
     for step in d.stages():
-        rows = rows.select("*", *(F.expr(sql).alias(name) for name, sql in step))
-    out = [F.expr(f"cast({sql} as double)").alias(name) for name, sql in listed]
-    return rows.select(*([] if id_col is None else ["id"]), *out)
+        rows = rows.selectExpr("*", *(f"{sql} AS {name}" for name, sql in step))
+    return rows.selectExpr(*([] if id_col is None else ["id"]), *(f"cast({sql} as double) AS {quoted(name)}" for name, sql in listed))
 
 
 def long_kmers(df: DataFrame, k: int, id_col: str = "id", seq_col: str = "sequence") -> DataFrame:

@@ -29,7 +29,7 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _rounded(df: DataFrame) -> DataFrame:
     """To six decimals for the comparison; the cut is set off a little, as halves are frequent among these values."""
-    return df.select("id", *((F.rint(F.col(c) * 1e6 - 0.0013) / 1e6 + 0.0).alias(c) for c in df.columns if c != "id"))
+    return df.selectExpr("id", *(f"rint(`{c}` * 1e6D - 0.0013D) / 1e6D + 0D AS `{c}`" for c in df.columns if c != "id"))
 
 
 def _duckdb_rounded(sql: str) -> str:
