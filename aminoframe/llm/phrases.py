@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scratch import Scratch
+from .scratch import Scratch, settings
 from .words import Words, words_of
 
 #: Bytes that end a piece (``[.,;:!?\x0A-\x0D]``), and those that a word can't have.
@@ -30,7 +30,7 @@ PIECE_END = np.zeros(256, dtype=bool)
 PIECE_END[[*b".,;:!?\n\x0b\x0c\r"]] = True
 WORD = ~PIECE_END
 WORD[[9, 32]] = False
-SHARD_BYTES = 3 << 20
+SHARD_BYTES = 2 << 20
 #: Bits of the bitmap of frequent strings, as powers of two; so many for each string, within the bounds.
 BITS_LOW, BITS_HIGH, BITS_EACH = 20, 28, 16
 #: First parts of a language's ranking, so that it is never sorted by one task.
@@ -190,7 +190,8 @@ def phrase_counts(docs: DataFrame, max_words: int = 3, least: int = 10, lang_col
 
     def frequent(rows: DataFrame) -> DataFrame:
         total = rows.groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
-        return scratch.write(total.where((F.col("n") >= least) | (F.col("phrase") == "")), "frequent")
+        with settings(docs.sparkSession, {"spark.sql.execution.arrow.maxBytesPerBatch": "16m"}):
+            return scratch.write(total.where((F.col("n") >= least) | (F.col("phrase") == "")), "frequent")
 
     schema = "lang string, phrase string, n long"
     found = last = frequent(texts.mapInArrow(_short(min(2, max_words), shard_bytes), schema))
