@@ -6,12 +6,13 @@ they can), so only those are posted.  The order puts shingles that a sample find
 posting lists short; the sample never changes the result.  Pairs that pass the filters by size and position are counted
 over all lists, and those that reach the guaranteed count are verified on their texts.
 
-A long list (mostly a large group of near copies, or a passage of many documents) first gives pairs with a few of its
-members only.  A member with few postings in long lists (less than half of the guaranteed count) meets all that are similar to
-it in short lists too, so those pairs need no more.  The others are compared with one hub each, the member with most links.
-Two of them share no more than the smaller of their overlaps with the hub, and what they share beyond it; so those that
-the links leave apart are paired through lists of what they have beyond the hub, by a prefix filter again.  Only pairs
-that the hub alone leaves possible, or without a common hub, are paired from the long lists themselves.
+Only lists of up to LONG members give pairs at once.  A member with few postings in long lists (less than half of the
+guaranteed count) meets all that are similar to it in short lists too, so those pairs need no more.  The others are
+compared with one hub each: of all members of its long lists the one that stands in most long lists, which lists of one
+group have in common.  That decides the link with the hub.  Two members share no more than the smaller of their overlaps
+with the hub (taken in parts), and what they share beyond it; so those that the links leave apart are paired through lists of what they have
+beyond the hub, by a prefix filter again.  Only pairs that the hub alone leaves possible, or without a common hub, are
+paired from the long lists themselves.
 """
 
 from __future__ import annotations
@@ -26,16 +27,20 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .scratch import join_counted, written
+from .simhash_dedup import fingerprint, near_links
 from .words import PLAIN_MASK, grams, pair, words_of
 
 #: Similarity as a fraction; shingles of one document in SAMPLE are counted, those of COMMON of them or more come last.
 SIMILARITY, SAMPLE, COMMON, MOST_COMMON = (4, 5), 64, 4, 1 << 18
 #: The guaranteed count of shared postings.
 SHARED = 16
-#: Lists of more members are paired in two rounds, the first with so many of their members.
-LONG, HUBS, SALTS = 32, 4, 16
+#: Lists of more members are not paired before each of these has been compared with its hub.
+LONG, SALTS = 32, 16
 #: The guaranteed count of shared postings beyond a hub.
 BEYOND = 8
+#: Parts of a hub's shingles; how many of each two members have bounds what they share within the hub.
+PARTS = 64
+_NO_PARTS = bytes(4 * PARTS)
 _POST = "key long, node long, n int, at int"
 
 
@@ -61,6 +66,20 @@ def shingle_sets(column: pa.Array, words: int) -> Iterator[tuple[int, int, np.nd
                 digest, sets = hashlib.blake2b(digest_size=8), []
 
 
+def _prints(words: int):
+    """(doc_id, node, fp): with the text's SimHash, which texts of one node have in common."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            nodes = pa.array([node for _, node, _ in shingle_sets(batch.column(1), words)], pa.int64())
+            found = {node: text for node, text in zip(nodes.to_pylist(), batch.column(1), strict=True)}
+            found = {node: fingerprint(text.as_buffer().to_pybytes() if text.is_valid else b"") for node, text in found.items()}
+            prints = np.fromiter((found[node] for node in nodes.to_pylist()), np.uint64, len(nodes))
+            yield pa.RecordBatch.from_arrays([batch.column(0), nodes, pa.array(prints.view(np.int64))], names=["doc_id", "node", "fp"])
+
+    return run
+
+
 def _nodes(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -128,15 +147,27 @@ def _near_sizes(n: np.ndarray, at: np.ndarray, i: np.ndarray, j: np.ndarray, sim
 
 def _lacking(n: np.ndarray, overlap: np.ndarray, i: np.ndarray, j: np.ndarray, similarity: tuple[int, int]) -> np.ndarray:
     """How many shingles members i and j must share beyond their common hub to be so similar; 0 or less if none."""
+    return _needed(n, i, j, similarity) - np.minimum(overlap[i], overlap[j])
+
+
+def _within(parts: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """At most so many of their common hub's shingles are in both members i and j."""
+    each = np.frombuffer(b"".join(parts[np.r_[i, j]]), np.int32).reshape(2, len(i), PARTS)
+    return np.minimum(each[0], each[1]).sum(axis=1, dtype=np.int64)
+
+
+def _needed(n: np.ndarray, i: np.ndarray, j: np.ndarray, similarity: tuple[int, int]) -> np.ndarray:
+    """How many shingles members i and j must share to be so similar."""
     num, den = similarity
-    return -(-num * (n[i] + n[j]) // (num + den)) - np.minimum(overlap[i], overlap[j])
+    return -(-num * (n[i] + n[j]) // (num + den))
 
 
 def _beyond(similarity: tuple[int, int]) -> Callable:
-    """(a, b, least) for each list of a shingle beyond a hub, from (key, node, n, root, hub, overlap, tail).
+    """(a, b, least) for each list of a shingle beyond a hub, from (key, node, n, root, hub, overlap, tail, at, parts).
 
     Of what two members must share beyond the hub, the longer one of their tails can hide no more than its length: what
-    either tail hides of the shared shingles stands behind all that is shared before it.
+    either tail hides of the shared shingles stands behind all that is shared before it.  Where the list's shingle stands
+    beyond the hub bounds what they share there.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,17 +180,22 @@ def _beyond(similarity: tuple[int, int]) -> Callable:
             pairs.clear()
             return made
 
-        for key, node, n, root, hub, overlap, tail in _by_group(batches):
-            n, overlap = n.astype(np.int64), overlap.astype(np.int64)
+        for key, node, n, root, hub, overlap, tail, at, parts in _by_group(batches):
+            n, overlap, at = n.astype(np.int64), overlap.astype(np.int64), at.astype(np.int64)
+            behind = n - overlap - at
             bounds = np.flatnonzero(np.r_[True, key[1:] != key[:-1], True])
             for lo, hi in zip(*(x[np.diff(bounds) > 1] for x in (bounds[:-1], bounds[1:])), strict=True):
                 for x in range(lo, hi - 1):
                     i, j = np.full(hi - 1 - x, x), np.arange(x + 1, hi)
                     lack = _lacking(n, overlap, i, j, similarity)
                     ok = (hub[i] == hub[j]) & (root[i] != root[j]) & (lack > 0) & (den * np.minimum(n[i], n[j]) >= num * np.maximum(n[i], n[j]))
+                    room = np.minimum(at[i], at[j]) + np.minimum(behind[i], behind[j])
+                    ok &= room >= lack
                     if ok.any():
-                        i, j = i[ok], j[ok]
-                        pairs.append((np.minimum(node[i], node[j]), np.maximum(node[i], node[j]), lack[ok] - np.maximum(tail[i], tail[j])))
+                        i, j, room = i[ok], j[ok], room[ok]
+                        lack = _needed(n, i, j, similarity) - _within(parts, i, j)
+                        i, j, lack = (v[room >= lack] for v in (i, j, lack))
+                        pairs.append((np.minimum(node[i], node[j]), np.maximum(node[i], node[j]), lack - np.maximum(tail[i], tail[j])))
                         held += len(i)
                         if held > 1 << 16:
                             yield out()
@@ -171,50 +207,52 @@ def _beyond(similarity: tuple[int, int]) -> Callable:
 
 
 def _pairs(similarity: tuple[int, int], rooted: bool) -> Callable:
-    """(a, b) of each list with the smaller set's size in n and, in at, whether the list is long.
+    """(a, b) of each list with the smaller set's size in n.
 
-    The members of long lists come again (key not null) unless they have their roots.
+    Of a long list only the members come (key not null), unless they have their roots and hubs.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(a=(), b=(), n=(), at=(), key=(), node=()) -> pa.RecordBatch:
+        def out(a=(), b=(), n=(), key=(), node=(), at=()) -> pa.RecordBatch:
             rows = len(a) + len(key)
             pad = lambda x, kind: pa.array(x if len(x) else [None] * rows, kind)
             return pa.RecordBatch.from_arrays([pad(a, pa.int64()), pad(b, pa.int64()), pad(key, pa.int64()), pad(node, pa.int64()), pad(n, pa.int32()), pad(at, pa.int32())], names=["a", "b", "key", "node", "n", "at"])
 
+        num, den = similarity
+        pairs, held = [], 0
         for columns in _by_group(batches):
             key, node, n, at = columns[:4]
             n, at = n.astype(np.int64), at.astype(np.int64)
+            if rooted:
+                root, hub, overlap, parts = columns[4:8]
             bounds = np.flatnonzero(np.r_[True, key[1:] != key[:-1], True])
-            pairs, held = [], 0
             for lo, hi in zip(*(x[np.diff(bounds) > 1] for x in (bounds[:-1], bounds[1:])), strict=True):
                 _, first = np.unique(node[lo:hi], return_index=True)  # copies post the same
                 members = first + lo
-                m = len(members)
-                if m < 2:
-                    continue
-                long = m > LONG and not rooted
-                if long:
-                    by_size = members[np.argsort(n[members], kind="stable")]
-                    hubs = sorted({0, *(int(np.flatnonzero(members == by_size[m * h // HUBS])[0]) for h in range(1, HUBS))})
+                if not rooted and len(members) > LONG:
                     yield out(key=key[members], node=node[members], n=n[members], at=at[members])
-                for x in hubs if long else range(m - 1):
-                    i = np.full(m if long else m - 1 - x, members[x])
-                    j = members if long else members[x + 1 :]
-                    ok = _near_sizes(n, at, i, j, similarity) & (node[i] != node[j])
+                    continue
+                if rooted and (hub[members] == hub[members[0]]).all():  # the others lack something with any other
+                    members = members[den * overlap[members] >= num * n[members]]
+                    if (root[members] == root[members[:1]]).all():
+                        continue
+                for x in range(len(members) - 1):
+                    i, j = np.full(len(members) - 1 - x, members[x]), members[x + 1 :]
+                    ok = _near_sizes(n, at, i, j, similarity)
                     if rooted:
-                        root, hub, overlap = columns[4:7]
                         ok &= (root[i] != root[j]) & ((hub[i] != hub[j]) | (_lacking(n, overlap, i, j, similarity) <= 0))
-                    if long:  # a pair of two hubs counts once
-                        ok &= ~np.isin(np.arange(m), [h for h in hubs if h < x])
+                    if rooted and ok.any():  # a hub itself has been compared with its members, and has no parts
+                        i, j = i[ok], j[ok]
+                        room = np.minimum(n[i] - overlap[i], n[j] - overlap[j])
+                        ok = (hub[i] != hub[j]) | (_within(parts, i, j) + room >= _needed(n, i, j, similarity))
                     if ok.any():
                         i, j = i[ok], j[ok]
-                        pairs.append((np.minimum(node[i], node[j]), np.maximum(node[i], node[j]), np.minimum(n[i], n[j]), np.full(len(i), long or rooted)))
+                        pairs.append((np.minimum(node[i], node[j]), np.maximum(node[i], node[j]), np.minimum(n[i], n[j])))
                         held += len(i)
                     if held > 1 << 16:
                         yield out(*map(np.concatenate, zip(*pairs, strict=True)))
                         pairs, held = [], 0
-            if held:
-                yield out(*map(np.concatenate, zip(*pairs, strict=True)))
+        if held:
+            yield out(*map(np.concatenate, zip(*pairs, strict=True)))
 
     return run
 
@@ -252,7 +290,7 @@ def _rare_first(s: np.ndarray, last: np.ndarray) -> np.ndarray:
 
 
 def _compare(words: int, last: np.ndarray, similarity: tuple[int, int]):
-    """(node, hub, overlap, rest, tail): how many shingles a text shares with its hub, and the first of those beyond.
+    """(node, hub, overlap, similar, rest, tail, parts): how many shingles a text shares with its hub, and the first of those beyond.
 
     Of its n shingles any similar text shares at least num / den n, so as many less the overlap beyond the hub.  All but
     BEYOND of as many are left out of the rest: its ``tail``.
@@ -263,16 +301,18 @@ def _compare(words: int, last: np.ndarray, similarity: tuple[int, int]):
         made: list[tuple] = []
 
         def out() -> pa.RecordBatch:
-            columns = [pa.array([m[i] for m in made], kind) for i, kind in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.int32()))]
+            columns = [pa.array([m[i] for m in made], kind) for i, kind in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.list_(pa.int64()), pa.int32(), pa.binary()))]
             made.clear()
-            return pa.RecordBatch.from_arrays(columns, names=["node", "hub", "overlap", "rest", "tail"])
+            return pa.RecordBatch.from_arrays(columns, names=["node", "hub", "overlap", "similar", "rest", "tail", "parts"])
 
         for hub, own, other, s in _met(batches, words):
-            rest = _rare_first(np.setdiff1d(s, own, assume_unique=True), last)
+            both = np.isin(s, own, assume_unique=True)
+            parts = np.bincount((s[both] >> np.uint64(58)).astype(np.int64), minlength=PARTS).astype(np.int32)
+            rest = _rare_first(s[~both], last)
             overlap = len(s) - len(rest)
             lack = max(1, -(-num * len(s) // den) - overlap)
             tail = max(0, lack - BEYOND)
-            made.append((other, hub, overlap, rest[: max(0, len(rest) - tail)].view(np.int64), tail))
+            made.append((other, hub, overlap, (num + den) * overlap >= num * (len(own) + len(s)), rest[: max(0, len(rest) - tail)].view(np.int64), tail, parts.tobytes()))
             if len(made) >= 512:
                 yield out()
         yield out()
@@ -296,68 +336,84 @@ def _links(pairs: DataFrame, texts: DataFrame, distinct: DataFrame, words: int,
     return _meet(pairs, texts, distinct).mapInArrow(_verify(words, similarity), "a long, b long")
 
 
-def shingle_components(docs: DataFrame, words: int = 5, similarity: tuple[int, int] = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _alike(distinct: DataFrame, bits: int) -> DataFrame:
+    """Links (a, b) from each node to the smallest node of its SimHash class: op2's links, at most ``bits`` differing bits."""
+    prints = distinct.select("fp").distinct()
+    roots = components(near_links(prints, bits)).withColumnRenamed("node", "of")
+    classed = written(distinct.join(roots, distinct.fp == roots.of, "left").select("node", F.coalesce("root", "fp").alias("class")), "classed")
+    least = written(classed.groupBy("class").agg(F.min("node").alias("a"), F.count("*").alias("members")).where("members > 1"), "least")
+    return written(join_counted(classed, least, "class", "members").where("node <> a").select("a", F.col("node").alias("b")), "alike")
+
+
+def shingle_components(docs: DataFrame, words: int = 5, similarity: tuple[int, int] = SIMILARITY, id_col: str = "doc_id", text_col: str = "text", bits: int | None = None) -> DataFrame:
     """One row per input row: doc_id, node, component_id (smallest doc_id that a path of similar pairs reaches).
 
+    With ``bits``, texts whose SimHash differs in so many bits or fewer are linked first, by SimHash's own index and tally;
+    what that joins is not verified again.
     Null, empty and blank texts are copies of each other; null ids never become a component's id unless all are null.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     texts = rows.mapInArrow(_nodes(words), "doc_id long, node long, text string")
-    nodes = written(texts.select("doc_id", "node"), "nodes")
-    distinct = written(nodes.groupBy("node").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies")), "distinct")
+    if bits is None:
+        nodes = written(texts.select("doc_id", "node"), "nodes")
+        distinct = written(nodes.groupBy("node").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies")), "distinct")
+    else:
+        nodes = written(rows.mapInArrow(_prints(words), "doc_id long, node long, fp long"), "nodes")
+        distinct = written(nodes.groupBy("node").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"), F.first("fp").alias("fp")), "distinct")
     sample = rows.where(F.pmod(F.xxhash64("text"), F.lit(SAMPLE)) == 0).select("text").mapInArrow(_sampled(words), "key long")
     common = sample.groupBy("key").count().where(F.col("count") >= COMMON).orderBy(F.desc("count")).limit(MOST_COMMON).select("key").toArrow()
     last = np.sort(common.column(0).to_numpy().astype(np.int64).view(np.uint64))
     posts = rows.select("text").mapInArrow(_postings(words, last, similarity), _POST)
     found = "a long, b long, " + _POST
     first = written(posts.repartition("key").sortWithinPartitions("key").mapInArrow(_pairs(similarity, False), found), "pairs")
-    tally = lambda df: df.where("a is not null").groupBy("a", "b").agg(F.min("n").alias("n"), F.sum(1 - F.col("at")).alias("short"), F.sum("at").alias("long"))
     num, den = similarity
-    enough = F.col("short") + F.col("long") >= F.least(F.lit(SHARED), F.ceil(F.col("n") * num / den))
-    tallied = written(tally(first), "pairs")
-    pairs = tallied.where(enough).select("a", "b")
-    links = written(_links(pairs, texts, distinct, words, similarity), "links")
+    least = lambda n: F.least(F.lit(SHARED), F.ceil(n * num / den))
+    short = written(first.where("a is not null").groupBy("a", "b").agg(F.min("n").alias("n"), F.count("*").alias("short")), "tallied")
     long = first.where("key is not null").select("key", "node", "n", "at")
-    if not long.isEmpty():
+    alike = _alike(distinct, bits) if bits is not None else distinct.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
+    if long.isEmpty():
+        links = written(_links(short.where(F.col("short") >= least(F.col("n"))).select("a", "b"), texts, distinct, words, similarity), "links")
+    else:
         few = F.least(F.lit(SHARED), F.ceil(F.col("n") * num * num / (den * den)))
         crowded = written(long.groupBy("node").agg(F.first("n").alias("n"), F.count("*").alias("in_long")).withColumn("deep", 2 * F.col("in_long") >= few), "crowded")
         of = lambda x: crowded.select(F.col("node").alias(x), F.col("in_long").alias(f"in_long_{x}"), F.col("deep").alias(f"deep_{x}"))
-        upto = F.col("short") + F.least("in_long_a", "in_long_b") >= F.least(F.lit(SHARED), F.ceil(F.col("n") * num / den))
-        shallow = tallied.where("short > 0").join(of("a"), "a").join(of("b"), "b").where(upto & ~(F.col("deep_a") & F.col("deep_b"))).select("a", "b")
-        long = written(long.join(crowded.where("deep").select("node"), "node").select("key", "node", "n", "at"), "long")
-        roots = components(links).withColumnRenamed("node", "of")
-        degrees = links.select(F.explode(F.array("a", "b")).alias("to")).groupBy("to").agg(F.count("*").alias("degree"))
-        members = crowded.where("deep").join(degrees, F.col("node") == F.col("to"), "left").select("node", "n", F.coalesce("degree", F.lit(0)).alias("degree"))
-        members = written(members.join(roots, members.node == roots.of, "left").select("node", "n", "degree", F.coalesce("root", "node").alias("root")), "members")
-        best = long.join(members.select("node", "degree"), "node").groupBy("key").agg(F.max(F.struct("degree", "node")).alias("best"))
-        hubs = written(long.select("key", "node").join(best, "key").groupBy("node").agg(F.max("best").alias("best")).select("node", F.col("best.node").alias("hub")), "hubs")
+        met = short.join(of("a"), "a", "left").join(of("b"), "b", "left")
+        met = met.withColumn("upto", F.col("short") + F.when(F.col("in_long_a").isNull() | F.col("in_long_b").isNull(), 0).otherwise(F.least("in_long_a", "in_long_b")))
+        met = written(met.where(F.col("upto") >= least(F.col("n"))).select("a", "b", "n", "short", (F.coalesce("deep_a", F.lit(False)) & F.coalesce("deep_b", F.lit(False))).alias("deep")), "met")
+        links = written(_links(met.where("not deep").select("a", "b"), texts, distinct, words, similarity), "links")
+        members = crowded.where("deep").select("node", "n", "in_long")
+        long = written(long.join(members.select("node", "in_long"), "node").select("key", "node", "n", "at", "in_long"), "long")
+        best = long.groupBy("key").agg(F.max(F.struct("in_long", "node")).alias("best"))
+        hubs = written(long.select("key", "node", "n").join(best, "key").groupBy("node", "n").agg(F.max("best").alias("best")).select("node", "n", F.col("best.node").alias("hub")), "hubs")
         asked = hubs.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b"))
-        compared = written(_meet(asked, texts, distinct).mapInArrow(_compare(words, last, similarity), "node long, hub long, overlap int, rest array<long>, tail int"), "compared")
-        judged = members.join(hubs, "node").join(compared.select("node", "overlap", "rest", "tail"), "node", "left").select("node", "n", "root", "hub", F.coalesce("overlap", "n").alias("overlap"), "rest", "tail")
-        judged = written(judged, "judged")
-        rooted = long.join(judged.select("node", "root", "hub", "overlap"), "node").select("key", "node", "n", "at", "root", "hub", "overlap")
+        compared = written(_meet(asked, texts, distinct).mapInArrow(_compare(words, last, similarity), "node long, hub long, overlap int, similar boolean, rest array<long>, tail int, parts binary"), "compared")
+        links = links.unionAll(compared.where("similar").select(F.col("hub").alias("a"), F.col("node").alias("b")))
+        roots = written(components(links.unionAll(alike)), "roots").withColumnRenamed("node", "of")
+        judged = hubs.join(roots, hubs.node == roots.of, "left").select("node", "n", "hub", F.coalesce("root", "node").alias("root"))
+        judged = written(judged.join(compared.select("node", "overlap", "rest", "tail", "parts"), "node", "left").select("node", "n", "root", "hub", F.coalesce("overlap", "n").alias("overlap"), "rest", "tail", F.coalesce("parts", F.lit(_NO_PARTS)).alias("parts")), "judged")
+        rooted = long.join(judged.select("node", "root", "hub", "overlap", "parts"), "node").select("key", "node", "n", "at", "root", "hub", "overlap", "parts")
         more = rooted.repartition("key").sortWithinPartitions("key").mapInArrow(_pairs(similarity, True), found)
-        both = tally(more).select("a", "b", "n", "short", "long").unionAll(tallied.select("a", "b", "n", "short", F.lit(0).cast("long").alias("long")))
-        both = both.groupBy("a", "b").agg(F.min("n").alias("n"), F.sum("short").alias("short"), F.sum("long").alias("long")).where("long > 0")
-        rest = judged.select(F.explode("rest").alias("shingle"), "node", "n", "root", "hub", "overlap", "tail").select(F.xxhash64("hub", "shingle").alias("key"), "node", "n", "root", "hub", "overlap", "tail")
+        both = more.select("a", "b", "n", F.lit(1).cast("long").alias("short")).unionAll(met.where("deep").select("a", "b", "n", "short"))
+        both = both.groupBy("a", "b").agg(F.min("n").alias("n"), F.sum("short").alias("short")).where(F.col("short") >= least(F.col("n"))).select("a", "b")
+        rest = judged.select(F.posexplode("rest").alias("at", "shingle"), "node", "n", "root", "hub", "overlap", "tail", "parts").select(F.xxhash64("hub", "shingle").alias("key"), "node", "n", "root", "hub", "overlap", "tail", "at", "parts")
         beyond = rest.repartition("key").sortWithinPartitions("key").mapInArrow(_beyond(similarity), "a long, b long, least long")
-        beyond = beyond.groupBy("a", "b").agg(F.count("*").alias("shared"), F.max("least").alias("least")).where("shared >= least")
-        open_ = both.where(enough).select("a", "b").union(beyond.select("a", "b")).union(shallow).distinct()
-        more = written(open_.join(pairs, ["a", "b"], "left_anti"), "pairs")
-        links = links.unionAll(written(_links(more, texts, distinct, words, similarity), "links"))
-    roots = components(links).withColumnRenamed("node", "of")
+        beyond = beyond.groupBy("a", "b").agg(F.count("*").alias("shared"), F.max("least").alias("least")).where("shared >= least").select("a", "b")
+        root = lambda x: judged.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}"))
+        apart = both.union(beyond).distinct().join(root("a"), "a").join(root("b"), "b").where("root_a <> root_b").select("a", "b")
+        links = links.unionAll(written(_links(written(apart, "apart"), texts, distinct, words, similarity), "links"))
+    roots = components(links.unionAll(alike)).withColumnRenamed("node", "of")
     joined = written(distinct.join(roots, distinct.node == roots.of, "left").select("node", "first", "copies", F.coalesce("root", "node").alias("root")), "roots")
     smallest = written(joined.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("members")), "smallest")
     classes = written(join_counted(joined, smallest, "root", "members").select("node", "component_id", "copies"), "classes")
     return join_counted(nodes, classes, "node", "copies").select("doc_id", "node", "component_id")
 
 
-def shingle_dedup(docs: DataFrame, words: int = 5, similarity: tuple[int, int] = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def shingle_dedup(docs: DataFrame, words: int = 5, similarity: tuple[int, int] = SIMILARITY, id_col: str = "doc_id", text_col: str = "text", bits: int | None = None) -> DataFrame:
     """The rows of ``docs`` whose id is their component's smallest, columns unchanged.
 
     Rows that repeat an id are one document: they stay if one of them is its component's smallest.
     """
     smallest = F.col("doc_id").eqNullSafe(F.col("component_id"))
-    found = shingle_components(docs, words, similarity, id_col, text_col)
+    found = shingle_components(docs, words, similarity, id_col, text_col, bits)
     gone = found.groupBy(F.col("doc_id").alias("__gone")).agg(F.max(smallest).alias("__stays")).where("not __stays").select("__gone")
     return docs.join(gone, docs[id_col].eqNullSafe(gone["__gone"]), "left_anti")

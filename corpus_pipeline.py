@@ -15,8 +15,12 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near copies: five-word shingles, similarity 0.8 or more."""
-    return shingle_dedup.shingle_dedup(docs)
+    """The document with the smallest id of each group of near copies.
+
+    Linked are op2's pairs (SimHash within two bits, positional bytes tallied) and, as these are few of the near copies that
+    are not word for word the same, all pairs of a similarity of 0.8 or more in five-word shingles.
+    """
+    return shingle_dedup.shingle_dedup(docs, bits=2)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -127,3 +127,39 @@ def test_variants_that_no_links_join(spark, monkeypatch):
     got = {x.doc_id: x.component_id for x in shingle_dedup.shingle_components(docs).collect()}
     assert got == plain_classes(rows)
     assert len(asked) == 2 and sum(asked) < len(rows) ** 2 / 12
+
+
+def test_pairs_to_verify_grow_with_the_members_of_a_group(spark, monkeypatch):
+    """A large group of near copies of one text of 150 words, half of them near it and half near nothing."""
+    r = random.Random(8)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(r.randint(2, 6)))
+    base, rows = [word() for _ in range(150)], []
+    for _ in range(900):
+        text = list(base)
+        for at in r.sample(range(150), r.choice([1, 2, 3, 4, 5, 6, 8])):
+            text[at] = word()
+        rows.append(" ".join(text))
+    rows = list(enumerate([" ".join(base), *rows]))
+    from aminoframe.llm import shingle_dedup
+
+    asked = []
+    verified = shingle_dedup._links
+    monkeypatch.setattr(shingle_dedup, "_links", lambda pairs, *more: asked.append(pairs.count()) or verified(pairs, *more))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = {x.doc_id: x.component_id for x in shingle_dedup.shingle_components(docs).collect()}
+    assert got == plain_classes(rows)
+    assert sum(asked) < 10 * len(rows)
+
+
+def test_near_duplicate_stage_links_by_simhash(spark):
+    """Texts of one SimHash by op2's rule, with most of their five-word shingles their own."""
+    r = random.Random(9)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(r.randint(3, 7)))
+    phrase = " ".join(word() for _ in range(9))
+    often = " ".join([phrase] * 60)
+    rows = [(i, f"{often} {' '.join(word() for _ in range(12))}") for i in range(4)]
+    rows += [(10 + i, " ".join(word() for _ in range(40))) for i in range(5)]
+    assert {d for d, _, c in near_by_bits(rows) if d == c} == {0, 10, 11, 12, 13, 14}
+    assert len(set(plain_classes(rows).values())) == 9
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert {x.doc_id for x in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()} == {0, 10, 11, 12, 13, 14}
