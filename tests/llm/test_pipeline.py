@@ -151,6 +151,38 @@ def test_pairs_to_verify_grow_with_the_members_of_a_group(spark, monkeypatch):
     assert sum(asked) < 10 * len(rows)
 
 
+def test_rows_of_pairs_grow_with_the_members_of_a_group(spark, monkeypatch):
+    """A large group of near copies of a text that is not among them, so that any hub lacks shingles that nearly all others have."""
+    r = random.Random(10)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(r.randint(2, 6)))
+    base, rows = [word() for _ in range(150)], []
+    for _ in range(800):
+        text = list(base)
+        for at in r.sample(range(150), r.choice([2, 3, 4, 5, 6, 8])):
+            text[at] = word()
+        rows.append(" ".join(text))
+    rows = list(enumerate(rows))
+    from aminoframe.llm import shingle_dedup
+
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(run):
+        def go(batches):
+            for batch in run(batches):
+                made.add(batch.num_rows)
+                yield batch
+
+        return go
+
+    beyond, pairs = shingle_dedup._beyond, shingle_dedup._pairs
+    monkeypatch.setattr(shingle_dedup, "_beyond", lambda similarity: counted(beyond(similarity)))
+    monkeypatch.setattr(shingle_dedup, "_pairs", lambda similarity, rooted: counted(pairs(similarity, True)) if rooted else pairs(similarity, False))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = {x.doc_id: x.component_id for x in shingle_dedup.shingle_components(docs).collect()}
+    assert got == plain_classes(rows)
+    assert 0 < made.value < 50 * len(rows), made.value
+
+
 def test_near_duplicate_stage_links_by_simhash(spark):
     """Texts of one SimHash by op2's rule, with most of their five-word shingles their own."""
     r = random.Random(9)
