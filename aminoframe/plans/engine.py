@@ -5,12 +5,12 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.alphabet import RESIDUES
 from ..functions.dialect import Dialect
-from ..functions.vectors import stage, word_maps
+from ..functions.vectors import stage, word_maps, word_rows
 from ..operators import REGISTRY, Descriptor
 
 SHARED = ("length", "valid_residue_count")
@@ -81,11 +81,20 @@ def compute(df: DataFrame, descriptors: Descriptor | Iterable[Descriptor], id_co
 
 
 def long_kmers(df: DataFrame, k: int, id_col: str = "id", seq_col: str = "sequence") -> DataFrame:
-    """id, kmer, n: the words of k residues that occur, as rows; for k where a column for each would be too many."""
+    """id, kmer, n: the words of k residues that occur, as rows; for k where a column for each would be too many.
+
+    Words are counted sequence by sequence.  The sequences meet by id once, in whole; only those that share an id have
+    their words added up in another shuffle, which on a stream all have.
+    """
+    if k < 1:
+        raise ValueError("k must be 1 or more")
     rows = prepared(df, id_col, seq_col)
-    letters = F.split("seq", "")
-    words = F.when(F.col("n") >= k, F.transform(F.sequence(F.lit(1), F.col("n") - k + 1), lambda i: F.array_join(F.slice(letters, i, k), "")))
-    return rows.select("id", F.explode(words).alias("kmer")).groupBy("id", "kmer").agg(F.count("*").cast("double").alias("n"))
+    words = lambda part: part.select("id", "seq", "n").mapInArrow(word_rows(k), "id string, kmer string, n double")
+    added = lambda part: words(part).groupBy("id", "kmer").agg(F.sum("n").alias("n"))
+    if rows.isStreaming:
+        return added(rows)
+    met = rows.withColumn("times", F.count("*").over(Window.partitionBy("id")))
+    return words(met.where("times = 1")).unionByName(added(met.where("times > 1")))
 
 
 def kmer_maps(df: DataFrame, k: int, id_col: str = "id", seq_col: str = "sequence") -> DataFrame:

@@ -319,3 +319,17 @@ def test_merge_and_pruning(table):
     assert "win9" not in plan and one.columns == ["id", "sliding_window_win5_hydropathy_max"]
     assert "Exchange" not in compute(table.sparkSession.range(3).selectExpr("cast(id as string) id", "'ACD' sequence"), make(["spacing"])[0])._jdf.queryExecution().executedPlan().toString()
     assert compute(table.limit(0), make(["aac"])[0]).count() == 0
+
+
+def test_words_of_an_id_in_several_rows_are_added_up(spark):
+    rows = [("a", "ACAC"), ("a", "CACK"), ("a", None), ("b", "KKK"), (None, "AC"), (None, "ACA"), ("c", ""), ("d", "A")]
+    made = long_kmers(spark.createDataFrame(rows, "id string, sequence string"), 2)
+    want = Counter((i, w) for i, s in rows for w in windows(s or "", 2))
+    found = [tuple(r) for r in made.collect()]
+    assert len(found) == len(want) and {(i, w): n for i, w, n in found} == want
+
+
+def test_words_are_counted_before_they_become_rows(spark):
+    made = long_kmers(spark.createDataFrame([(str(i), "ACDEF" * 2000) for i in range(4)], "id string, sequence string"), 3)
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and made.count() == 20
