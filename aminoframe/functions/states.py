@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 from .alphabet import RESIDUES
 from .vectors import CELLS, CHUNK, Array, Recipes, _Batch, _owner, _place
@@ -23,7 +24,7 @@ _WORD_FIGURES = ("size", "kinds", "top", "total", "entropy", "concentration", "s
 WORD_MOST = 6
 RUNS = re.compile(r"(runs_[A-Z]+|codes_lengths)_(count|longest|in2|in3)")
 _EDGE = pa.struct([("key", pa.string()), ("kind", pa.int32()), ("begin", pa.int64()), ("end", pa.int64())])
-_WORD = pa.struct([("k", pa.int32()), ("word", pa.int64()), ("c", pa.int64()), ("first", pa.int64()), ("last", pa.int64())])
+WORD = "id string, k int, word long, c long, first long, last long"
 
 
 def merges(recipes: Recipes, name: str) -> bool:
@@ -83,7 +84,7 @@ class Plan:
             out += [(f"{a}__n", "long"), *((f"{a}__{k}", "double") for k in ("mean", "square", "low", "high", "first", "last"))]
         out += [(f"{k}__sum", "double") for k in (*self.shares, *self.pairs)]
         out += [(f"{r}__{k}", "long") for r in self.runs for k in ("count", "longest", "in2", "in3")]
-        return [*out, ("edges", "array<struct<key:string,kind:int,begin:long,end:long>>"), ("words", "array<struct<k:int,word:long,c:long,first:long,last:long>>")]
+        return [*out, ("edges", "array<struct<key:string,kind:int,begin:long,end:long>>")]
 
     def fold(self) -> list[str]:
         """Aggregates over the states of a sequence; none depends on their order."""
@@ -175,20 +176,24 @@ class Plan:
                 out.append(f"map_from_entries(collect_list(struct(word, cast(c as double))) {of}) AS words{k}__table")
         return out
 
-    def stage(self) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-        """States of batches of (id, at, own, halo)."""
+    def _parts(self, batches: Iterator[pa.RecordBatch]) -> Iterator[_Block]:
+        """Batches of (id, at, own, halo) in chunks."""
         most = max(1, CELLS // max(self.recipes.widest(), 1))
+        for batch in batches:
+            sizes = np.cumsum(pc.binary_length(batch.column(2).cast(pa.binary())).fill_null(0).to_numpy(zero_copy_only=False))
+            lo = 0
+            while lo < batch.num_rows:
+                hi = min(lo + most, max(lo + 1, int(np.searchsorted(sizes, (sizes[lo - 1] if lo else 0) + CHUNK, side="right"))))
+                yield _Block(self, batch.slice(lo, hi - lo))
+                lo = hi
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                sizes = np.cumsum([len(x.as_buffer()) if x.is_valid else 0 for x in batch.column(2).cast(pa.binary())])
-                lo = 0
-                while lo < batch.num_rows:
-                    hi = min(lo + most, max(lo + 1, int(np.searchsorted(sizes, (sizes[lo - 1] if lo else 0) + CHUNK, side="right"))))
-                    yield _Block(self, batch.slice(lo, hi - lo)).state()
-                    lo = hi
+    def stage(self) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        """States of batches of (id, at, own, halo)."""
+        return lambda batches: (part.state() for part in self._parts(batches))
 
-        return run
+    def word_stage(self) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        """Words of batches of (id, at, own, halo), as ``WORD`` names them."""
+        return lambda batches: (counts for part in self._parts(batches) for counts in part.word_counts())
 
 
 class _Block(_Batch):
@@ -243,7 +248,7 @@ class _Block(_Batch):
         v, sizes = self.cut(array)
         return self.sums({"<": np.less, "<=": np.less_equal, ">": np.greater, ">=": np.greater_equal}[sign](v, value), sizes)
 
-    def _runs(self, key: str, edges: list[list[dict]]) -> list[np.ndarray]:
+    def _runs(self, key: str, edges: list[tuple]) -> list[np.ndarray]:
         """(count, longest, residues in runs of two, of three and more) of the runs that touch no end; the others are added to ``edges``."""
         keep = _place(self.n) < self.own[self.owner]
         codes, owner = self.codes[keep].astype(np.int64), self.owner[keep]
@@ -254,40 +259,42 @@ class _Block(_Batch):
         of, begin = owner[opens], (np.cumsum(self.own) - self.own)[owner[opens]]
         first, last = opens - begin, closes - begin
         edge = (first == 0) | (last == self.own[of])
-        for i in np.flatnonzero(edge):
-            at = int(self.at[of[i]])
-            edges[of[i]].append({"key": key, "kind": int(label[opens[i]]), "begin": at + int(first[i]), "end": at + int(last[i])})
+        at = self.at[of[edge]]
+        edges.append((of[edge], np.full(int(edge.sum()), key), label[opens[edge]], at + first[edge], at + last[edge]))
         of, size = of[~edge], (last - first)[~edge]
         longest = np.zeros(self.rows, dtype=np.int64)
         np.maximum.at(longest, of, size)
         count = lambda weights: np.bincount(of, weights=weights, minlength=self.rows).astype(np.int64)
         return [count(np.ones(len(of))), longest, count(np.where(size > 1, size, 0)), count(np.where(size > 2, size, 0))]
 
-    def _word_counts(self) -> pa.Array:
-        """(k, word, count, first and last place) of the words that begin in each block."""
-        parts, owners = [], []
+    def _edges(self, edges: list[tuple]) -> pa.Array:
+        if not edges:
+            return pa.array([[]] * self.rows, pa.list_(_EDGE))
+        of, *values = map(np.concatenate, zip(*edges, strict=True))
+        order = np.argsort(of, kind="stable")
+        offsets = pa.array(np.r_[0, np.cumsum(np.bincount(of, minlength=self.rows))].astype(np.int32))
+        return pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays([pa.array(v[order]).cast(f.type) for v, f in zip(values, _EDGE, strict=True)], fields=list(_EDGE)))
+
+    def word_counts(self) -> Iterator[pa.RecordBatch]:
+        """(id, k, word, count, first and last place) of the words that begin in the blocks, once for neighbouring blocks of one sequence."""
+        ids = self.batch.column(0).to_pylist()
+        run = np.maximum.accumulate([0, *(i if ids[i] != ids[i - 1] else 0 for i in range(1, self.rows))])
         for k in self.plan.words:
             v, sizes = self.words(k)
             owner, place = _owner(sizes), _place(sizes)
             keep = place < self.own[owner]
             v, owner, place = v[keep], owner[keep], place[keep]
-            key = owner * len(RESIDUES) ** k + v
+            if not len(v):
+                continue
+            key = run[owner] * len(RESIDUES) ** k + v
             order = np.argsort(key, kind="stable")
-            head = np.flatnonzero(np.r_[True, key[order][1:] != key[order][:-1]]) if len(key) else np.zeros(0, np.int64)
-            count = np.diff(np.r_[head, len(key)])
-            at = self.at[owner]
-            parts.append([np.full(len(head), k, np.int32), v[order[head]], count, (place + at)[order[head]], (place + at)[order[head + count - 1]]])
-            owners.append(owner[order[head]])
-        if not parts:
-            return pa.array([[]] * self.rows, pa.list_(_WORD))
-        owner = np.concatenate(owners)
-        order = np.argsort(owner, kind="stable")
-        values = [np.concatenate(column)[order] for column in zip(*parts, strict=True)]
-        offsets = np.r_[0, np.cumsum(np.bincount(owner, minlength=self.rows))].astype(np.int32)
-        return pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([pa.array(v, f.type) for v, f in zip(values, _WORD, strict=True)], fields=list(_WORD)))
+            head = np.flatnonzero(np.r_[True, key[order][1:] != key[order][:-1]])
+            at = (place + self.at[owner])[order]
+            found = [v[order[head]], np.diff(np.r_[head, len(key)]), np.minimum.reduceat(at, head), np.maximum.reduceat(at, head)]
+            yield pa.RecordBatch.from_arrays([self.batch.column(0).take(pa.array(run[owner[order[head]]])), pa.array(np.full(len(head), k, np.int32)), *map(pa.array, found)], names=["id", "k", "word", "c", "first", "last"])
 
     def state(self) -> pa.RecordBatch:
-        reach, edges = self.plan.reach, [[] for _ in range(self.rows)]
+        reach, edges = self.plan.reach, []
         text = np.frombuffer(b"".join(self.text), dtype=np.uint8)
         letters = np.bincount(_owner(self.own) * 256 + text, minlength=self.rows * 256).reshape(self.rows, 256)
         out = [self.batch.column(0), self.batch.column(1), pa.array(self.own), pa.array(self.n > self.own)]
@@ -299,5 +306,5 @@ class _Block(_Batch):
         out += [pa.array(self.couplings(*self.recipes.figures[k][1:3])[self.recipes.figures[k][3]]) for k in self.plan.pairs]
         for r in self.plan.runs:
             out += [pa.array(x) for x in self._runs(r, edges)]
-        out += [pa.array(edges, pa.list_(_EDGE)), self._word_counts()]
+        out.append(self._edges(edges))
         return pa.RecordBatch.from_arrays(out, names=[name for name, _ in self.plan.columns()])

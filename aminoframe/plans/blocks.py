@@ -17,13 +17,15 @@ from pyspark.sql import functions as F
 from ..errors import InputError
 from ..functions.alphabet import RESIDUES
 from ..functions.dialect import Dialect
-from ..functions.states import RUNS, Plan, merges
+from ..functions.states import RUNS, WORD, Plan, merges
 from ..operators import Descriptor
 from ..sources.tables import require_ids
 from .engine import features_of, prepared, quoted
 
 #: Residues of a block, and what a window or an end may take at most of the next one.
 BLOCK, REACH = 1 << 18, 1 << 10
+#: Blocks that begin in a span of so many residues are one task's, so that their states are merged before a shuffle.
+SPAN = 1 << 18
 _OTHER = re.compile(f"[^{RESIDUES}]")
 _END = re.compile(r"\b(?:left|right)\(seq, (\d+)\)")
 _WORD = re.compile(r"[A-Za-z_]\w*")
@@ -162,7 +164,7 @@ def mergeable(descriptors: Descriptor | Iterable[Descriptor]) -> dict[str, bool]
 def compute_blocks(blocks: DataFrame, descriptors: Descriptor | Iterable[Descriptor], features: Iterable[str] | None = None, halo: int = REACH) -> DataFrame:
     """As ``engine.compute``, from (id, at, own, halo) as ``cut`` makes them.
 
-    The blocks are dealt to the tasks, their states meet once by id, with sums made before the shuffle.  A descriptor's
+    The blocks are dealt to the tasks by spans, their states meet once by id, with sums made before the shuffle.  A descriptor's
     features that need a whole sequence at once (patterns, medians of places, quantiles) raise unless ``features`` leaves
     them out; ``mergeable`` tells which do.
     """
@@ -181,13 +183,13 @@ def compute_blocks(blocks: DataFrame, descriptors: Descriptor | Iterable[Descrip
     plan = Plan(d.recipes.only(figures.__contains__), runs, max([0, *(need[2] for need in found.values())]))
     if max(plan.halo(), plan.reach) > halo:
         raise ValueError(f"windows of {plan.halo() + 1} and ends of {plan.reach} residues need a longer halo")
-    dealt = blocks.select("id", "at", "own", "halo").repartition("id", "at")
+    dealt = blocks.select("id", "at", "own", "halo").repartition("id", F.floor(F.col("at") / SPAN)).sortWithinPartitions("id", "at")
     states = dealt.mapInArrow(plan.stage(), ", ".join(f"`{name}` {kind}" for name, kind in plan.columns()))
     merged = states.groupBy("id").agg(*map(F.expr, plan.fold()))
     if plan.runs:
         merged = merged.selectExpr("*", *(f"{sql} AS {name}" for name, sql in plan.joined_runs()))
     if plan.words:
-        words = states.select("id", F.explode("words").alias("w")).groupBy("id", "w.k", "w.word").agg(F.sum("w.c").alias("c"), F.min("w.first").alias("first"), F.max("w.last").alias("last"))
+        words = dealt.mapInArrow(plan.word_stage(), WORD).groupBy("id", "k", "word").agg(F.sum("c").alias("c"), F.min("first").alias("first"), F.max("last").alias("last"))
         merged = merged.join(words.groupBy("id").agg(*map(F.expr, plan.word_figures())), "id", "left")
     rows = merged.selectExpr("id", "seq", "n", *(c for c in merged.columns if c.startswith("count_seq_")), *(f"{sql} AS {name}" for name, sql in plan.figures()))
     for step in d.stages():
