@@ -32,7 +32,7 @@ def peak_mb(run, batch):
         gc.enable()
 
 
-@pytest.mark.parametrize("name", ["charge", "entropy_complexity", "global_basic", "sequence_order", "spacing", "structural_propensity", "hydrophobicity", "local_repetition", "sliding_window", "family_summary"])
+@pytest.mark.parametrize("name", ["charge", "entropy_complexity", "global_basic", "sequence_order", "spacing", "structural_propensity", "hydrophobicity", "local_repetition", "sliding_window", "family_summary", "order_disorder"])
 def test_a_batch_takes_no_more_memory_than_a_chunk(name):
     d = Dialect()
     features_of(d, make([name])[0])
